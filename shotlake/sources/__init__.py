@@ -1 +1 @@
-
+"""Reading: tables, views and nested source documents."""

@@ -1 +1 @@
-
+"""Empty on purpose: all sources are files that arrive whole, and no operator keeps state between batches."""
