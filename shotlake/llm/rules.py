@@ -98,7 +98,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", tests: dict[str, Column
     share = min(1.0, SAMPLE_ROWS / max(1, total))
     # at most about SAMPLE_ROWS rows, chosen by a hash of the text
     sample = docs.filter(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20)))
-    order = cascade_order(hold(measures(sample.select(text_col), text_col).coalesce(4), "rule-sample"), tests)
+    order = cascade_order(hold(measures(sample.select(text_col), text_col), "rule-sample").coalesce(4), tests)
     reason = F.when(F.col("__qr_base_failed"), F.lit("base"))
     for name in order:
         reason = reason.when(tests[name], F.lit(name))
