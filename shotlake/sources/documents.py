@@ -25,7 +25,7 @@ EVENT_KEYS = ("id", "index", "period", "timestamp", "minute", "second", "type",
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Rows (name, json) for each file: name is the file's name without its ending."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("json"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("json"))
 
 
 def _items(docs: DataFrame, schema: str, *keep: str) -> DataFrame:
