@@ -72,7 +72,7 @@ def rules() -> dict[str, Column]:
     """Further rules: true rejects. They read the measures and __qr_text."""
     n = F.col("__qr_words")
     return {
-        "symbols": F.col("__qr_symbols") * 2 > n,
+        "symbols": F.col("__qr_symbols") * 10 > n * 3,
         "word_length": ~(F.col("__qr_word_chars") / F.nullif(n, F.lit(0))).between(2.0, 15.0),
         "dup_lines": (F.col("__qr_dup_lines") >= 5) & (F.col("__qr_dup_lines") * 2 > F.size(F.split("__qr_text", "\n"))),
         "shouting": _chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 2 > F.col("__qr_word_chars"),
