@@ -14,8 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def hold(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return it as read from there: its lineage is cut, lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and return it as read from there: its lineage is cut, lost executors cost nothing.
+
+    All of an application's tables are in one folder, to be removed once its results are written.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

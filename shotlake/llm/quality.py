@@ -6,8 +6,8 @@ parts by matrix row. Isotonic regression turns raw scores of labelled rows that
 probabilities. Fitting takes at most MAX_FIT labelled rows, chosen by a hash; all rows are scored.
 
 Edge cases: null and empty texts have all statistics at zero and are scored like any other; a null id is never
-labelled; labels that disagree about an id are averaged; without labelled rows every score is 0.5; no rows give no
-rows. Ids, languages, sources and labels are no inputs of a score.
+labelled; labels that disagree about an id are averaged; without labelled rows every score is 0.5 and keep_good
+keeps all; no rows give no rows. Ids, languages, sources and labels are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -136,21 +136,25 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
+def trained(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, held_out: int) -> Model | None:
+    """The model of labelled rows of held statistics, those of the held-out remainder left aside."""
+    marked = labels.filter(F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != held_out)).groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    return fit(hold(stats.join(marked, F.col(id_col) == F.col("__id")).select("stats", "y", (remainder(F.col(id_col)) == (held_out + 1) % 4).alias("calibrate")), "labelled"))
+
+
+def _scores(model: Model | None, stats: np.ndarray) -> np.ndarray:
+    return model.score(stats) if model is not None and len(stats) else np.full(len(stats), 0.5)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, *keep, held_out, score, predicted) for every row of docs."""
     stats = hold(document_statistics(docs, id_col, text_col, keep), "statistics")
-    marked = labels.filter(F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != held_out)).groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    known = hold(stats.join(marked, F.col(id_col) == F.col("__id")).select("stats", "y", (remainder(F.col(id_col)) == (held_out + 1) % 4).alias("calibrate")), "labelled")
-    model = fit(known)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(stats, labels, id_col, label_col, held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = shared.value
-            values = batch.column(batch.num_columns - 1)
-            flat = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
-            score = m.score(flat) if m is not None and len(flat) else np.full(len(flat), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, "score"])
+            flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_scores(shared.value, flat), pa.float64())], [*names, "score"])
 
     names = [id_col, *keep]
     kinds = dict(docs.dtypes)
@@ -158,9 +162,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select(*names, F.coalesce(remainder(F.col(id_col)) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that the classifier rejects. Rows that repeat id and text share a verdict."""
-    hashed = docs.withColumn("__qc_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    scored = quality_scores(hashed, labels, id_col, text_col, keep=("__qc_hash",), **options)
-    bad = hold(scored.filter("predicted = 0").select(F.col(id_col).alias("__qc_k"), F.col("__qc_hash").alias("__qc_h")).distinct(), "rejected")
-    return hashed.join(bad, F.expr(f"`{id_col}` <=> __qc_k and __qc_hash = __qc_h"), "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that the classifier rejects.
+
+    Texts are not shuffled: once the model is there, statistics are taken again while the rows stream by.
+    """
+    model = trained(hold(document_statistics(docs, id_col, text_col), "statistics"), labels, id_col, label_col, held_out)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            stats = np.array([statistics(x) for x in texts], float).reshape(-1, len(STATS))
+            yield batch.filter(pa.array(_scores(shared.value, stats) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
