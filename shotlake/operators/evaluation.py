@@ -84,8 +84,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 200, y: str
         F.count("*").cast("double").alias("n"), *[f.alias(f"{m}_{p}") for p in ps for m, f in (("ll", F.sum(log_loss(F.col(y), F.col(p)))), ("se", F.sum(squared_error(F.col(y), F.col(p)))))]
     ).withColumn("place", F.row_number().over(Window.orderBy(cluster)) - 1)
     spark = df.sparkSession
-    n = sums.count()
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).withColumn("place", bootstrap_draw(F.col("replicate"), F.col("k"), F.lit(max(n, 1))).cast("int"))
+    n = max(1, sums.count())
+    numbered = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("k"))
+    draws = numbered.withColumn("place", bootstrap_draw(F.col("replicate"), F.col("k"), F.lit(n)).cast("int"))
     per = draws.join(sums, "place").groupBy("replicate").agg(*[(F.sum(f"{m}_{p}") / F.sum("n")).alias(f"{m}_{p}") for p in ps for m in ("ll", "se")])
     names = [f"{m}_{p}" for p in ps for m in ("ll", "se")]
     if len(ps) > 1:
