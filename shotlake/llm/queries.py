@@ -108,4 +108,16 @@ SELECT page_id, host, path,
  (SELECT max_by(rule_host || rule_path, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
  coalesce((SELECT max_by(rule_verdict, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
   CASE WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM c""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, ws FROM d),
+t AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS times FROM p),
+c AS (SELECT k, count(*) AS covered FROM (SELECT DISTINCT k, unnest([i, i + 1, i + 2]) AS at FROM t WHERE times > 1) GROUP BY 1),
+m AS (SELECT doc_id, text, len(ls) AS n_lines, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ (len([x for x in ls if regexp_matches(x, '[^\x20\x09-\x0D]')]) - len(list_distinct([x for x in ls if regexp_matches(x, '[^\x20\x09-\x0D]')])))::BIGINT AS n_dup_lines, coalesce(covered, 0)::BIGINT AS n_repeat_words,
+ length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^!?]', '', 'g')) AS marks, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
+ len(regexp_extract_all(text, '(?m)^[\x20\t]*[-*•][\x20\t]')) AS bullets, len(regexp_extract_all(text, '(?m)(?:\.\.\.|…)$')) AS dots FROM d LEFT JOIN c USING (k)),
+b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words * 3 OR coalesce(word_chars / nullif(n_words, 0) NOT BETWEEN 2 AND 15, false) OR (n_dup_lines >= 5 AND n_dup_lines * 2 > n_lines)
+ OR upper * 2 > word_chars OR marks * 5 > n_words OR digits * 4 > word_chars OR bullets * 10 > n_lines * 9 OR dots * 10 > n_lines * 3) AS kept FROM b""",
 }
