@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
+#: Over how many tasks the edges of one node are dealt.
+SALTS = 16
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,7 +43,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: rows (node, label), label the least node reachable.
 
     Alternates large-star and small-star steps; each step moves neighbours to a node's least neighbour with
-    one grouped minimum and one join, so no node's neighbours ever meet in one task. Nodes without edges are
+    one grouped minimum and one salted join, so a node's neighbours never meet in one task. Nodes without edges are
     not returned. Every round is written to the shared folder.
     """
 
@@ -50,14 +52,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         at = kept.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first()
         return kept, tuple(at)
 
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """(a, b, m): m is the least of a and its neighbours. Salted, so that a hub's edges meet in many tasks."""
+        least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        spread = least.select(F.col("a").alias("n"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        return pairs.join(spread, (F.col("a") == F.col("n")) & (F.pmod(F.xxhash64("b"), F.lit(SALTS)) == F.col("s"))).select("a", "b", "m")
+
     now, mark = marked(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # every edge of large points from a larger node to a smaller one
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b")
+        # now every edge points from a larger node to a smaller one
+        large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        small = with_least(large).select(F.explode(ends).alias("e")).select("e.*").filter("a != b")
         following, new = marked(small)
         if new == mark:
             break
