@@ -128,7 +128,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # held, so that the join deals out both sides anew and Spark can split a line that very many documents hold
     first = hold(seeds.groupBy("line").agg(F.min(F.struct("o", "h")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", F.col("first.o").alias("fo"), F.col("first.h").alias("fh")), "first-holders")
     pairs = hold(seeds.join(first, "line").filter("o <> fo or h <> fh").select("o", "h", "fo", "fh").distinct(), "pairs")
-    heads = lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi")
+    # held as well: one document may be the first holder for very many others
+    heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
     both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
