@@ -95,19 +95,23 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least:
     gone: set[int] = set()
     a, places = list(earlier), list(range(len(later)))
     while places:
-        new: list[int] = []
+        aligned = patience(a, [later[p] for p in places])
+        if not aligned:
+            break
+        new: set[int] = set()
+        short: set[int] = set()
         block: list[tuple[int, int]] = []
-        for pair in [*patience(a, [later[p] for p in places]), None]:
+        for pair in [*aligned, None]:
             if block and (pair is None or pair[0] != block[-1][0] + 1 or places[pair[1]] != places[block[-1][1]] + 1):
-                if sum(sizes[places[y]] for _, y in block) >= least:
-                    new += [places[y] for _, y in block]
+                lines = {places[y] for _, y in block}
+                (new if sum(sizes[p] for p in lines) >= least else short).update(lines)
                 block = []
             if pair is not None:
                 block.append(pair)
-        if not new:
-            break
-        gone.update(new)
-        places = [p for p in places if p not in gone]
+        gone |= new
+        # short blocks stay, but must not keep lines that cross them from being aligned
+        settled = new or short
+        places = [p for p in places if p not in settled]
     return sorted(gone)
 
 

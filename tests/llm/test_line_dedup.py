@@ -19,6 +19,7 @@ def test_patience_keeps_order():
 def test_moved_blocks_go_and_short_ones_stay():
     a, b, sizes = [1, 2, 3, 10, 4, 5], [4, 5, 20, 1, 2, 3, 30, 10], [5, 5, 1, 5, 5, 5, 1, 1]
     assert L.common_blocks(a, b, sizes, 8) == [0, 1, 3, 4, 5]
+    assert L.common_blocks([1, 2, 3, 4], [8, 4, 1], [9, 1, 9], 8) == [2]  # the short line 4 crosses line 1
 
 
 def test_planted_passages(spark):
