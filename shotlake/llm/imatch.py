@@ -32,6 +32,8 @@ BITS, BLOCK = 24, 1 << 16
 IDF_BAND = (3.0, 16.0)
 LEVELS, COPIES, LEAST_LIVE = (2, 4, 6, 8, 10, 12), 16, 4
 EMPTY = 0
+#: Documents in a range of ids, and how many ranges there are at most unless Spark has more shuffle partitions.
+ROWS_A_PART, MAX_PARTS = 2500, 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -134,11 +136,11 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _neighbours(docs: DataFrame, id_col: str, text_col: str, n_docs: int) -> DataFrame:
     """Rows (part, wrapped, own, k, id, text): parts are ranges of ids, sorted; after a part's own rows comes the
     first document of the next one (after the last part: of the first). The bounds are quantiles, one a partition."""
     spark = docs.sparkSession
-    parts = max(48, shuffle_partitions(spark))
+    parts = max(48, shuffle_partitions(spark), min(MAX_PARTS, n_docs // ROWS_A_PART))
     keyed = docs.select(F.col(id_col), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = keyed.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
@@ -160,7 +162,7 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
     """For each row: n_chars, fingerprint, that of its edited text (see edit; the other text is the next document's
     by id), the edited text's SHA-256, and the likeness of the fingerprint to the edited and to the next text's."""
-    bitmap, _ = lexicon(docs, text_col, band)
+    bitmap, n_docs = lexicon(docs, text_col, band)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -181,4 +183,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
 
-    return _neighbours(docs, id_col, text_col).mapInArrow(rows, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _neighbours(docs, id_col, text_col, n_docs).mapInArrow(rows, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
