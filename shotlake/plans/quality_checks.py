@@ -9,7 +9,6 @@ from ..functions.json_text import has_key
 from ..operators import quality as Q
 from ..registry import query
 from ..sources.tables import sql_over, table, view
-from .analysis import SEASON
 from .cohort import SCOPE_SQL, scoped_matches
 
 # Rule names with their conditions in SQL that both engines read alike.
