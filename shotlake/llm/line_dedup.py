@@ -1,13 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Each line's hash leads to the first document that holds it (least id, then least text hash). A document is paired
-with the first holders of its lines, whether a line is rare or in a third of all documents: pairs grow with the
-lines, not with the square of a line's documents. Only lines of MIN_SEED_WORDS words or more make pairs, so chance
-repeats of "The." do not. Pairs carry line hashes, not texts. A patience diff aligns both documents' hashes; runs of
-lines that follow each other in both and hold at least MIN_BLOCK_WORDS words are deleted from the later document,
-and what is left is aligned again until nothing more is found, so moved blocks go as well.
+Each line with words starts a run: the fewest lines from there on that hold MIN_BLOCK_WORDS words (one long line, or
+several short ones). A run's hash leads to the first document that holds it (least id, then least text hash). A
+document is paired with the first holders of its runs, whether a run is rare or in a third of all documents: pairs
+grow with the lines, not with the square of a run's documents, and each block that may be deleted holds such a run.
+Pairs carry line hashes, not texts. A patience diff aligns both documents' hashes; runs of lines that follow each
+other in both and hold at least MIN_BLOCK_WORDS words are deleted from the later document, and what is left is
+aligned again until nothing more is found, so moved blocks go as well.
 
-A line's first holder keeps it, so every deleted text stays in the corpus once.
+A run's first holder keeps it, so every deleted text stays in the corpus once.
 
 Edge cases: null and empty texts have no lines to delete and stay as they are; lines are compared without the white
 space at their ends; null ids come last; rows that repeat both id and text are one document and share a result;
@@ -16,17 +17,19 @@ repeats within a document stay; no rows give no rows. Columns named __ld_* are t
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hold
 
-MIN_SEED_WORDS, MIN_BLOCK_WORDS = 4, 8
+MIN_BLOCK_WORDS = 8
 _LAST = (1 << 63) - 1
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -115,6 +118,23 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least:
     return sorted(gone)
 
 
+def runs(hashes: list[int], sizes: list[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
+    """Distinct hashes of the shortest runs of lines that hold `least` words, one for each line with words that starts
+    such a run; lines without words are passed over, so a run has `least` lines at most."""
+    import xxhash
+
+    inked = [(h, n) for h, n in zip(hashes, sizes) if n]
+    found = set()
+    for i, (h, n) in enumerate(inked):
+        k = i + 1
+        while n < least and k < len(inked):
+            n += inked[k][1]
+            k += 1
+        if n >= least:
+            found.add(h if k == i + 1 else xxhash.xxh64_intdigest(array("q", [x for x, _ in inked[i:k]]).tobytes()) - (1 << 63))
+    return list(found)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _EDGE, ""))
@@ -123,30 +143,34 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_words: int = MIN_SEED_WORDS, block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """Rows (o, h, gone) for documents that lose lines: o is the id (null: the largest long), h the text's hash,
     gone the positions from 0 of the lines to delete."""
     spark = docs.sparkSession
-    lines = hold(_lines(docs, id_col, text_col).dropDuplicates(["o", "h"]), "lines")
-    seeds = lines.select("o", "h", F.explode(F.array_distinct(F.expr(f"filter(hashes, (x, i) -> sizes[i] >= {int(seed_words)})"))).alias("line"))
-    # held, so that the join deals out both sides anew and Spark can split a line that very many documents hold
-    first = hold(seeds.groupBy("line").agg(F.min(F.struct("o", "h")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", F.col("first.o").alias("fo"), F.col("first.h").alias("fh")), "first-holders")
-    pairs = hold(seeds.join(first, "line").filter("o <> fo or h <> fh").select("o", "h", "fo", "fh").distinct(), "pairs")
-    # held as well: one document may be the first holder for very many others
-    heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
-    both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [runs(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3)))]
+            at = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for r in made for x in r], pa.int64())], ["o", "h", "run"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                gone = [common_blocks(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["o", "h", "gone"])
+        for batch in batches:
+            gone = [common_blocks(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["o", "h", "gone"])
 
+    lines = hold(_lines(docs, id_col, text_col).dropDuplicates(["o", "h"]), "lines")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
-    try:
+    try:  # a row holds the lines of one or two documents
         spark.conf.set(batch, 1000)
+        seeds = hold(lines.select("o", "h", "hashes", "sizes").mapInArrow(seed, "o long, h long, run long"), "runs")
+        # held, so that the join deals out both sides anew and Spark can split a run that very many documents hold
+        first = hold(seeds.groupBy("run").agg(F.min(F.struct("o", "h")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", F.col("first.o").alias("fo"), F.col("first.h").alias("fh")), "first-holders")
+        pairs = hold(seeds.join(first, "run").filter("o <> fo or h <> fh").select("o", "h", "fo", "fh").distinct(), "pairs")
+        # held as well: one document may be the first holder for very many others
+        heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
+        both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
         found = hold(both.select("o", "h", "earlier", "later", "sizes").mapInArrow(align, "o long, h long, gone array<int>").filter(F.size("gone") > 0), "aligned")
     finally:
         spark.conf.set(batch, before)

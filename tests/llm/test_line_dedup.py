@@ -41,6 +41,48 @@ def test_planted_passages(spark):
         assert done[i]["__ld_gone"] == ([] if i in clean or i == 0 else [2, 3, 4, 5])
 
 
+def test_runs():
+    sizes = {1: 9, 2: 3, 3: 4, 4: 2, 5: 0}
+    two = L.runs([2, 3, 5, 4], [3, 4, 0, 2])
+    assert len(two) == 1 and two == L.runs([2, 3, 4], [3, 4, 2]) and L.runs([1], [9]) == [1]
+    assert L.runs([2, 3], [3, 4]) == [] == L.runs([], []) and L.runs([5, 5], [0, 0]) == []
+    assert set(L.runs([1, 2, 3, 4], [sizes[k] for k in (1, 2, 3, 4)])) == {1, two[0]}
+
+
+def test_every_repeated_run_goes(spark):
+    """Brute force over all earlier documents: blocks of short lines go although each line was seen before elsewhere."""
+    rng = random.Random(6)
+    short = [sentence(rng, rng.randint(1, 5)) for _ in range(900)]
+    texts = [rng.sample(short, rng.randint(1, 12)) for _ in range(150)]
+    for i in range(20, 150, 3):
+        block = texts[rng.randrange(i)]
+        start = rng.randrange(len(block))
+        texts[i] = [x for x in texts[i] if x not in block] + block[start : start + 5]
+    expected = []
+    for i, lines in enumerate(texts):
+        gone = set()
+        for earlier in texts[:i]:
+            for a in range(len(lines)):
+                for b in range(len(earlier)):
+                    n = 0
+                    while a + n < len(lines) and b + n < len(earlier) and lines[a + n] == earlier[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[a : a + n]) >= L.MIN_BLOCK_WORDS:
+                        gone.update(range(a, a + n))
+        expected.append(sorted(gone))
+    assert sum(map(bool, expected)) >= 8
+    docs = spark.createDataFrame([row(i, "\n".join(x)) for i, x in enumerate(texts)], SCHEMA)
+    assert [r["__ld_gone"] for r in L.line_dedup(docs, report=True).orderBy("doc_id").collect()] == expected
+
+
+def test_short_lines_of_different_first_holders(spark):
+    rng = random.Random(8)
+    own = [sentence(rng, 5) for _ in range(4)]
+    texts = [[own[k], sentence(rng, 12)] for k in range(4)] + [own, [sentence(rng, 12), *own]]
+    docs = spark.createDataFrame([row(i, "\n".join(x)) for i, x in enumerate(texts)], SCHEMA)
+    assert [r["__ld_gone"] for r in L.line_dedup(docs, report=True).orderBy("doc_id").collect()] == [[], [], [], [], [], [1, 2, 3, 4]]
+
+
 def test_odd_rows(odd, none, odd_rows):
     done = L.line_dedup(odd)
     assert done.columns == odd.columns and done.count() == len(odd_rows)
