@@ -9,6 +9,10 @@ number of fingerprints, the number of tiles grows instead, so no link is lost an
 The comparison is exact, so its work grows with the square of the number of distinct fingerprints (about 1 ns a
 pair); see the README for measured figures.
 
+drop_near_texts links by similarity instead: texts whose fingerprints, 128 bits here, are near form candidate groups,
+and within each group the exact Jaccard similarity of the shingle sets decides which texts are linked. Both steps give
+forests; large groups are dealt into jobs of bounded size that hold every pair of the group's texts.
+
 Edge cases: a null, empty or blank text has fingerprint 0 and is linked like any other; a text of fewer words than
 a shingle is one shingle; equal texts share a fingerprint; a null id never names a component unless all its
 members' ids are null; no rows give no rows. Columns other than the id and the text are not read.
@@ -23,27 +27,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hold, shuffle_partitions
+from .common import broadcast_if_small, components, hold, shuffle_partitions
 
 SHINGLE, RADIUS, TILE = 4, 4, 16_384
+#: For drop_near_texts. At a similarity of 0.8 fingerprints differ in about 0.15 of their bits: 10 of 64 and 19 of 128,
+#: with deviations of 3 and 4. NEAR is the radius of the first 64 bits, NEAR_BOTH that of all 128.
+NEAR_SIZE, SIMILARITY, NEAR, NEAR_BOTH = 5, 0.8, 20, 32
+#: Texts and shingles of half a job.
+JOB_TEXTS, JOB_SHINGLES = 1024, 1_000_000
 HASH_SEED = 42
 _ROWS = 32
 
 
-def simhash(text: bytes | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of UTF-8 text: a bit is set if more than half the shingles' hashes have it."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of UTF-8 text, in order and with repeats."""
     import xxhash
 
     found = (text or b"").lower().split()  # for bytes: A-Z only, and ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= size:
-        return digest(joined, HASH_SEED)
+        return np.array([digest(joined, HASH_SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(found) - size + 1
-    hashes = np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned word whose bits are set if more than half the hashes have them; 0 for none."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):  # bounded memory for very long texts
         block = np.ascontiguousarray(hashes[at : at + (1 << 14)]).astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -51,6 +65,18 @@ def simhash(text: bytes | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def mixed_bits(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles (the last steps of SplitMix64)."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(text: bytes | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of UTF-8 text: a bit is set if more than half the shingles' hashes have it."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, fp, *keep): fp is the fingerprint as a signed long."""
 
@@ -64,8 +90,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.mapInArrow(run, ", ".join([f"`{id_col}` {kinds[id_col]}", "fp long", *(f"`{k}` {kinds[k]}" for k in keep)]))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a and b of links within the radius that connect all that any links between a and b connect."""
+def _forest(a: np.ndarray, b: np.ndarray, radius: int, more: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b of links within the radius that connect all that any links between a and b connect.
+
+    more: further words of a and of b, and the radius for both words together."""
     parent = np.arange(len(a) + len(b))
     got: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(a), _ROWS):
@@ -73,7 +101,11 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
         if not near.any():
             continue
         i, j = np.nonzero(near)
-        i, j = i + at, j + len(a)
+        i = i + at
+        if more is not None:
+            close = np.bitwise_count(a[i] ^ b[j]) + np.bitwise_count(more[0][i] ^ more[1][j]) <= more[2]
+            i, j = i[close], j[close]
+        j = j + len(a)
         while len(i):
             ri, rj = parent[i], parent[j]
             apart = ri != rj
@@ -93,17 +125,26 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b): a forest for each compared pair of tiles."""
+def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, both_radius: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) to links (a, b): a forest for each compared pair of tiles.
+
+    With both_radius, rows are (node, fp, more) with distinct nodes, links are of nodes, and both words together must
+    be within both_radius as well."""
     spark = fps.sparkSession
-    counted = fps.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("p"), F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)).alias("q"))
+    wide = max(1, radius // 4)  # counts are taken in steps of this, so that a wide radius doesn't pair very many small tiles
+    held = [F.col(c) for c in (("fp",) if both_radius is None else ("fp", "node", "more"))]
+    counted = fps.select(*held, (F.bit_count(F.shiftrightunsigned("fp", 32)) / wide).cast("int").alias("p"), (F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)) / wide).cast("int").alias("q"))
     cells = {(r.p, r.q): r.n for r in counted.groupBy("p", "q").agg(F.count("*").alias("n")).collect()}  # 33 * 33 rows at most
     if not cells:
         return spark.createDataFrame([], "a long, b long")
     chunks = {k: -(-n // tile) for k, n in cells.items()}
     table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in chunks.items()], "p int, q int, chunks int"))
-    tile_id = ((F.col("p") * 33 + F.col("q")).cast("long") * (1 << 40)) + F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    tiles = hold(counted.join(table, ["p", "q"]).withColumn("tile", tile_id).groupBy("tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    tile_id = ((F.col("p") * 33 + F.col("q")).cast("long") * (1 << 40)) + F.pmod(F.xxhash64("fp" if both_radius is None else "node"), F.col("chunks"))
+    tiles = hold(counted.join(table, ["p", "q"]).withColumn("tile", tile_id).groupBy("tile").agg(F.collect_list(F.struct(*held)).alias("fps")), "tiles")
+
+    def apart(x: int, y: int) -> int:
+        """The least difference of two counts."""
+        return (abs(x - y) - 1) * wide + 1 if x != y else 0
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, list[tuple[int, int]]] = {}
@@ -112,7 +153,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                 cell = t >> 40
                 if cell not in near:
                     p, q = divmod(cell, 33)
-                    near[cell] = [(x * 33 + y, n) for (x, y), n in chunks.items() if abs(x - p) + abs(y - q) <= radius and x * 33 + y >= cell]
+                    near[cell] = [(x * 33 + y, n) for (x, y), n in chunks.items() if apart(x, p) + apart(y, q) <= radius and x * 33 + y >= cell]
                 others = np.concatenate([(c << 40) + np.arange(n, dtype=np.int64) for c, n in near[cell]])
                 others = others[others >= t]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), t)), pa.array(others)], ["tile", "other"])
@@ -120,20 +161,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b = (batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in (0, 1))
-                i, j = _forest(a.view(np.uint64), b.view(np.uint64), radius)
+                words = [[x.to_numpy(zero_copy_only=False) for x in batch.column(k)[row].values.flatten()] for k in (0, 1)]
+                a, b = (w[0].view(np.uint64) for w in words)
+                more = None if both_radius is None else (words[0][2].view(np.uint64), words[1][2].view(np.uint64), both_radius)
+                i, j = _forest(a, b, radius, more)
+                a, b = (w[0] if both_radius is None else w[1] for w in words)
                 different = a[i] != b[j]
                 yield pa.RecordBatch.from_arrays([pa.array(a[i][different]), pa.array(b[j][different])], ["a", "b"])
 
-    work = sum(n * cells[k] for (p, q), n in cells.items() for k in cells if abs(k[0] - p) + abs(k[1] - q) <= radius)
+    work = sum(n * cells[k] for (p, q), n in cells.items() for k in cells if apart(k[0], p) + apart(k[1], q) <= radius)
     parts = max(shuffle_partitions(spark), min(100_000, work // 2_000_000_000))
     pairs = tiles.select("tile").mapInArrow(partners, "tile long, other long")
     left = pairs.join(tiles.withColumnRenamed("fps", "left"), "tile").select("other", "left").repartition(parts, "other")
     both = left.join(tiles.select(F.col("tile").alias("other"), F.col("fps").alias("right")), "other").select("left", "right")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
-    try:  # a row holds two tiles of up to 128 KB or so
-        spark.conf.set(batch, 64)
+    try:  # a row holds two tiles of up to 128 KB a word or so
+        spark.conf.set(batch, 64 if both_radius is None else 16)
         return hold(both.mapInArrow(compare, "a long, b long"), "near")
     finally:
         spark.conf.set(batch, before)
@@ -150,6 +194,82 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(named, "fp")
 
 
+def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that connect all sets (sorted, distinct) whose Jaccard similarity is enough; two empty sets are equal."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(ids, kind="stable")]  # of each shingle in turn
+    starts = np.cumsum(often) - often
+    ends = np.cumsum(sizes)
+    group = np.arange(len(sets))
+    got: list[tuple[int, int]] = []
+    for i in range(len(sets)):
+        mine = ids[ends[i] - sizes[i] : ends[i]]
+        each = often[mine]
+        at = np.repeat(starts[mine] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        shared = np.bincount(holders[at], minlength=len(sets))
+        enough = shared >= similarity * (sizes[i] + sizes - shared) - 1e-9
+        for j in np.flatnonzero(enough & (group != group[i])).tolist():
+            if group[j] != group[i]:
+                got.append((i, j))
+                group[group == group[j]] = group[i]
+    x = np.array(got, np.int64).reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
+def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY, radius: int = NEAR, both_radius: int = NEAR_BOTH) -> DataFrame:
+    """Rows (node, label) for texts that have a link: label is the least node reachable. node_col has a text's hash."""
+    spark = docs.sparkSession
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_hashes(x, size) for x in batch.column(1).to_pylist()]
+            words = [pa.array(np.array([majority(f(x)) for x in made], np.uint64).view(np.int64)) for f in (lambda x: x, mixed_bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words], ["node", "fp", "more"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(x, size).view(np.int64)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))], ["node", "label", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                nodes, sets = batch.column(0)[row].values.flatten()
+                i, j = similar([sets[k].values.to_numpy(zero_copy_only=False) for k in range(len(sets))], similarity)
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], ["a", "b"])
+
+    texts = docs.select(F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    signed = hold(texts.mapInArrow(sign, "node long, fp long, more long"), "signatures")
+    nodes = hold(signed.dropDuplicates(["node"]), "texts")
+    near = hold(components(near_links(nodes, radius, both_radius=both_radius)), "candidates")
+    few = texts.join(broadcast_if_small(near), "node").groupBy("node").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text"))
+    sets = hold(few.select("node", "label", "text").mapInArrow(cut, "node long, label long, shingles array<long>"), "shingles")
+    parts = sets.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / JOB_TEXTS), F.ceil(F.sum(F.size("shingles")) / JOB_SHINGLES)).alias("parts"))
+    mine = sets.join(hold(parts, "parts"), "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = mine.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # one part goes with each of the others; alone it is needed only if it is the only one
+    jobs = dealt.filter("parts = 1 or part <> with").groupBy("label", F.least("part", "with"), F.greatest("part", "with")).agg(F.collect_list(F.struct("node", "shingles")).alias("texts"))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:  # a row holds a job
+        spark.conf.set(batch, 4)
+        links = hold(jobs.select("texts").mapInArrow(check, "a long, b long"), "similar")
+    finally:
+        spark.conf.set(batch, before)
+    return components(links)
+
+
+def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of texts that links of enough similarity connect: that of least id (then of
+    least text hash) stays. Equal texts are similar, as are texts without words. Options are those of similar_texts."""
+    marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    labels = hold(similar_texts(marked, "__nd_hash", text_col, **options), "labels").withColumnRenamed("node", "__nd_hash")
+    found = marked.select(id_col, "__nd_hash").join(labels, "__nd_hash", "left").withColumn("group", F.coalesce("label", "__nd_hash"))
+    return _leading(docs, marked, hold(found, "groups"), ["group"], id_col)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of least id (then of least text hash) stays.
 
@@ -157,7 +277,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     found = hold(near_components(marked, id_col, text_col, size, radius, ("__nd_hash",)).withColumn("group", F.coalesce(F.xxhash64("component_id"), F.col("fp"))), "groups")
-    leaders = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("group")).alias("g")).agg(F.min_by("__nd_hash", F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)), "__nd_hash")).alias("h"), F.min(F.col(id_col)).alias("k"))
+    return _leading(docs, marked, found, ["component_id", F.when(F.col("component_id").isNull(), F.col("group")).alias("g")], id_col)
+
+
+def _leading(docs: DataFrame, marked: DataFrame, found: DataFrame, group: list, id_col: str) -> DataFrame:
+    """Of marked (docs with __nd_hash), one row of each group of found (id, __nd_hash and what names groups)."""
+    leaders = found.groupBy(*group).agg(F.min_by("__nd_hash", F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)), "__nd_hash")).alias("h"), F.min(F.col(id_col)).alias("k"))
     rows = found.groupBy(F.col(id_col).alias("k"), F.col("__nd_hash").alias("h")).agg(F.count("*").alias("rows"))
     ahead = leaders.alias("l").join(rows.alias("r"), F.expr("l.k <=> r.k and l.h = r.h")).select(F.col("r.k").alias("__nd_k"), F.col("r.h").alias("__nd_h"), F.col("rows").alias("__nd_rows"))
     ahead = hold(ahead, "leaders")

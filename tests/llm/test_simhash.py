@@ -1,12 +1,15 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 
 from shotlake.llm import simhash
 from shotlake.llm.common import components
 
+from .conftest import SCHEMA, row, sentence
+
 
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or ""))
@@ -79,3 +82,37 @@ def test_odd_rows(odd, none, odd_rows):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, set(want)))
     assert simhash.drop_near_duplicates(none).count() == 0
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_texts_go_by_similarity(spark, odd, none, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for k in range(12):
+        base = sentence(rng, 80).split()
+        texts.append(" ".join(base))
+        for edits in range(1, 5):
+            copy = list(base)
+            for at in rng.sample(range(80), edits):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), texts[0], "", " \n", "two words", "two words more"]
+    parent = list(range(len(texts)))
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if jaccard(x.lower(), texts[j].lower()) >= 0.8:
+                parent = [parent[j] if p == parent[i] else p for p in parent]
+    want = sorted({p: parent.index(p) for p in parent}.values())
+    assert 12 < len(want) < 60
+    table = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    for job in (simhash.JOB_TEXTS, 2):  # as one job for a group, and as several
+        monkeypatch.setattr(simhash, "JOB_TEXTS", job)
+        assert sorted(r.doc_id for r in simhash.drop_near_texts(table).collect()) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, table, "").collect()) == want
+    kept = simhash.drop_near_texts(odd)
+    assert kept.columns == odd.columns and kept.count() == len({(r.text or "").strip() for r in odd.collect()})
+    assert simhash.drop_near_texts(none).count() == 0
