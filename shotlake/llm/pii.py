@@ -4,7 +4,7 @@ Emails, addresses, card and phone numbers that match a strict form are seeds. Th
 patterns ("w2 w1 _" and "w1 _ r1", with the class of the token in the slot). Candidates are tokens of the same
 coarse classes that miss the strict forms. Patterns and instances make a graph that is scored in rounds: a
 pattern's confidence is the sum of its instances' scores over their number plus one, if at least MIN_SEEDS of them
-are distinct seeds; an instance's score is that of a seed (1), or 1 - the product of (1 - confidence) over its
+are seeds or were accepted in an earlier round; an instance's score is that of a seed (1), or 1 - the product of (1 - confidence) over its
 patterns. Instances that end at ACCEPT or above are new identifiers and each of their places is added.
 
 Edge cases: a null or empty text has no spans; positions are code points from 0, ends exclusive; matches are taken
@@ -133,8 +133,8 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
         scanned.select(F.explode("seen").alias("s")).select("s.node", "s.seed", F.explode("s.patterns").alias("pattern")).groupBy("pattern", "node").agg(F.max("seed").alias("seed")),
         "pii-edges",
     )
-    # only patterns with enough seeds can ever score, and only among them do others matter
-    useful = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count("*").alias("n")).filter((F.col("seeds") >= min_seeds) & (F.col("n") > F.col("seeds")))
+    # a pattern of fewer instances can never count, and one of seeds alone adds nothing
+    useful = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count("*").alias("n")).filter((F.col("n") >= min_seeds) & (F.col("n") > F.col("seeds")))
     edges = hold(edges.join(useful.select("pattern"), "pattern", "left_semi"), "pii-graph")
     scores = None
     for _ in range(rounds):
@@ -142,7 +142,8 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
             scored = edges.withColumn("score", F.col("seed").cast("double"))
         else:
             scored = edges.join(scores, "node", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        confidence = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE)
+        known = F.sum((F.col("score") >= accept).cast("long"))  # seeds, and what earlier rounds accepted
+        confidence = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), known.alias("known")).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("known") >= min_seeds)).drop("known")
         missed = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
         scores = hold(edges.filter("not seed").join(confidence, "pattern").groupBy("node").agg((1 - F.exp(missed)).alias("found")), "pii-scores")
     return scores.filter(F.col("found") >= accept).select("node")

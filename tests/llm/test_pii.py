@@ -47,6 +47,15 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[100] == "phone:23:35" and got[101] == "email:12:28" and got[102] == ""
 
 
+def test_accepted_instances_induce_patterns(spark):
+    seeds = [row(i, f"some words call me at +1 (437) 555-{1000 + i} please") for i in range(40)]
+    first = [row(100 + i, f"other words call me at 437-555-019{i} please") for i in range(3)]
+    again = [row(110 + i, f"reach our desk under 437-555-019{i} any weekday") for i in range(3)]
+    last = [row(120, "reach our desk under 437-555-0777 any weekday"), row(121, "room number 437-555-0100 is no identifier here")]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find_pii(spark.createDataFrame(seeds + first + again + last, SCHEMA))).collect()}
+    assert all(got[k] == "phone:21:33" for k in (110, 111, 112, 120)) and got[121] == ""
+
+
 def test_odd_rows(odd, none, odd_rows, spark, sf_dir):
     assert pii.report(pii.find_pii(odd)).count() == len(odd_rows)
     assert pii.report(pii.find_pii(none)).count() == 0
