@@ -185,12 +185,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, both_radi
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, fp, component_id, *keep) for each row of docs; component_id is the least id reachable by links."""
+    return _labelled(docs, id_col, text_col, size, radius, keep).drop("label")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, keep: tuple[str, ...]) -> DataFrame:
+    """near_components with label, a component's least fingerprint."""
     made = hold(fingerprints(docs, id_col, text_col, size, keep), "fingerprints")
     least = hold(made.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     labels = components(near_links(least.select("fp"), radius)).withColumnRenamed("node", "fp")
     labelled = least.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     firsts = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(firsts, "label").select("fp", "component_id")
+    named = labelled.join(firsts, "label").select("fp", "component_id", "label")
     return made.join(named, "fp")
 
 
@@ -273,11 +278,12 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of least id (then of least text hash) stays.
 
-    Rows that repeat id and text leave one row. A group in which all ids are null is led by its least text hash.
+    Rows that repeat id and text leave one row. Components are told apart by label, not by id.
     """
     marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    found = hold(near_components(marked, id_col, text_col, size, radius, ("__nd_hash",)).withColumn("group", F.coalesce(F.xxhash64("component_id"), F.col("fp"))), "groups")
-    return _leading(docs, marked, found, ["component_id", F.when(F.col("component_id").isNull(), F.col("group")).alias("g")], id_col)
+    found = hold(_labelled(marked, id_col, text_col, size, radius, ("__nd_hash",)), "groups")
+    # by label: one id may come with unlinked texts, and then two components share a component_id
+    return _leading(docs, marked, found, ["label"], id_col)
 
 
 def _leading(docs: DataFrame, marked: DataFrame, found: DataFrame, group: list, id_col: str) -> DataFrame:

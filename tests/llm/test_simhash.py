@@ -116,3 +116,11 @@ def test_near_texts_go_by_similarity(spark, odd, none, monkeypatch):
     kept = simhash.drop_near_texts(odd)
     assert kept.columns == odd.columns and kept.count() == len({(r.text or "").strip() for r in odd.collect()})
     assert simhash.drop_near_texts(none).count() == 0
+
+
+def test_one_id_with_unlinked_texts(spark):
+    rng = random.Random(11)
+    x, y = sentence(rng, 60), sentence(rng, 60)
+    table = spark.createDataFrame([row(1, x), row(1, y), row(2, y)], SCHEMA)
+    for drop in (simhash.drop_near_duplicates, simhash.drop_near_texts):
+        assert sorted((r.doc_id, r.text) for r in drop(table).collect()) == sorted([(1, x), (1, y)])
