@@ -1,12 +1,16 @@
 """Main text of web pages by minimum cut.
 
-A page becomes blocks of text in page order. Each block's classifier cost (from its elements, class and id words,
-links and length) becomes a terminal capacity: positive ones tie it to "content", negative ones to "boilerplate".
-Smoothness edges join blocks that follow each other, and blocks that follow each other under one parent, the
-stronger the nearer they are in the document tree. Maximum flow finds the cheapest cut. Blocks whose terminal
+A page becomes blocks of text in page order, each at its place in the element tree. Marks come from element names,
+roles and the words of class and id: content (article, main), furniture (nav, footer, comments, adverts, ...) or
+none. One element that holds most of the page's prose may be the primary one; marks on the elements around it then
+say nothing, since they name the layout, and blocks outside weigh less. Marks and text (length, share of links) give
+each block a classifier cost, which becomes a terminal capacity: positive ones tie it to "content", negative ones to
+"boilerplate". Smoothness edges join blocks that follow each other, and blocks that follow each other under one
+parent, the stronger the nearer they are in the tree. Maximum flow finds the cheapest cut. Blocks whose terminal
 outweighs all their edges keep its side in every minimum cut, so they are settled before the flow runs.
 
-White space inside a block becomes one space, blocks are joined by an empty line; nothing is capped.
+White space inside a block becomes one space, blocks are joined by an empty line; nothing is capped. Elements point
+to their parents, and open elements are kept by name, so deep or unclosed markup costs linear time and memory.
 
 Edge cases: null and empty html give an empty text; broken markup is read as far as it goes: open elements end with
 their parents, an open comment runs to the end; a page without content blocks gives an empty text; rows that repeat
@@ -16,7 +20,7 @@ are treated one by one; no rows give no rows. Columns other than those named are
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,132 +28,273 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-# Elements of HTML and the words that name page furniture.
+_PART = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Elements of HTML, roles, and the words of class and id names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option datalist button".split())
-_RAW = frozenset("script style noscript template iframe textarea title".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-_ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_ELEMENT_COST = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.0}
-_FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond share sharing social subscribe newsletter signup login related recommended pagination pager toolbar copyright hidden search".split())
-_CONTENT = frozenset("article content entry post story main body text maincontent articlebody".split())
+_RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
+_SKIPPED = frozenset("head template object svg canvas audio video select option datalist button annotation annotation-xml".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
+_LISTS, _TABLE, _BOUNDS = ("ul", "ol", "dl", "menu", "dir", "table"), ("table", "template"), ("table", "td", "th", "caption", "button", "object", "template")
+_PLAIN = frozenset("p li dt dd td th pre blockquote figcaption caption summary html body".split()) | _HEADINGS
+_STATE = frozenset("has have with without no not is show hide off on enabled disabled layout template theme".split())
+_GENERIC = frozenset("wrap wrapper container inner outer box block area section list item items group row col column panel region holder module form link links button btn title text label icon bar top bottom left right main primary secondary".split())
+_HEADER = frozenset("header masthead topbar".split())
+_SIDE = frozenset("sidebar sidebars rail nav navigation navbar footer".split())
+_FURNITURE = _SIDE | frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions menu menus breadcrumb breadcrumbs aside widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay comment comments commentlist disqus replies respond share sharing sharebar social subscribe subscription newsletter signup login signin related recommended recommendations recirculation teaser teasers pagination pager toolbar copyright search searchform paywall outbrain taboola".split())
+_LEADS = _FURNITURE - {"aside", "search", "related", "recommended", "alert", "notice", "share", "social", "comment", "widget", "modal", "overlay", "promotion", "subscription"} | {"commenters", "skip"}
+_RELATED = frozenset("related recommended popular trending more latest".split())
+_ELSEWHERE = frozenset("posts articles stories content news reading videos products topics reads".split())
+_CONTENT = frozenset("article articles content entry post story body maincontent articlebody articlecontent postcontent".split())
+_ROLES = {"navigation": "hard", "contentinfo": "hard", "complementary": "hard", "search": "hard", "dialog": "hard", "alertdialog": "hard", "alert": "hard", "menu": "hard", "menubar": "hard", "toolbar": "hard", "banner": "header", "main": "main", "article": "article", "form": "form"}
+_NAMES = {"nav": "hard", "footer": "hard", "aside": "hard", "dialog": "hard", "menu": "hard", "search": "hard", "form": "form", "header": "header", "article": "article", "main": "main"}
+#: Costs by mark, as log-odds of content: furniture, and content by what holds the block.
+BAD, GOOD = {"hard": 9.0, "form": 7.0, "side": 7.0, "soft": 7.0, "header": 4.0}, {"article": 5.0, "main": 4.0, "content": 2.0}
+#: By text: a word (up to LONG words' worth), an empty block, a share of links of one (in short blocks), a heading, a
+#: short list item; and what a block outside the primary element loses, by that element's mark.
+WORD, LONG, NONE, LINKED, HEADING, SHORT_ITEM = 0.15, 2.0, -0.5, -4.0, 0.5, -1.0
+OUTSIDE = {"article": -2.5, "main": -2.5, "content": -1.0}
+#: The share of unmarked prose that a primary element holds at least, and the smoothness of two parts of one element.
+PRIMARY, SMOOTH, EPSILON = 0.5, 1.6, 1e-9
 _SPACE = " "
 
 
-def blocks(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
-    """(text, cost, path) of each block: path holds the numbers of the open block elements, outermost first."""
-    found: list[tuple[str, float, tuple[int, ...]]] = []
-    stack: list[tuple[str, int, float, bool]] = []  # name, number, cost so far, inside a link
-    text: list[str] = []
-    linked = 0
-    number = 0
+def _named(value: str) -> str | None:
+    """What a class or id value says: a mark, or None. Names are read by their last word that isn't generic."""
+    found = None
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or _STATE & set(words):
+            continue
+        core = list(words)
+        while len(core) > 1 and core[-1] in _GENERIC:
+            core.pop()
+        last = core[-1]
+        if last in _FURNITURE or (words[0] in _LEADS and not last.endswith("layout")) or (words[0] in _RELATED and words[-1] in _ELSEWHERE):
+            return "side" if last in _SIDE else "soft"
+        if last in _HEADER:
+            found = "header"
+        elif found is None and last in _CONTENT:
+            found = "content"
+    return found
+
+
+def _mark(name: str, attributes: str) -> tuple[str | None, bool]:
+    """(mark, whether the element isn't shown)."""
+    mark, hidden = _NAMES.get(name), False
+    if attributes:
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), (values[0] or values[1] or values[2])
+            if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                hidden = value.lower() != "until-found"
+            elif key == "aria-hidden" and value.lower() == "true" and name in _BLOCK:
+                hidden = True
+            elif name not in _BLOCK or name in ("html", "body"):
+                continue
+            elif key == "role":
+                mark = _ROLES.get(value.strip().lower(), mark)
+            elif key == "itemprop" and value.lower() == "articlebody":
+                mark = "article"
+            elif key == "class" or (key == "id" and name not in _PLAIN):
+                if key == "class" and re.search(r"(?:^|\s)(?:hidden|visually-hidden|sr-only|screen-reader-text)(?:\s|$)", value) and not re.search(r":(?:block|flex|grid|inline)", value):
+                    hidden = True
+                said = _named(value)
+                if said is not None and (mark is None or (mark in ("article", "main", "content") and said in ("soft", "side"))):
+                    mark = said
+    return mark, hidden
+
+
+class Page:
+    """The element tree and the blocks of a page. Element 0 is the page itself; parents come before their children."""
+
+    def __init__(self, html: str):
+        self.parents, self.tags, self.marks, self.shown = [0], [""], [None], [True]
+        #: text, words, share of links, element, nearest block element, the one around that, depth, and the depth that
+        #: the block shares with the one before it (both in block elements)
+        self.blocks: list[tuple[str, int, float, int, int, int, int, int]] = []
+        self._names, self._numbers, self._skips = [""], [0], [False]  # of the open elements, outermost first
+        self._places: dict[str, list[int]] = defaultdict(list)  # where open elements of a name are among them
+        self._holders = [0]  # where the block elements are
+        self._text: list[str] = []
+        self._linked = self._links = self._shared = 0
+        self._read(html)
 
-    def flush() -> None:
-        nonlocal linked
-        joined = _SPACE.join("".join(text).split())
-        text.clear()
+    def _top(self, *names: str) -> int:
+        return max((self._places[n][-1] for n in names if self._places[n]), default=-1)
+
+    def _flush(self) -> None:
+        joined = _SPACE.join("".join(self._text).split())
         if joined:
-            cost = stack[-1][2] if stack else 0.0
-            n = len(joined.split())
-            names = {s[0] for s in stack}
-            cost += min(2.0, 0.15 * n) - 0.5 - 4.0 * min(1.0, linked / len(joined)) * (n < 40)
-            if names & {"h1", "h2", "h3", "h4", "h5", "h6"}:
-                cost += 0.5
-            if "li" in names and n < 4:
-                cost -= 1.0
-            found.append((joined, cost, tuple(s[1] for s in stack if s[0] in _BLOCK)))
-        linked = 0
-
-    def close(at: int) -> None:
-        if any(s[0] in _BLOCK for s in stack[at:]):
-            flush()
-        del stack[at:]
-
-    skip, at = "", 0
-    while at < len(html):
-        if skip in _RAW:  # raw text runs to its own end tag
-            end = re.compile(rf"</{skip}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at, skip = (end.end() if end else len(html)), ""
-            continue
-        m = _PART.match(html, at)
-        if m is None:  # an unfinished tag with an open quote: read it as far as the next sign
-            end = html.find(">", at)
-            at = len(html) if end < 0 else end + 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            if not (stack and stack[-1][0] in _SKIPPED):
-                piece = unescape(m[4])
-                text.append(piece)
-                if stack and stack[-1][3]:
-                    linked += len(piece)
-            continue
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                close(k)
-            elif name == "p":
-                flush()
-            continue
-        if name == "br":
-            text.append(_SPACE)
-            continue
-        if name in _VOID:
-            if name == "hr":
-                flush()
-            continue
+            number, depth = self._numbers, len(self._holders)
+            around = number[self._holders[-2]] if depth > 1 else -1
+            linked = min(1.0, self._linked / len(joined))
+            self.blocks.append((joined, joined.count(_SPACE) + 1, linked, number[-1], number[self._holders[-1]], around, depth, self._shared))
+            self._shared = depth
+        self._text.clear()
+        self._linked = 0
+
+    def _close(self, at: int) -> None:
+        """The open element at this place ends, with those inside it."""
+        if self._holders[-1] >= at:
+            self._flush()
+        while len(self._names) > at:
+            name = self._names.pop()
+            self._numbers.pop()
+            self._skips.pop()
+            if name:
+                self._places[name].pop()
+            if name == "a":
+                self._links -= 1
+            if self._holders[-1] == len(self._names):
+                self._holders.pop()
+        self._shared = min(self._shared, len(self._holders))
+
+    def _end(self, name: str) -> None:
+        at = self._top(*_HEADINGS) if name in _HEADINGS else self._top(name)
         if name in _BLOCK:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and name not in ("html", "body"):
-                close(k)
-            if name in _ENDS_SAME:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _ENDS_SAME[name]), None)
-                limit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("ul", "ol", "dl", "table", "menu")), -1)
-                if k is not None and k > limit:
-                    close(k)
-            flush()
-        if name in _SKIPPED and stack and stack[-1][0] in _SKIPPED:
-            pass
-        number += 1
-        above = stack[-1] if stack else ("", 0, 0.0, False)
-        cost = above[2] + _ELEMENT_COST.get(name, 0.0)
-        if name == "header" and any(s[0] in ("article", "main") for s in stack):
-            cost += 3.0
-        for mark in _MARKS.finditer(m[3]):
-            key, value = mark[1].lower(), (mark[2] or mark[3] or mark[4] or "").lower()
-            if key in ("class", "id", "role"):
-                named = set(re.split(r"[^a-z]+", value))
-                cost += -9.0 if named & _FURNITURE and name not in ("body", "html", "article", "main") else 2.0 if named & _CONTENT else 0.0
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                cost -= 9.0
-        stack.append((name, number, cost, above[3] or name == "a"))
-        if name in _RAW:
-            skip = name
-            stack.pop()
-    flush()
-    return found
+            bounds = _TABLE if name in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption") else (*_BOUNDS, "ul", "ol") if name == "li" else _BOUNDS
+            if at > self._top(*(b for b in bounds if b != name)):
+                self._close(at)
+            elif name == "p":
+                self._flush()
+        elif at > self._holders[-1]:
+            self._close(at)
+        elif name == "a" and at > 0:  # block elements inside it are open: they stay, and no longer link
+            self._places["a"].pop()
+            self._names[at] = ""
+            self._links -= 1
 
+    def _start(self, name: str, attributes: str) -> None:
+        block = name in _BLOCK
+        if block:
+            if name in ("html", "body") and self._places[name]:
+                return
+            if name != "html" and self._places["head"]:
+                self._close(self._top("head"))
+            if self._top("svg") > self._holders[-1]:
+                self._close(self._top("svg"))
+            p = self._top("p")
+            if p > self._top(*_BOUNDS):
+                self._close(p)
+            if name in _ENDS:
+                at = self._top(*_ENDS[name])
+                if at > self._top(*(_LISTS if name in ("li", "dt", "dd") else ("table",))):
+                    self._close(at)
+            self._flush()
+        elif name in ("a", "button") and self._places[name]:
+            self._end(name)
+        elif attributes.endswith("/") and (self._places["svg"] or self._places["math"]):
+            return
+        mark, hidden = _mark(name, attributes)
+        number = len(self.parents)
+        self.parents.append(self._numbers[-1])
+        self.tags.append(name)
+        self.marks.append(mark)
+        self.shown.append(not hidden or name in ("html", "body"))
+        self._places[name].append(len(self._names))
+        if block:
+            self._holders.append(len(self._names))
+        self._links += name == "a"
+        self._names.append(name)
+        self._numbers.append(number)
+        self._skips.append(self._skips[-1] or name in _SKIPPED or (hidden and not block))
 
-def edges(paths: list[tuple[int, ...]]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: page neighbours, and neighbours under one parent; nearer in the tree is stronger."""
+    def _read(self, html: str) -> None:
+        at, raw = 0, ""
+        while at < len(html):
+            if raw:  # raw text runs to its own end tag
+                end = re.compile(rf"</{raw}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                at, raw = (end.end() if end else len(html)), ""
+                continue
+            m = _PART.match(html, at)
+            if m is None:  # an unfinished tag with an open quote: read it as far as the next sign
+                end = html.find(">", at)
+                at = len(html) if end < 0 else end + 1
+                continue
+            at = m.end()
+            if m[4] is not None:
+                if not self._skips[-1]:
+                    piece = unescape(m[4])
+                    self._text.append(piece)
+                    self._linked += len(piece) if self._links else 0
+                continue
+            name = (m[2] or "").lower()
+            if m[1]:
+                self._end(name)
+            elif name == "br":
+                self._text.append(_SPACE)
+            elif name == "hr":
+                self._start(name, "")
+                self._close(len(self._names) - 1)
+            elif name in _RAW:
+                raw = name
+            elif name and name not in _VOID:
+                self._start(name, m[3])
+        self._flush()
 
-    def near(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        return 1.6 / (1 + len(a) + len(b) - 2 * same)
+    def _primary(self, free: list[int], furniture: list[bool]) -> int:
+        """The element that holds most of the prose that no furniture holds, or 0: an article, else main, else the
+        outermost that is named like content."""
+        for kind in ("article", "main", "content"):
+            found = [e for e, m in enumerate(self.marks) if m == kind]
+            best = max(found, key=lambda e: (free[e], -e), default=0)
+            if best and free[best] > 0 and free[best] >= PRIMARY * (free[0] + (free[best] if furniture[best] else 0)):
+                return best
+        return 0
 
-    found = [(i, i + 1, near(paths[i], paths[i + 1])) for i in range(len(paths) - 1)]
-    last: dict[tuple[int, ...], int] = {}
-    for i, path in enumerate(paths):
-        j = last.get(path[:-1])
-        if j is not None and j < i - 1:
-            found.append((j, i, near(paths[j], path)))
-        last[path[:-1]] = i
-    return found
+    def costs(self) -> list[float]:
+        """Of each block, above zero for content."""
+        n = len(self.parents)
+        weighs = [BAD.get(m, 0.0) if s else BAD["hard"] for m, s in zip(self.marks, self.shown)]
+        furniture = [w >= BAD["soft"] for w in weighs]
+        free = [0] * n  # words of prose in an element, outside the furniture in it
+        for _, words, linked, element, *_ in self.blocks:
+            if linked < 0.5:
+                free[element] += words
+        for e in range(n - 1, 0, -1):
+            if not furniture[e]:
+                free[self.parents[e]] += free[e]
+        for e in range(1, n):
+            furniture[e] = furniture[e] or furniture[self.parents[e]]
+        primary = e = self._primary(free, furniture)
+        while e:  # what is around it is layout, whatever its name
+            weighs[e], e = 0.0, self.parents[e]
+        if not primary:  # so is a form, or what is named like a column, around nearly all of the page
+            for e in range(1, n):
+                if self.marks[e] in ("form", "side") and self.shown[e] and not furniture[self.parents[e]] and free[e] > 9 * free[0]:
+                    weighs[e] = 0.0
+        good, inside, sure, main, heading, item = [0.0] * n, [False] * n, [False] * n, [False] * n, [False] * n, [False] * n
+        for e in range(1, n):
+            above, mark, tag = self.parents[e], self.marks[e], self.tags[e]
+            inside[e] = inside[above] or e == primary
+            sure[e] = sure[above] or mark in ("article", "main")
+            main[e] = main[above] or mark == "main"
+            heading[e], item[e] = heading[above] or tag in _HEADINGS, item[above] or tag == "li"
+            weighs[e] = max(weighs[above], 0.0 if mark == "header" and sure[above] else weighs[e])
+            good[e] = max(good[above], GOOD.get(mark, 0.0) if inside[e] or not primary else 0.0)
+        outside = OUTSIDE.get(self.marks[primary], 0.0)
+        out = []
+        for _, words, linked, e, *_ in self.blocks:
+            cost = -weighs[e] if weighs[e] else good[e] if inside[e] or main[e] else good[e] + outside
+            cost += min(LONG, WORD * words) + NONE + (LINKED * linked if words < 40 else 0.0)
+            out.append(cost + (HEADING if heading[e] else SHORT_ITEM if item[e] and words < 4 else 0.0))
+        return out
+
+    def edges(self) -> list[tuple[int, int, float]]:
+        """Smoothness edges: page neighbours, and neighbours under one parent; nearer in the tree is stronger."""
+        found = []
+        last: dict[int, int] = {}
+        for i, (_, _, _, _, own, around, depth, shared) in enumerate(self.blocks):
+            if i:
+                found.append((i - 1, i, SMOOTH / (1 + depth + self.blocks[i - 1][6] - 2 * shared)))
+            j = last.get(around)
+            if j is not None and j < i - 1:
+                found.append((j, i, SMOOTH / (1 if self.blocks[j][4] == own else 3)))
+            last[around] = i
+        return found
 
 
 def min_cut(costs: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
@@ -169,45 +314,57 @@ def min_cut(costs: list[float], links: list[tuple[int, int, float]]) -> list[boo
                 del weight[j][i]
                 todo.append(j)
             weight[i] = {}
-    free = [i for i, s in enumerate(side) if s is None]
-    if free:
-        source, sink = -1, -2
-        left: dict[int, dict[int, float]] = {i: dict(weight[i]) for i in free} | {source: {}, sink: {}}
-        for i in free:
-            if cost[i] > 0:
-                left[source][i] = cost[i]
-                left[i].setdefault(source, 0.0)
-            elif cost[i] < 0:
-                left[i][sink] = -cost[i]
-                left[sink].setdefault(i, 0.0)
-        while True:
-            before: dict[int, int] = {source: source}
-            queue = deque([source])
-            while queue and sink not in before:
-                x = queue.popleft()
-                for y, c in left[x].items():
-                    if c > 1e-9 and y not in before:
-                        before[y] = x
-                        queue.append(y)
-            if sink not in before:
-                break
-            path, y = [], sink
-            while y != source:
-                path.append((before[y], y))
-                y = before[y]
-            flow = min(left[x][y] for x, y in path)
-            for x, y in path:
-                left[x][y] -= flow
-                left[y][x] = left[y].get(x, 0.0) + flow
-        for i in free:
-            side[i] = i in before
+    _flow(cost, weight, side)
     return [bool(s) for s in side]
 
 
+def _flow(cost: list[float], left: list[dict[int, float]], side: list[bool | None]) -> None:
+    """Settle the nodes whose side is open by a maximum flow in rounds of shortest paths: cost holds what is left of the
+    terminals' capacities, left what each edge can still carry."""
+    free = [i for i, s in enumerate(side) if s is None]
+    sources = [i for i in free if cost[i] > EPSILON]
+    while True:
+        level = {i: 0 for i in sources if cost[i] > EPSILON}
+        queue, reached = deque(level), False
+        while queue:
+            x = queue.popleft()
+            reached = reached or cost[x] < -EPSILON
+            for y, c in left[x].items():
+                if c > EPSILON and y not in level:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        if not reached:
+            break
+        arcs, at = {x: list(left[x]) for x in level}, dict.fromkeys(level, 0)
+        for source in sources:
+            path = [source]
+            while path and cost[source] > EPSILON:
+                x = path[-1]
+                if cost[x] < -EPSILON:
+                    steps = list(zip(path, path[1:]))
+                    flow = min(cost[source], -cost[x], *(left[a][b] for a, b in steps))
+                    cost[source] -= flow
+                    cost[x] += flow
+                    for a, b in steps:
+                        left[a][b] -= flow
+                        left[b][a] = left[b].get(a, 0.0) + flow
+                    path = [source]
+                elif at[x] == len(arcs[x]):
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+                elif level.get(y := arcs[x][at[x]]) == level[x] + 1 and left[x][y] > EPSILON:
+                    path.append(y)
+                else:
+                    at[x] += 1
+    for i in free:
+        side[i] = i in level
+
+
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    keep = min_cut([c for _, c, _ in found], edges([p for _, _, p in found]))
-    return "\n\n".join(t for (t, _, _), k in zip(found, keep) if k)
+    page = Page(html or "")
+    keep = min_cut(page.costs(), page.edges())
+    return "\n\n".join(b[0] for b, k in zip(page.blocks, keep) if k)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
