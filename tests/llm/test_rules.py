@@ -30,6 +30,22 @@ def test_order_changes_no_verdict(spark, docs):
     assert one == other
 
 
+def test_order_follows_the_sample_alone(spark, docs):
+    """Reasons don't depend on a clock; a costly rule that rejects little comes late, equal worth keeps the listed order."""
+    runs = [{r.doc_id: r["__qr_reason"] for r in rules.apply_rules(docs).collect()} for _ in range(2)]
+    assert runs[0] == runs[1]
+    text = " ".join(f"word{i}" for i in range(60))
+    sample = rules.measures(spark.createDataFrame([row(i, text + (" !" * 20 if i < 3 else "")) for i in range(9)], SCHEMA))
+    n = rules.F.col("__qr_words")
+    tests = {"none": rules.Rule(n < 0), "dear": rules.Rule(n > 70, 3), "cheap": rules.Rule(n > 70), "never": rules.Rule(n < 0, 1)}
+    assert rules.cascade_order(sample, tests) == ["cheap", "dear", "none", "never"]
+
+
+def test_places_beyond_24_bits():
+    """A place keeps all of its bits: an array holds fewer than 2^31 elements."""
+    assert (1 << rules._PLACE_BITS) - 1 >= 2**31 - 1
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
