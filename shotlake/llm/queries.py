@@ -49,16 +49,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-#: The rules of op7, and the sites whose pages' canonical urls are listed: fixed values.
+#: The rules of op7, and the sites whose pages' canonical urls are listed: fixed values. Also listed are the canonical
+#: urls of pages whose html is junk: more than one symbol in so many characters.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 LISTED_SITES = ("spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets", "ads-track")
+JUNK, ONE_IN = "[#*$%]", 50
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages")
     given = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
-    listed = pages.filter(host.rlike(rf"(?:^|\.)(?:{'|'.join(LISTED_SITES)})\.")).select(urls.canonical(host, path).alias("canonical"))
+    named = host.rlike(rf"(?:^|\.)(?:{'|'.join(LISTED_SITES)})\.")
+    junk = F.regexp_count("html", F.lit(JUNK)) * ONE_IN > F.length("html")
+    listed = pages.filter(named | junk).select(urls.canonical(host, path).alias("canonical"))
     return urls.url_filter(pages, given, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -99,11 +103,11 @@ j AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(3.0::DOUBLE, coale
  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken FROM j""",
     "op7_url_filter": rf"""
-WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT page_id, url, coalesce(length(regexp_replace(html, '[^{JUNK[1:-1]}]', '', 'g')) * {ONE_IN} > length(html), false) AS junk, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
 c AS (SELECT *, regexp_replace(host, '^(?:www|m|blog)\.', '') || regexp_replace(path, '(?:/|\.html)$', '') AS canonical FROM p),
-l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(?:^|\.)(?:{'|'.join(LISTED_SITES)})\.'))
+l AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND (junk OR regexp_matches(host, '(?:^|\.)(?:{'|'.join(LISTED_SITES)})\.')))
 SELECT page_id, host, path,
  (SELECT max_by(rule_host || rule_path, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
  coalesce((SELECT max_by(rule_verdict, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),

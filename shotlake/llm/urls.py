@@ -1,16 +1,19 @@
 """URL filters, in DataFrame operations only.
 
 Two lists meet each url: rules (host, path, verdict), which fit a host with its subdomains and any path that starts
-with theirs, and listed canonical urls, which are blocked. Every key under which a list could hold a url is made, a
-blocked Bloom filter of all listed keys (one 64-bit block for a key, four bits in it) passes the possible hits, and
-an exact hash join with the lists removes false positives. The longest rule wins; without a rule a listed url is
-blocked and any other allowed.
+with theirs, and listed canonical urls, which are blocked. Every key under which a list could hold a url is made in
+its row, a blocked Bloom filter of all listed keys (one 64-bit block for a key, four bits in it) passes the possible
+hits, and an exact hash join of these with the lists removes false positives. The longest rule wins; without a rule a
+listed url is blocked and any other allowed. Rows are not regrouped: only urls that a list holds are joined back.
 
-The filter is a literal of at most MAX_BLOCKS longs; longer lists only let more false hits through to the join.
+The filter grows with the lists: at most KEYS_A_BLOCK keys a block on average, so that about 0.5 % of other keys pass
+(measured by a test). Up to LITERAL_BLOCKS blocks it is a literal, then a table of blocks, broadcast if its counted
+rows are at most TABLE_BLOCKS.
 
 Edge cases: a null url, or one without "://", has an empty host and path, no rule and the verdict allow; rows that
-repeat id and url are returned as often; an empty list matches nothing; no rows give no rows. Only the id and url
-are read.
+repeat id and url are returned as often; rules that repeat a host and path with both verdicts block; a null in a rule
+drops it; an empty canonical url is not listed; an empty list matches nothing; no rows give no rows. Only the id and
+url are read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, hold
 
-MIN_BLOCKS, MAX_BLOCKS, KEYS_A_BLOCK = 64, 1 << 15, 4
+MIN_BLOCKS, KEYS_A_BLOCK, LITERAL_BLOCKS, TABLE_BLOCKS = 64, 4, 1 << 15, 1 << 20
+#: Beyond so many lengths of rule paths, starts of every length are tried.
+MAX_LENGTHS = 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,50 +53,70 @@ def _bits(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def bloom_filter(keys: DataFrame, key: str = "key") -> tuple[Column, int]:
-    """A literal array of 64-bit blocks over the distinct keys, and how many blocks it has."""
-    n = keys.count()
+def filter_blocks(keys: DataFrame, n: int, key: str = "key") -> tuple[DataFrame, int]:
+    """Rows (block, bits) of a blocked Bloom filter over n distinct keys, and how many blocks it deals them into."""
     blocks = MIN_BLOCKS
-    while blocks < MAX_BLOCKS and blocks * KEYS_A_BLOCK < n:
+    while blocks * KEYS_A_BLOCK < n:
         blocks *= 2
-    made = keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(F.bit_or(_bits(F.col(key))).alias("bits")).collect()  # a row a block at most
+    return keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(F.bit_or(_bits(F.col(key))).alias("bits")), blocks
+
+
+def filter_literal(made: DataFrame, blocks: int) -> Column:
+    """A filter of at most LITERAL_BLOCKS blocks as an array of longs."""
     words = [0] * blocks
-    for row in made:
+    for row in made.collect():  # a row a block
         words[row.block] = row.bits
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), blocks
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
 def might_hold(bloom: Column, blocks: int, key: Column) -> Column:
     return F.get(bloom, _block(key, blocks)).bitwiseAND(_bits(key)) == _bits(key)
 
 
+def _possible(urls: DataFrame, keys: DataFrame, url_col: str) -> DataFrame:
+    """Distinct (url, key) of the rows' keys that the filter of all listed keys passes."""
+    n = keys.count()
+    made, blocks = filter_blocks(keys.select("key"), n)
+    if blocks <= LITERAL_BLOCKS:
+        bloom = filter_literal(made, blocks)
+        passed = urls.select(url_col, F.explode(F.filter("keys", lambda k: might_hold(bloom, blocks, k))).alias("key"))
+    else:
+        each = urls.select(url_col, F.explode("keys").alias("key")).withColumn("block", _block(F.col("key"), blocks))
+        passed = each.join(broadcast_if_small(hold(made, "url-blocks"), TABLE_BLOCKS), "block").filter(F.col("bits").bitwiseAND(_bits(F.col("key"))) == _bits(F.col("key"))).select(url_col, "key")
+    return passed.distinct()
+
+
+def _keys_of(host: Column, path: Column, lengths: list[int] | None) -> Column:
+    """All keys under which a list could hold a url: rules for its host and the domains above it with each start of its
+    path (of the lengths that rules have, or of any length), and its canonical form."""
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    if lengths is None:
+        tried = F.sequence(F.lit(0), F.length(path))
+    else:
+        tried = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
+    prefixes = F.transform(tried, lambda n: F.substring(path, F.lit(1), n))
+    rule_keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r "), s, p))))
+    return F.concat(F.when(host != "", rule_keys).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("u "), canonical(host, path))))
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (id, url, host, path, rule, verdict, listed) for each row of pages.
 
     rules: rule_host, rule_path, verdict (allow or block). listed: canonical (see canonical()).
     """
-    rule_keys = rules.select(F.concat(F.lit("r "), "rule_host", "rule_path").alias("key"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("rule_verdict")).dropDuplicates(["key"])
-    listed_keys = listed.filter("canonical is not null").select(F.concat(F.lit("u "), "canonical").alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
+    rule_keys = rules.groupBy(F.concat(F.lit("r "), "rule_host", "rule_path").alias("key")).agg(F.max(F.concat("rule_host", "rule_path")).alias("rule"), F.max("verdict").alias("rule_verdict")).filter("key is not null and rule_verdict is not null")
+    listed_keys = listed.filter("canonical <> ''").select(F.concat(F.lit("u "), "canonical").alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
     keys = hold(rule_keys.unionByName(listed_keys), "url-keys")
-    bloom, blocks = bloom_filter(keys)
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(4096).collect()]  # a url's path has few lengths
-
-    urls = pages.groupBy(F.col(id_col), F.col(url_col)).agg(F.count("*").alias("copies"))
-    parsed = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    labels = parsed.withColumn("labels", F.split("host", r"\."))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    with_parts = labels.withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
-    rule_like = F.when(F.col("host") != "", F.flatten(F.transform("suffixes", lambda s: F.transform("prefixes", lambda p: F.concat(F.lit("r "), s, p))))).otherwise(F.array().cast("array<string>"))
-    candidates = F.concat(rule_like, F.array(F.concat(F.lit("u "), canonical(F.col("host"), F.col("path")))))
-    possible = with_parts.withColumn("all_keys", candidates).withColumn("key", F.explode_outer(F.filter("all_keys", lambda k: might_hold(bloom, blocks, k)))).select(id_col, url_col, "copies", "host", "path", "key")
-    hits = possible.join(broadcast_if_small(keys.withColumn("hit", F.lit(True))), "key", "left")
-    best = hits.groupBy(id_col, url_col).agg(
-        F.first("copies").alias("copies"),
-        F.first("host").alias("host"),
-        F.first("path").alias("path"),
-        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "rule_verdict"))).alias("best"),
-        F.max(F.coalesce(F.col("hit") & F.col("rule").isNull(), F.lit(False))).alias("listed"),
-    )
-    verdict = F.coalesce(F.col("best.rule_verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return best.select(id_col, url_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    lengths = [r[0] for r in rules.select(F.length("rule_path").alias("n")).dropna().distinct().limit(MAX_LENGTHS + 1).collect()]
+    parsed = pages.select(id_col, url_col).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    urls = parsed.select(url_col, _keys_of(F.col("host"), F.col("path"), lengths if len(lengths) <= MAX_LENGTHS else None).alias("keys"))
+    # the exact join: one row a url that a list holds, however many rows have that url
+    found = hold(
+        _possible(urls, keys, url_col).join(broadcast_if_small(keys), "key").groupBy(url_col).agg(
+            F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "rule_verdict"))).alias("best"), F.max(F.col("rule").isNull()).alias("listed")
+        ), "url-hits",
+    )
+    listed_there = F.coalesce("listed", F.lit(False))
+    verdict = F.coalesce(F.col("best.rule_verdict"), F.when(listed_there, F.lit("block")).otherwise(F.lit("allow")))
+    return parsed.join(broadcast_if_small(found), url_col, "left").select(id_col, url_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), listed_there.alias("listed"))

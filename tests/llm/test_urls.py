@@ -33,8 +33,42 @@ def test_rules_and_list(spark):
 def test_bloom_has_no_false_negatives(spark):
     from pyspark.sql import functions as F
 
-    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    bloom, blocks = urls.bloom_filter(keys)
+    keys = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
+    made, blocks = urls.filter_blocks(keys, 20000)
+    bloom = urls.filter_literal(made, blocks)
     assert keys.filter(~urls.might_hold(bloom, blocks, F.col("key"))).count() == 0
-    others = spark.range(5000).select(F.concat(F.lit("z"), "id").alias("key"))
-    assert others.filter(urls.might_hold(bloom, blocks, F.col("key"))).count() < 500
+    others = spark.range(100000).select(F.concat(F.lit("z"), "id").alias("key"))
+    share = others.filter(urls.might_hold(bloom, blocks, F.col("key"))).count() / 100000
+    print(f"false positives: {share:.4f}")
+    assert share < 0.02
+
+
+def test_filter_as_a_table(spark, monkeypatch):
+    """Lists beyond the literal's size give the same hits."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.b"), F.col("id") % 700, F.lit(".net/x")).alias("url"))
+    listed = spark.range(2000).filter("id % 3 = 0").select(F.concat(F.lit("a.b"), "id", F.lit(".net/x")).alias("canonical"))
+    none = spark.createDataFrame([], "rule_host string, rule_path string, verdict string")
+    want = {k for k in range(3000) if k % 700 % 3 == 0}
+    for most in (urls.LITERAL_BLOCKS, 1):
+        monkeypatch.setattr(urls, "LITERAL_BLOCKS", most)
+        assert {r.page_id for r in urls.url_filter(pages, none, listed).filter("verdict = 'block'").collect()} == want
+
+
+def test_rules_of_very_many_lengths(spark):
+    """4,300 rules of one host, each of another length: the longest that fits wins."""
+    given = spark.createDataFrame([("h.net", "/" + "a" * n, "block" if n % 2 else "allow") for n in range(4300)], "rule_host string, rule_path string, verdict string")
+    rows = [(n, "http://h.net/" + "a" * n) for n in (0, 1, 255, 4095, 4096, 4299, 5000)]
+    listed = spark.createDataFrame([], "canonical string")
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), given, listed).collect()}
+    for n, _ in rows:
+        fits = min(n, 4299)
+        assert got[n].rule == "h.net/" + "a" * fits and got[n].verdict == ("block" if fits % 2 else "allow")
+
+
+def test_listed_pages_are_found_by_their_other_urls(spark):
+    pages = spark.createDataFrame([(1, "http://www.a.com/x.html"), (2, "https://a.com/x/?q=1"), (3, "http://a.com/xy"), (4, None)], "page_id long, url string")
+    given = spark.createDataFrame([("a.com", "/", None), ("b.com", "/", "allow"), ("b.com", "/", "block")], "rule_host string, rule_path string, verdict string")
+    listed = spark.createDataFrame([("a.com/x",), ("",), (None,)], "canonical string")
+    assert {r.page_id for r in urls.url_filter(pages, given, listed).filter("verdict = 'block'").collect()} == {1, 2}
