@@ -1,17 +1,23 @@
 """I-Match document fingerprints over randomised lexicons.
 
 Document frequencies are counted over the whole corpus on hashed terms: 2^24 buckets, so that the lexicon (the
-buckets whose inverse document frequency lies in the band) is a bitmap of 2 MB at any corpus size. A fingerprint
-keeps a text's distinct terms of the lexicon, sorted, and hashes the part of them that falls into each of several
-random subsets of the lexicon. Subsets come in shares from 1/4 to 1/4096, 16 of each share, since whether a subset
-survives an edit depends on how many of a text's terms it holds; one more holds the whole lexicon.
+buckets whose inverse document frequency lies in the band) is a bitmap of 2 MB at any corpus size. Terms that share a
+bucket share its frequency. What that can cost: a term leaves the lexicon if it shares its bucket with a term of more
+than N / e^3 documents, which for F such terms happens to F of 2^24 terms (2,000 frequent words: 0.01 %). Sums of rare
+terms stay far below that limit; the lower limit of e^-16 N documents only matters beyond nine million documents.
+
+A fingerprint keeps a text's distinct terms of the lexicon and hashes, in ascending order of the terms' own hashes, the
+part of them that falls into each of several random subsets of the lexicon. Subsets come in shares from 1/4 to 1/4096,
+16 of each share, since whether a subset survives an edit depends on how many of a text's terms it holds; one more
+holds the whole lexicon. Hashes are cut to 16 bits, so that two different parts agree by chance once in 65,536.
 
 Likeness of two fingerprints is the share of equal hashes among subsets that hold a term of either, at the share
 of subsets where it is largest (at least 4 such subsets). Equal texts have likeness 1.
 
 Edge cases: a null text is empty; a text without terms of the lexicon has only empty hashes and is like an equal
-fingerprint alone; ids may repeat (ordered by text) and null ids come last; a single document's next document is
-itself; no rows give no rows. Other columns are not read.
+fingerprint alone; ids are integers, may repeat (ordered by their texts' hashes) and come last if null; rows that
+repeat both id and text stay in one range of ids; a single document's next document is itself; no rows give no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +39,8 @@ BITS, BLOCK = 24, 1 << 16
 IDF_BAND = (3.0, 16.0)
 LEVELS, COPIES, LEAST_LIVE = (2, 4, 6, 8, 10, 12), 16, 4
 EMPTY = 0
-#: Documents in a range of ids, and how many ranges there are at most unless Spark has more shuffle partitions.
-ROWS_A_PART, MAX_PARTS = 2500, 20_000
-_LAST = (1 << 63) - 1
+#: Documents in a range of ids up to MANY ranges; beyond, ranges grow in size and number alike. Sampled ids a range.
+ROWS_A_PART, MANY, SAMPLED, SALTS = 1000, 20_000, 8, 64
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -60,7 +66,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
                 if text:
                     seen[np.unique(term_hashes(text) & np.uint64((1 << BITS) - 1)).astype(np.int64)] += 1
         if n:
-            salt = int(n) % 64
+            salt = TaskContext.get().partitionId() % SALTS
             blocks = [b for b in range(1 << BITS >> 16) if seen[b * BLOCK : (b + 1) * BLOCK].any()]
             packed = [zlib.compress(seen[b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes(), 1) for b in blocks]
             yield pa.RecordBatch.from_arrays([pa.array([-1, *blocks], pa.int32()), pa.array([salt] * (1 + len(blocks)), pa.int32()), pa.array([n] + [0] * len(blocks), pa.int64()), pa.array([b"", *packed], pa.binary())], ["block", "salt", "n", "counts"])
@@ -101,20 +107,21 @@ _SEEDS = _mix(np.arange(1, COPIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 
 def fingerprint(text: str, bits: np.ndarray) -> np.ndarray:
     """1 + len(LEVELS) * COPIES hashes of 16 bits: of all terms of the lexicon, then of those in each subset."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
     terms = term_hashes(text)
     bucket = terms & np.uint64((1 << BITS) - 1)
-    terms = np.sort(terms[(bits[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1])
-    out = np.zeros(1 + len(LEVELS) * COPIES, np.uint64)
-    if len(terms):
-        place, part = _mix(terms[None, :] ^ _SEEDS), _mix(terms + np.uint64(0x632BE59BD9B4E019))
-        out[0] = part.sum(dtype=np.uint64)
-        live = np.ones(len(out), bool)
-        for k, level in enumerate(LEVELS):
-            inside = place < np.uint64(1 << (64 - level))
-            out[1 + k * COPIES : 1 + (k + 1) * COPIES] = np.where(inside, part, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            live[1 + k * COPIES : 1 + (k + 1) * COPIES] = inside.any(axis=1)
-        out = np.where(live, np.maximum(_mix(out) >> np.uint64(48), np.uint64(1)), np.uint64(EMPTY))
-    return out.astype(np.uint16)
+    terms = np.sort(terms[(bits[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1]).astype("<u8")
+    if not len(terms):
+        return np.full(1 + len(LEVELS) * COPIES, EMPTY, np.uint16)
+    out = [max(digest(terms.tobytes()) >> 48, 1)]
+    place = _mix(terms[None, :] ^ _SEEDS)
+    for level in LEVELS:
+        copy, at = np.nonzero(place < np.uint64(1 << (64 - level)))  # by copy, each in the order of the terms
+        held, ends = terms[at].tobytes(), (8 * np.searchsorted(copy, np.arange(COPIES + 1))).tolist()
+        out += [max(digest(held[a:b]) >> 48, 1) if a < b else EMPTY for a, b in zip(ends, ends[1:])]
+    return np.array(out, np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -136,27 +143,37 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _ranges(n_docs: int, least: int) -> int:
+    ranges = n_docs // ROWS_A_PART
+    return max(least, ranges if ranges <= MANY else int((MANY * ranges) ** 0.5))
+
+
 def _neighbours(docs: DataFrame, id_col: str, text_col: str, n_docs: int) -> DataFrame:
-    """Rows (part, wrapped, own, k, id, text): parts are ranges of ids, sorted; after a part's own rows comes the
-    first document of the next one (after the last part: of the first). The bounds are quantiles, one a partition."""
+    """Rows (part, wrapped, own, place, id, text), parts sorted by place: ranges of places, which are ids (null last),
+    then texts' hashes, as text. After a part's own rows comes the first document of the next one (after the last
+    part: of the first). The bounds come from a sample of places; one task reads one part."""
     spark = docs.sparkSession
-    parts = max(48, shuffle_partitions(spark), min(MAX_PARTS, n_docs // ROWS_A_PART))
-    keyed = docs.select(F.col(id_col), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = keyed.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
+    parts = _ranges(n_docs, max(48, shuffle_partitions(spark)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    number = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    place = F.concat(F.col(id_col).isNull().cast("int").cast("string"), number(F.coalesce(F.col(id_col).cast("long"), F.lit(0))), number(F.xxhash64(text)))
+    keyed = docs.select(F.col(id_col).alias("id"), place.alias("place"), text.alias("text"))
+    share = int(min(1.0, SAMPLED * parts / max(1, n_docs)) * (1 << 30))
+    sample = keyed.select("place").filter(F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < share).orderBy("place")
+    cuts = [r.place for k, r in enumerate(sample.toLocalIterator()) if k % SAMPLED == SAMPLED - 1]  # about one a part
+    bounds = np.unique(np.array(cuts, "S33"))
 
     @F.pandas_udf("int")
-    def part_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), side="right").astype(np.int32))
+    def part_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, place.to_numpy().astype("S33"), side="right").astype(np.int32))
 
-    firsts = sorted(keyed.select("k", part_of("k").alias("part")).groupBy("part").agg(F.min("k").alias("k")).collect())  # a row for each part
-    before = spark.createDataFrame([(r.k, firsts[i - 1].part, i == 0) for i, r in enumerate(firsts)], "k long, to int, wrapped boolean")
-    own = keyed.withColumn("part", part_of("k"))
-    also = own.join(F.broadcast(before), "k", "left")
+    own = keyed.withColumn("part", part_of("place"))
+    firsts = sorted(own.groupBy("part").agg(F.min("place").alias("place")).collect())  # a row a part
+    before = spark.createDataFrame([(r.place, firsts[i - 1].part, i == 0) for i, r in enumerate(firsts)], "place string, to int, wrapped boolean")
+    also = own.join(F.broadcast(before) if len(firsts) <= 50_000 else before, "place", "left")
     sent = F.array_compact(F.array(F.struct("part", F.lit(False).alias("wrapped"), F.lit(True).alias("own")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), "wrapped", F.lit(False).alias("own")))))
-    spread = also.withColumn("at", F.explode(sent)).select("at.part", "at.wrapped", "at.own", "k", F.col(id_col).alias("id"), "text")
-    order = ["part", "wrapped", F.desc("own"), "k", "text"]
-    return spread.repartition(parts, "part").sortWithinPartitions(*order)
+    spread = also.withColumn("at", F.explode(sent)).select("at.part", "at.wrapped", "at.own", "place", "id", "text")
+    return spread.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "wrapped", F.desc("own"), "place")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 
@@ -46,3 +47,53 @@ def test_odd_rows(odd, none, odd_rows):
     assert imatch.edited_fingerprints(none).count() == 0
     one = imatch.edited_fingerprints(odd.filter("doc_id = 4")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_fingerprints(texts, low=3.0, high=16.0):
+    """I-Match by its definition, with dictionaries and whole numbers: frequencies by bucket, terms in the band, and a
+    hash of the sorted ones in each subset."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    terms = [{xxhash.xxh64_intdigest(w) for w in re.findall(rb"[^ \t\n\v\f\r]+", t.encode().lower())} for t in texts]
+    df = Counter(b for t in terms for b in {h % (1 << imatch.BITS) for h in t})
+    held = {b for b, n in df.items() if (len(texts) + 1) / math.exp(high) <= n <= max(1, (len(texts) + 1) / math.exp(low))}
+    for t in terms:
+        kept = sorted(h for h in t if h % (1 << imatch.BITS) in held)
+        subsets = [kept] + [[h for h in kept if mixed(h ^ mixed(((c + 1) * 0x9E3779B97F4A7C15) & M64)) < 1 << (64 - level)] for level in imatch.LEVELS for c in range(imatch.COPIES)]
+        yield "".join(f"{max(1, xxhash.xxh64_intdigest(b''.join(h.to_bytes(8, 'little') for h in s)) >> 48) if s else 0:04x}" for s in subsets)
+
+
+def test_like_a_plain_i_match(spark, sf_dir, docs):
+    rows = {r.doc_id: r.fingerprint for r in queries.op3_imatch(spark, sf_dir).collect()}
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for (k, _), want in zip(texts, plain_fingerprints([t for _, t in texts])):
+        assert rows[k] == want
+
+
+def test_ranges_keep_growing():
+    sizes = [imatch._ranges(n, 48) for n in (10**3, 10**6, 2 * 10**7, 10**8, 10**9, 5 * 10**10)]
+    assert sizes == sorted(set(sizes)) and sizes[1] == 1000
+
+
+def test_hot_and_largest_ids(spark):
+    """A null id isn't the largest id, and rows of one id are dealt by their texts."""
+    rows = [((1 << 63) - 1, "the very last id"), (None, "no id at all"), (-(1 << 63), "the first of them"), *((None, f"other text {i}") for i in range(3000)), *((7, f"some text {i}") for i in range(3000))]
+    got = imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    edited = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    last = next(r for r in got if r.doc_id == (1 << 63) - 1)
+    assert last.edited_sha256 in {edited("the very last id", t) for k, t in rows if k is None}
+    sent = imatch._neighbours(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", len(rows))
+    assert sent.filter("own").groupBy("part").count().agg({"count": "max"}).first()[0] < 1200
