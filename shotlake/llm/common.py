@@ -37,30 +37,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: rows (node, label), label the least node reachable.
 
-    Alternates large-star and small-star steps; each step moves neighbours to a node's least neighbour with
-    one grouped minimum and one join, so no node's neighbours ever meet in one task. Nodes without edges are
-    not returned. Every round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes; each step moves neighbours to a node's least
+    neighbour with one grouped minimum and one join, so no node's neighbours ever meet in one task. Minima are held, a
+    row a node: few are broadcast, many meet the links in a join that Spark can split at a hub. Nodes without edges
+    are not returned. Every round is written to the shared folder.
     """
 
-    def marked(df: DataFrame) -> tuple[DataFrame, tuple]:
-        kept = hold(df.distinct(), "links")
-        at = kept.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first()
-        return kept, tuple(at)
+    def digest(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
-    now, mark = marked(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    for _ in range(max_rounds):
+    now = hold(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = digest(now)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = hold(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
+        large = both.filter("b > a").join(broadcast_if_small(least), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # every edge of large points from a larger node to a smaller one
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b")
-        following, new = marked(small)
-        if new == mark:
+        low = hold(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "lowest")
+        moved = large.join(broadcast_if_small(low), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = moved.filter("a != b").unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        now, before = hold(small.distinct(), "links"), mark
+        mark = digest(now)
+        if mark == before:
             break
-        now, mark = following, new
-    heads = now.groupBy("b").agg(F.min("b").alias("label")).select(F.col("b").alias("node"), "label")
+    heads = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(heads)
