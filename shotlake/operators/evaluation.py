@@ -77,16 +77,33 @@ def bootstrap_draw(replicate: Column, k: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), k.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 200, y: str = "y", ps: tuple[str, ...] = ("p",)) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str = "place", strips: int = 256) -> DataFrame:
+    """df with the rank from 0 of each row by a key that doesn't repeat. Ranks come in two levels: keys fall into strips
+    (of their range for whole numbers, by their first character otherwise), strips are counted, and windows run within
+    a strip."""
+    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        low, high = df.agg(F.min(key), F.max(key)).first()
+        width = max(1, -(-((high or 0) - (low or 0) + 1) // strips))
+        at = F.floor((F.col(key) - (low or 0)) / width).cast("int")
+    else:
+        at = F.ascii(F.col(key).cast("string"))
+    strip = df.withColumn("__strip", at)
+    counts = strip.groupBy("__strip").agg(F.count("*").alias("__k"))
+    before = counts.select("__strip", (F.sum("__k").over(Window.orderBy("__strip")) - F.col("__k")).alias("__before"))  # a row a strip
+    rank = F.row_number().over(Window.partitionBy("__strip").orderBy(key)) - 1 + F.col("__before")
+    return strip.join(F.broadcast(before), "__strip").withColumn(name, rank).drop("__strip", "__before")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 2000, y: str = "y", ps: tuple[str, ...] = ("p",)) -> DataFrame:
     """2.5 % and 97.5 % quantiles of log loss and Brier over resampled clusters, and of the difference of the first two
-    probabilities' log losses. Rows are reduced to sums for each cluster first; only those are resampled."""
-    sums = df.groupBy(cluster).agg(
-        F.count("*").cast("double").alias("n"), *[f.alias(f"{m}_{p}") for p in ps for m, f in (("ll", F.sum(log_loss(F.col(y), F.col(p)))), ("se", F.sum(squared_error(F.col(y), F.col(p)))))]
-    ).withColumn("place", F.row_number().over(Window.orderBy(cluster)) - 1)
+    probabilities' log losses. Rows are reduced to sums for each cluster first; only those are resampled, as
+    replicates times clusters short rows that are made where they are needed."""
+    one = df.groupBy(cluster).agg(F.count("*").cast("double").alias("n"), *[f.alias(f"{m}_{p}") for p in ps for m, f in (("ll", F.sum(log_loss(F.col(y), F.col(p)))), ("se", F.sum(squared_error(F.col(y), F.col(p)))))])
+    sums = numbered(one, cluster)
     spark = df.sparkSession
-    n = max(1, sums.count())
-    numbered = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("k"))
-    draws = numbered.withColumn("place", bootstrap_draw(F.col("replicate"), F.col("k"), F.lit(n)).cast("int"))
+    n = max(1, one.count())
+    numbers = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("k"))
+    draws = numbers.withColumn("place", bootstrap_draw(F.col("replicate"), F.col("k"), F.lit(n)).cast("int"))
     per = draws.join(sums, "place").groupBy("replicate").agg(*[(F.sum(f"{m}_{p}") / F.sum("n")).alias(f"{m}_{p}") for p in ps for m in ("ll", "se")])
     names = [f"{m}_{p}" for p in ps for m in ("ll", "se")]
     if len(ps) > 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import log_loss, sigmoid, squared_error
+from .counting import union_all
 
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,12 +23,16 @@ def logistic(c: float | None, n: int, label: str = "y") -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=0.0 if c is None else 1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200)
 
 
-def boosted(step: float, depth: int, least: int, rounds: int = 20, label: str = "y") -> GBTClassifier:
+#: The boosting grid: step size, depth (at most 8 or 16 leaves) and least rows of a leaf.
+BOOSTING_GRID = [(step, depth, least) for step in (0.03, 0.06, 0.1) for depth in (3, 4) for least in (20, 60)]
+
+
+def boosted(step: float, depth: int, least: int, rounds: int = 200, label: str = "y") -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=least, maxBins=255, seed=0)
 
 
-def perceptron(width: int, hidden: int = 8, label: str = "y") -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[width, hidden, 2], blockSize=128, seed=0, maxIter=60)
+def perceptron(width: int, hidden: int = 8, rounds: int = 200, label: str = "y") -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[width, hidden, 2], blockSize=128, seed=0, maxIter=rounds)
 
 
 def out_of_fold(rows: DataFrame, estimator_for, fold: str = "fold", folds: int = 5, keep: tuple[str, ...] = ("row_id", "y")) -> DataFrame:
@@ -39,6 +46,21 @@ def out_of_fold(rows: DataFrame, estimator_for, fold: str = "fold", folds: int =
     return out
 
 
+def boosting_scores(rows: DataFrame, points: list[tuple[float, int, int]] | None = None, rounds: int = 200, folds: int = 5, at_once: int = 4) -> DataFrame:
+    """(step, depth, least, fold, y, p): out-of-fold scores of every point of the grid. Some fits run at once, since one
+    alone leaves executors idle between its many short jobs."""
+    points = BOOSTING_GRID if points is None else points
+    jobs = [(point, k) for point in points for k in range(folds)]
+
+    def scores(job: tuple[tuple[float, int, int], int]) -> DataFrame:
+        (step, depth, least), k = job
+        model = boosted(step, depth, least, rounds).fit(rows.filter(F.col("fold") != k))
+        return model.transform(rows.filter(F.col("fold") == k)).select("fold", "y", vector_to_array("probability")[1].alias("p"), F.lit(step).alias("step"), F.lit(depth).alias("depth"), F.lit(least).alias("least"))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return union_all(list(pool.map(scores, jobs)))
+
+
 def constant_out_of_fold(rows: DataFrame, fold: str = "fold", y: str = "y") -> DataFrame:
     """Each row's prediction is the rate of the other folds: totals minus the fold's own."""
     per = rows.groupBy(fold).agg(F.sum(F.col(y).cast("double")).alias("__y"), F.count("*").cast("double").alias("__n"))

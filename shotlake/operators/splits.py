@@ -74,9 +74,10 @@ def read_assignments(spark: SparkSession, path: str, n: int = 5) -> tuple[DataFr
 
 
 def membership_digest(rows: DataFrame, columns: tuple[str, ...] = ("event_id", "match_id")) -> DataFrame:
-    """An order-free digest: count, and sums of two 48-bit slices of each row's SHA-256."""
+    """An order-free digest: count, and sums of two 40-bit slices of each row's SHA-256, as decimals that hold the sums
+    of 10^26 rows."""
     digest = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in columns]), 256)
-    part = lambda k: F.sum(F.conv(F.substring(digest, k, 10), 16, 10).cast("long"))
+    part = lambda k: F.sum(F.conv(F.substring(digest, k, 10), 16, 10).cast("decimal(28,0)")).cast("string")
     return rows.agg(F.count("*").alias("n"), part(1).alias("low"), part(11).alias("high"))
 
 

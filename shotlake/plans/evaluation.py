@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import evaluation as E
+from ..operators.models import linear_score
 from ..registry import query
 from ..sources.tables import sql_over, view
+from .modelling import FEATURES, INTERCEPT, REFERENCE, SCORES, WEIGHTS, feature_rows
 
 LL = "-ln(greatest(least(CASE WHEN y = 1 THEN {p} ELSE 1.0::DOUBLE - {p} END, 1.0::DOUBLE), 1e-15))"
 RANKS = """, g AS (SELECT {keys} p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL),
@@ -152,22 +154,35 @@ def score_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_over("scored", body=f"""
 , s AS (SELECT cluster_id, count(*)::DOUBLE AS n, sum({LL.format(p='p')}) AS a, sum((y - p) * (y - p)) AS b, sum({LL.format(p='p_other')}) AS c, sum((y - p_other) * (y - p_other)) AS d, row_number() OVER (ORDER BY cluster_id) - 1 AS place FROM scored GROUP BY 1),
-w AS (SELECT r.range AS replicate, ('0x' || substr(md5(r.range || ':' || k.range), 1, 8))::BIGINT % (SELECT count(*) FROM s) AS place FROM range(200) r, range((SELECT count(*) FROM s)) k),
+w AS (SELECT r.range AS replicate, ('0x' || substr(md5(r.range || ':' || k.range), 1, 8))::BIGINT % (SELECT count(*) FROM s) AS place FROM range(2000) r, range((SELECT count(*) FROM s)) k),
 e AS (SELECT replicate, sum(a) / sum(n) AS ll_p, sum(b) / sum(n) AS se_p, sum(c) / sum(n) AS ll_p_other, sum(d) / sum(n) AS se_p_other FROM w JOIN s USING (place) GROUP BY 1),
 u AS (SELECT 'll_p' AS metric, ll_p AS v FROM e UNION ALL SELECT 'se_p', se_p FROM e UNION ALL SELECT 'll_p_other', ll_p_other FROM e UNION ALL SELECT 'se_p_other', se_p_other FROM e UNION ALL SELECT 'll_difference', ll_p_other - ll_p FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM u GROUP BY 1"""))
 def paired_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.cluster_bootstrap(scored(spark, sf_dir), "cluster_id", 200, ps=("p", "p_other")), "low", "high")
+    return rounded(E.cluster_bootstrap(scored(spark, sf_dir), "cluster_id", ps=("p", "p_other")), "low", "high")
 
 
-@query(sql_over("scored", body=", f AS (SELECT 'fold' AS family, fold::VARCHAR AS level, y, p, cluster_id FROM scored UNION ALL SELECT 'score', CASE WHEN p_other < 0.2 THEN '<0.2' WHEN p_other < 0.4 THEN '[0.2,0.4)' WHEN p_other < 0.6 THEN '[0.4,0.6)' ELSE '>=0.6' END, y, p, cluster_id FROM scored)"
-    + RANKS.format(keys="family, level,", source="f", part="family, level") + f""",
-a AS (SELECT family, level, {AUCS} FROM r GROUP BY 1, 2), t AS (SELECT family, level, count(*) AS n, sum(y)::BIGINT AS positives, count(DISTINCT cluster_id) AS clusters, round(avg({LL.format(p='p')}), 9) AS log_loss, round(avg((y - p) * (y - p)), 9) AS brier FROM f GROUP BY 1, 2),
+BANDS = {"distance": (S.DISTANCE_EDGES, "distance"), "angle": (S.ANGLE_EDGES, "angle")}
+
+
+def band_sql(column: str, edges: tuple[float, ...]) -> str:
+    """The labels of functions.scores.band_label."""
+    inner = "".join(f" WHEN {column} < {b:g}::DOUBLE THEN '[{a:g},{b:g})'" for a, b in zip(edges, edges[1:]))
+    return f"CASE WHEN {column} < {edges[0]:g}::DOUBLE THEN '<{edges[0]:g}'{inner} ELSE '>={edges[-1]:g}' END"
+
+
+@query(sql_over("shots", body=FEATURES + f", s AS (SELECT *, 1 / (1 + exp(-round({SCORES}, 6))) AS p FROM f), f2 AS ("
+    + " UNION ALL ".join([*(f"SELECT '{k}' AS family, coalesce({k}, '[missing]') AS level, y, p, match_id AS cluster_id FROM s" for k in REFERENCE), *(f"SELECT '{k}', {band_sql(c, edges)}, y, p, match_id FROM s" for k, (edges, c) in BANDS.items())]) + ")"
+    + RANKS.format(keys="family, level,", source="f2", part="family, level") + f""",
+a AS (SELECT family, level, {AUCS} FROM r GROUP BY 1, 2), t AS (SELECT family, level, count(*) AS n, sum(y)::BIGINT AS positives, count(DISTINCT cluster_id) AS clusters, round(avg({LL.format(p='p')}), 9) AS log_loss, round(avg((y - p) * (y - p)), 9) AS brier FROM f2 GROUP BY 1, 2),
 o AS (SELECT *, n >= 50 AND positives >= 5 AND n - positives >= 5 AND clusters >= 10 AS supported FROM t JOIN a USING (family, level))
 SELECT family, level, n, positives, clusters, supported, CASE WHEN supported THEN log_loss END AS log_loss, CASE WHEN supported THEN brier END AS brier, CASE WHEN supported THEN roc_auc END AS roc_auc, CASE WHEN supported THEN pr_auc END AS pr_auc FROM o"""))
 def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = {"fold": F.col("fold"), "score": S.band_label(F.col("p_other"), S.ANGLE_EDGES)}
-    return rounded(E.slices(scored(spark, sf_dir), families, "cluster_id"), "log_loss", "brier", "roc_auc", "pr_auc")
+    """Six families of slices of the shots that the frozen model scores."""
+    rows = feature_rows(spark, sf_dir).withColumn("pressed", F.coalesce("under_pressure", F.lit(False)).cast("int"))
+    shots = rows.withColumn("p", S.sigmoid(F.round(linear_score(WEIGHTS, INTERCEPT), 6)))
+    families = {k: F.col(k) for k in REFERENCE} | {k: S.band_label(F.col(c), edges) for k, (edges, c) in BANDS.items()}
+    return rounded(E.slices(shots, families, "match_id"), "log_loss", "brier", "roc_auc", "pr_auc")
 
 
 @query(sql_over("scored", body=f"SELECT round(avg({LL.format(p='p_other')}) - avg({LL.format(p='p')}), 9) AS log_loss, round(avg((y - p_other) * (y - p_other)) - avg((y - p) * (y - p)), 9) AS brier FROM scored"))

@@ -1,5 +1,5 @@
-"""Normalisation of nested documents. The documents are made from the tables by Spark, one JSON array a match, and
-then scanned; the SQL states what the scan must give back."""
+"""Normalisation of nested documents. The documents are made from the tables by Spark, one JSON array a match, written
+once as files, and scanned from there; the SQL states what the scan must give back."""
 
 from __future__ import annotations
 
@@ -21,8 +21,10 @@ def _as_json(df: DataFrame, key: str, item) -> DataFrame:
 
 
 def competition_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(json): one array of all competition seasons, a few dozen."""
     pairs = view(spark, sf_dir, "matches").select(*SEASON).distinct().join(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("competition_id"), "r_name"), "competition_id")
-    return _as_json(pairs, "competition_id", F.struct("competition_id", "season_id", F.expr("nullif(r_name, 'ASIA')").alias("country_name"), F.col("r_name").alias("competition_name"), F.col("season_id").cast("string").alias("season_name")))
+    item = F.struct("competition_id", "season_id", F.expr("nullif(r_name, 'ASIA')").alias("country_name"), F.col("r_name").alias("competition_name"), F.col("season_id").cast("string").alias("season_name"))
+    return pairs.agg(F.to_json(F.collect_list(item)).alias("json"))
 
 
 def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "match_id", F.concat(F.col("match_date").cast("string"), F.lit("T00:00:00")).alias("match_date"), F.struct("competition_id").alias("competition"), F.struct("season_id").alias("season"), F.struct("home_team_id", F.concat(F.lit("T"), "home_team_id").alias("home_team_name")).alias("home_team"),
         F.struct("away_team_id", F.concat(F.lit("T"), "away_team_id").alias("away_team_name")).alias("away_team"), "home_score", "away_score", F.when(F.col("stage_name").isNotNull(), F.struct(F.lit(0).alias("id"), F.col("stage_name").alias("name"))).alias("competition_stage"),
     )
-    return _as_json(m.withColumn("part", F.concat_ws("/", *SEASON)), "part", item)
+    return _as_json(m.withColumn("part", F.col("competition_id") * 10_000 + F.col("season_id")), "part", item)
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("E"), "event_id").alias("id"), F.col("event_index").alias("index"), "period", "minute", "second", named(F.when(is_shot, 16).otherwise(30), F.when(is_shot, "Shot").otherwise("Pass")).alias("type"), named(F.col("team_id"), F.concat(F.lit("T"), "team_id")).alias("team"),
         F.when(F.col("player_id").isNotNull(), named(F.col("player_id"), F.concat(F.lit("P"), "player_id"))).alias("player"), (F.col("minute") % 4).alias("possession"), "duration", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array("x", "y")).alias("location"),
         "under_pressure", F.array(F.concat(F.lit("e"), F.col("event_id") + 1), F.concat(F.lit("e"), F.col("event_id") - 1)).alias("related_events"), shot.alias("shot"),
-        F.when(~is_shot, F.struct(F.col("end_x").alias("length"), F.struct(F.col("minute").alias("forbidden")).alias("inner"))).alias("pass"), F.lit("note").alias("_comment"),
+        F.when(~is_shot, F.struct(F.col("end_x").alias("length"), F.struct(F.col("minute").alias("forbidden"), F.col("minute").alias("kept")).alias("inner"), F.array(F.struct("second", F.col("second").alias("forbidden"))).alias("list"), (F.col("minute") > 45).alias("late"))).alias("pass"), F.lit("note").alias("_comment"),
     )
     return _as_json(s, "match_id", item)
 
@@ -59,70 +61,97 @@ def lineup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_json(teams, "match_id", F.struct("team_id", F.concat(F.lit("T"), "team_id").alias("team_name"), "lineup"))
 
 
+_MAKERS = {"competitions": competition_documents, "matches": match_documents, "events": event_documents, "lineups": lineup_documents}
+_files: dict[tuple[str, str, str], str] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Documents of a kind as read from files, which an application writes once for each folder of tables: one file
+    with one array of competition seasons, and files with one document a line for the others."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _files:
+        path = f"{D.shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        made = _MAKERS[kind](spark, sf_dir)
+        if kind == "competitions":
+            made.select("json").coalesce(1).write.text(path)
+        else:
+            made.write.json(path)
+        _files[at] = path
+    if kind == "competitions":
+        return D.read_documents(spark, _files[at])
+    return D.read_document_lines(spark, _files[at], "part" if kind == "matches" else "match_id")
+
+
 def longs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
 
 
 @query(sql_over("matches", body="SELECT DISTINCT competition_id, season_id, nullif(r_name, 'ASIA') AS country_name, r_name AS competition_name, season_id::VARCHAR AS season_name FROM matches JOIN region ON r_regionkey = competition_id"))
 def scan_competitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(D.scan_competitions(competition_documents(spark, sf_dir)))
+    return longs(D.scan_competitions(documents(spark, sf_dir, "competitions")))
 
 
 @query(sql_over("matches", body="SELECT match_id, match_date::VARCHAR AS match_date, competition_id, season_id, home_team_id, 'T' || home_team_id AS home_team_name, away_team_id, 'T' || away_team_id AS away_team_name, home_score, away_score, stage_name FROM matches"))
 def scan_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(D.scan_matches(match_documents(spark, sf_dir)).withColumn("match_date", F.col("match_date").cast("string")))
+    return longs(D.scan_matches(documents(spark, sf_dir, "matches")).withColumn("match_date", F.col("match_date").cast("string")))
 
 
 @query(sql_over("shots", body="SELECT match_id, 'e' || event_id AS event_id, event_index, period, minute, second, minute % 4 AS possession_id, CASE WHEN event_index % 2 = 0 THEN 'Shot' ELSE 'Pass' END AS type_name, team_id, player_id, CASE WHEN player_id IS NOT NULL THEN 'P' || player_id END AS player_name, round(duration, 6) AS duration, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y, under_pressure FROM shots"))
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = longs(D.scan_events(event_documents(spark, sf_dir))).withColumn("duration", F.round("duration", 6))
+    e = longs(D.scan_events(documents(spark, sf_dir, "events"))).withColumn("duration", F.round("duration", 6))
     return e.select("match_id", "event_id", "event_index", "period", "minute", "second", "possession_id", "type_name", "team_id", "player_id", "player_name", "duration", "x", "y", "under_pressure")
 
 
 @query(sql_over("memberships", body="SELECT match_id, team_id, 'T' || team_id AS team_name, player_id, 'P' || player_id AS player_name FROM memberships"))
 def scan_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teams, members = D.scan_lineups(lineup_documents(spark, sf_dir))
+    teams, members = D.scan_lineups(documents(spark, sf_dir, "lineups"))
     return longs(members.join(teams, ["match_id", "team_id"]).select("match_id", "team_id", "team_name", "player_id", "player_name"))
 
 
 @query(sql_over("positions", "memberships", body="SELECT match_id, team_id, player_id, row_number() OVER (PARTITION BY match_id, team_id, player_id ORDER BY source_order, position_name, from_clock) AS source_order, position_name, CASE WHEN split_part(from_clock, ':', 2)::INT <= 59 THEN split_part(from_clock, ':', 1)::BIGINT * 60 + split_part(from_clock, ':', 2)::BIGINT END AS from_second FROM positions"))
 def explode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.explode_positions(D.scan_lineups(lineup_documents(spark, sf_dir))[1])
+    p = D.explode_positions(D.scan_lineups(documents(spark, sf_dir, "lineups"))[1])
     return longs(p.select("match_id", "team_id", "player_id", "source_order", "position_name", (F.extract(F.lit("MINUTE"), "from_clock") * 60 + F.extract(F.lit("HOUR"), "from_clock") * 3600 + F.extract(F.lit("SECOND"), "from_clock")).cast("long").alias("from_second")))
 
 
 @query(sql_over("memberships", body="SELECT match_id, team_id, player_id, k AS source_order, CASE k WHEN 1 THEN 'Yellow Card' ELSE 'Red Card' END AS card_type, k = 1 AS has_clock FROM memberships, (VALUES (1::BIGINT), (2::BIGINT)) AS c(k) WHERE player_id % 3 = 0"))
 def explode_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = D.explode_cards(D.scan_lineups(lineup_documents(spark, sf_dir))[1])
+    c = D.explode_cards(D.scan_lineups(documents(spark, sf_dir, "lineups"))[1])
     return longs(c.select("match_id", "team_id", "player_id", "source_order", "card_type", F.col("card_clock").isNotNull().alias("has_clock")))
 
 
 @query(sql_over("shots", body="SELECT match_id, 'e' || event_id AS source_event_id, 'e' || (event_id + d) AS related_event_id, k AS source_order FROM shots, (VALUES (1::BIGINT, 1), (2::BIGINT, -1)) AS c(k, d)"))
 def explode_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(D.explode_relations(event_documents(spark, sf_dir)))
+    return longs(D.explode_relations(documents(spark, sf_dir, "events")))
 
 
 @query(sql_over("shots", body="SELECT match_id, 'e' || event_id AS event_id, k AS source_order, player_id, CASE WHEN player_id IS NOT NULL THEN 'P' || player_id END AS player_name, event_index > 2 AS teammate, x, y FROM shots, (VALUES (1::BIGINT), (2::BIGINT)) AS c(k) WHERE event_index % 2 = 0"))
 def explode_freeze_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.explode_freeze_frame(event_documents(spark, sf_dir))
+    f = D.explode_freeze_frame(documents(spark, sf_dir, "events"))
     return longs(f.select("match_id", "event_id", "source_order", "player_id", "player_name", "teammate", "x", "y"))
 
 
 @query(sql_over("shots", body="SELECT match_id, 'e' || event_id AS event_id, outcome_name, body_part_name, technique_name, shot_type_name, end_x, end_y, end_z, first_time, open_goal FROM shots WHERE event_index % 2 = 0"))
 def project_shot_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.project_shot_detail(event_documents(spark, sf_dir)).select("match_id", "event_id", "outcome_name", "body_part_name", "technique_name", "shot_type_name", "end_x", "end_y", "end_z", "first_time", "open_goal")
+    return D.project_shot_detail(documents(spark, sf_dir, "events")).select("match_id", "event_id", "outcome_name", "body_part_name", "technique_name", "shot_type_name", "end_x", "end_y", "end_z", "first_time", "open_goal")
 
 
-@query(sql_over("shots", body="SELECT match_id, 'e' || event_id AS event_id, CASE WHEN event_index % 2 = 1 THEN end_x END AS length, event_index % 2 = 1 AS has_residue FROM shots"))
+@query(sql_over("shots", body="""
+SELECT match_id, 'e' || event_id AS event_id, event_index % 2 = 1 AS has_residue, false AS leaks, CASE WHEN event_index % 2 = 1 THEN end_x END AS length, CASE WHEN event_index % 2 = 1 AND minute IS NOT NULL THEN '{"kept":' || minute || '}' END AS inner_object,
+ CASE WHEN event_index % 2 = 1 THEN '[{"second":' || second || '}]' END AS list, CASE WHEN event_index % 2 = 1 THEN CASE WHEN minute > 45 THEN 'true' ELSE 'false' END END AS late, CASE WHEN event_index % 2 = 1 THEN 'BOOLEAN' END AS late_type FROM shots"""))
 def project_residual_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = D.project_residual_json(event_documents(spark, sf_dir))
-    inner = F.get_json_object("type_data", "$.pass")
-    return r.select("match_id", "event_id", F.get_json_object(inner, "$.length").cast("double").alias("length"), F.col("type_data").isNotNull().alias("has_residue"))
+    """Nested values keep their types, and the forbidden key is gone at every depth."""
+    r = D.project_residual_json(documents(spark, sf_dir, "events"), "forbidden")
+    part = lambda path: F.get_json_object("type_data", path)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("type_data"), "$.pass.late", "variant"))
+    return r.select(
+        "match_id", "event_id", F.col("type_data").isNotNull().alias("has_residue"), J.has_key(F.col("type_data"), "forbidden").alias("leaks"), part("$.pass.length").cast("double").alias("length"), part("$.pass.inner").alias("inner_object"), part("$.pass.list").alias("list"), part("$.pass.late").alias("late"), kind.alias("late_type")
+    )
 
 
 @query(sql_over("shots", body="SELECT match_id, count(*) FILTER (WHERE event_index % 2 = 1) > 0 AS before, false AS after FROM shots GROUP BY 1"))
 def strip_json_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = event_documents(spark, sf_dir).withColumn("clean", J.strip_key(F.col("json"), "forbidden"))
+    docs = documents(spark, sf_dir, "events").withColumn("clean", J.strip_key(F.col("json"), "forbidden"))
     return docs.select("match_id", J.has_key(F.col("json"), "forbidden").alias("before"), J.has_key(F.col("clean"), "forbidden").alias("after"))
 
 
@@ -139,26 +168,57 @@ def parse_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BROKEN = "CASE WHEN event_index = 1 AND minute % 10 = 0 THEN 'minute: integer expected' WHEN event_index = 2 AND minute % 10 = 1 THEN 'location: two numbers expected' WHEN event_index = 3 AND minute % 10 = 2 THEN 'type.name: text required' END"
+BROKEN_MATCH = "CASE WHEN match_id % 7 = 0 THEN 'season.season_id: whole required' WHEN match_id % 7 = 1 THEN 'away_team.away_team_name: value required' WHEN match_id % 7 = 2 THEN 'match_date: date expected' END"
+BROKEN_MEMBER = "CASE WHEN player_id % 9 = 0 THEN 'player_id: integer required' WHEN player_id % 9 = 1 THEN 'player_name: text required' END"
 
 
-@query(sql_over("shots", body=f", b AS (SELECT {BROKEN} AS error FROM shots) SELECT coalesce(error, 'ok') AS error, count(*) AS n FROM b GROUP BY 1"))
+def _texts(rows: DataFrame, key: str, text) -> DataFrame:
+    """(key, json): arrays of JSON texts by key."""
+    return rows.groupBy(key).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("json"))
+
+
+@query(sql_over("shots", "matches", "memberships", body=f"""
+, e AS (SELECT 'event' AS kind, {BROKEN} AS error FROM shots UNION ALL SELECT 'match', {BROKEN_MATCH} FROM matches UNION ALL SELECT 'member', {BROKEN_MEMBER} FROM memberships UNION ALL SELECT 'team', CASE WHEN match_id % 4 = 0 THEN 'lineup: list required' END FROM (SELECT DISTINCT match_id, team_id FROM memberships WHERE match_id % 4 = 0)
+ UNION ALL SELECT 'team', NULL FROM (SELECT DISTINCT match_id, team_id FROM memberships) UNION ALL SELECT 'competition', CASE WHEN r_regionkey = 1 THEN 'season_name: value required' END FROM region)
+SELECT kind, coalesce(error, 'ok') AS error, count(*) AS n FROM e GROUP BY 1, 2"""))
 def validate_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with planted faults: a boolean minute, a location of three, a type without a name."""
-    s = view(spark, sf_dir, "shots")
-    bad = s.withColumn("error", F.coalesce(F.expr(BROKEN), F.lit("ok")))
+    """Documents of all kinds with planted faults: fields that are missing or of another type."""
+    s = view(spark, sf_dir, "shots").withColumn("error", F.coalesce(F.expr(BROKEN), F.lit("ok")))
     minute = F.when(F.col("error").startswith("minute"), F.lit("true")).otherwise(F.col("minute").cast("string"))
     location = F.when(F.col("error").startswith("location"), F.lit("[1,2,3]")).otherwise(F.lit("[1.5,2]"))
     kind = F.when(F.col("error").startswith("type"), F.lit('{"id":16}')).otherwise(F.lit('{"id":16,"name":"Shot"}'))
-    text = F.format_string('{"id":"e%d","minute":%s,"location":%s,"type":%s}', F.col("event_id"), minute, location, kind)
-    docs = bad.groupBy("match_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("json"))
-    checked = D.validate_events(docs)
-    return checked.groupBy(F.when(F.size("errors") == 0, "ok").otherwise(F.array_join("errors", "; ")).alias("error")).agg(F.count("*").alias("n"))
-
-
-@query(sql_over("stream", body="SELECT match_id, possession_id::VARCHAR AS possession_id, min(team_id) AS team_id, count(DISTINCT team_id) > 1 AS conflict FROM stream GROUP BY 1, 2"))
+    events = D.validate_events(_texts(s, "match_id", F.format_string('{"id":"e%d","minute":%s,"location":%s,"type":%s}', F.col("event_id"), minute, location, kind)))
+
+    m = view(spark, sf_dir, "matches").withColumn("error", F.coalesce(F.expr(BROKEN_MATCH), F.lit("ok"))).withColumn("part", F.col("competition_id") * 10_000 + F.col("season_id"))
+    season = F.when(F.col("error").startswith("season"), F.lit('"x"')).otherwise(F.col("season_id").cast("string"))
+    away = F.when(F.col("error").startswith("away"), F.lit("null")).otherwise(F.lit('"A"'))
+    date = F.when(F.col("error").startswith("match_date"), F.lit("1999-13-01")).otherwise(F.col("match_date").cast("string"))
+    form = '{"match_id":%d,"competition":{"competition_id":"%d"},"season":{"season_id":%s},"home_team":{"home_team_id":%d,"home_team_name":"H"},"away_team":{"away_team_id":%d,"away_team_name":%s},"match_date":"%s"}'
+    matches = D.validate_matches(_texts(m, "part", F.format_string(form, "match_id", "competition_id", season, "home_team_id", "away_team_id", away, date)))
+
+    b = view(spark, sf_dir, "memberships").withColumn("error", F.coalesce(F.expr(BROKEN_MEMBER), F.lit("ok")))
+    player = F.when(F.col("error").startswith("player_id"), F.lit("true")).otherwise(F.col("player_id").cast("string"))
+    name = F.when(F.col("error").startswith("player_name"), F.lit("5")).otherwise(F.lit('"P"'))
+    members = b.groupBy("match_id", "team_id").agg(F.array_join(F.collect_list(F.format_string('{"player_id":%s,"player_name":%s}', player, name)), ",").alias("members"))
+    broken = members.filter("match_id % 4 = 0").select("match_id", F.format_string('{"team_id":%d,"lineup":{}}', "team_id").alias("t"))
+    teams = members.select("match_id", F.format_string('{"team_id":%d,"lineup":[%s]}', "team_id", "members").alias("t")).unionByName(broken)
+    lineups = D.validate_lineups(_texts(teams, "match_id", F.col("t")))
+
+    c = table(spark, sf_dir, "region").select(F.lit(1).alias("k"), F.format_string('{"competition_id":%d,"season_id":"1","competition_name":"%s"%s}', F.col("r_regionkey"), F.col("r_name"), F.when(F.col("r_regionkey") == 1, F.lit("")).otherwise(F.lit(',"season_name":1'))).alias("t"))
+    competitions = D.validate_competitions(_texts(c, "k", F.col("t")))
+    every = None
+    for label, checked in ((F.lit("event"), events), (F.lit("match"), matches), (F.col("part"), lineups), (F.lit("competition"), competitions)):
+        part = checked.select(label.alias("kind"), F.when(F.size("errors") == 0, "ok").otherwise(F.array_join("errors", "; ")).alias("error"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
+@query(sql_over("stream", body=", s AS (SELECT *, CASE WHEN event_id % 5 > 1 THEN team_id WHEN event_id % 5 = 1 THEN 1 END AS held FROM stream) SELECT match_id, possession_id::VARCHAR AS possession_id, min(held) AS team_id, count(DISTINCT coalesce(held, -1)) > 1 AS conflict FROM s GROUP BY 1, 2"))
 def derive_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.derive_possessions(view(spark, sf_dir, "stream"))
-    return p.select("match_id", F.col("possession_id").cast("string").alias("possession_id"), F.col("least_team").alias("team_id"), "conflict")
+    """Teams of events, some of them null, which conflicts with a team."""
+    held = F.when(F.col("event_id") % 5 > 1, F.col("team_id")).when(F.col("event_id") % 5 == 1, F.lit(1))
+    p = D.derive_possessions(view(spark, sf_dir, "stream").withColumn("team_id", held))
+    return p.select("match_id", F.col("possession_id").cast("string").alias("possession_id"), "team_id", "conflict")
 
 
 @query(sql_over("matches", body="SELECT match_id, home_team_id AS team_id, 'home' AS role FROM matches UNION ALL SELECT match_id, away_team_id, 'away' FROM matches"))
@@ -187,7 +247,7 @@ def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
     path = f"{D.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
-    match_documents(spark, sf_dir).select("json").repartition(4, "json").write.text(path)
+    documents(spark, sf_dir, "matches").select("json").repartition(4, "json").write.text(path)
     return path
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.json_text import has_key
 from ..operators import quality as Q
 from ..registry import query
+from ..sources import documents as D
 from ..sources.tables import sql_over, table, view
-from .cohort import SCOPE_SQL, scoped_matches
+from .cohort import SCOPE_SQL, SCOPES
+from .grains import grain_sql, grains
+from .normalization import documents
 
 # Rule names with their conditions in SQL that both engines read alike.
 SHOT_RULES = {
@@ -47,16 +50,10 @@ def expect_foreign_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.union_all([Q.expect_foreign_key(shots, key, members, key, "shot_membership"), Q.expect_foreign_key(view(spark, sf_dir, "positions"), key, members, key, "position_membership"), Q.expect_foreign_key(shots, ["team_id"], table(spark, sf_dir, "customer"), ["c_custkey"], "shot_team")])
 
 
-@query(sql_over("matches", "shots", "memberships", body=f"""
-, m AS (SELECT * FROM matches JOIN {SCOPE_SQL} USING (competition_id, season_id)), s AS (SELECT * FROM shots WHERE match_id IN (SELECT match_id FROM m)), l AS (SELECT * FROM memberships WHERE match_id IN (SELECT match_id FROM m))
-SELECT 'matches' AS name, count(*) AS n FROM m UNION ALL SELECT 'shots', count(*) FROM s UNION ALL SELECT 'memberships', count(*) FROM l
-UNION ALL SELECT 'teams', count(*) FROM (SELECT home_team_id FROM m UNION SELECT away_team_id FROM m) UNION ALL SELECT 'players', count(*) FROM (SELECT player_id FROM l UNION SELECT player_id FROM s WHERE player_id IS NOT NULL)"""))
+@query(sql_over("matches", "shots", "memberships", "positions", body=grain_sql(f"JOIN {SCOPE_SQL} USING (competition_id, season_id)")))
 def scoped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scoped_matches(spark, sf_dir)
-    s, b = (view(spark, sf_dir, v).join(m.select("match_id"), "match_id", "left_semi") for v in ("shots", "memberships"))
-    teams = m.select(F.explode(F.array("home_team_id", "away_team_id")).alias("t")).distinct()
-    players = b.select("player_id").unionByName(s.select("player_id").dropna()).distinct()
-    return Q.row_counts({"matches": m, "shots": s, "memberships": b, "teams": teams, "players": players})
+    """Rows of all sixteen grains within the chosen seasons."""
+    return Q.row_counts(grains(spark, sf_dir, spark.createDataFrame(SCOPES, "competition_id int, season_id int")))
 
 
 @query(sql_over("matches", "memberships", body=", t AS (SELECT DISTINCT match_id, team_id FROM memberships) SELECT match_id, count(team_id) AS teams FROM matches LEFT JOIN t USING (match_id) GROUP BY 1 HAVING count(team_id) <> 2"))
@@ -68,8 +65,14 @@ def matches_without_two_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql_over("shots", body="""
 SELECT 'time' AS name, count(*) FILTER (WHERE NOT coalesce(minute BETWEEN 0 AND 90, true) OR NOT coalesce(second BETWEEN 0 AND 59, true) OR (minute IS NULL) <> (second IS NULL)) AS n FROM shots
 UNION ALL SELECT 'location', count(*) FILTER (WHERE NOT coalesce(x BETWEEN 0 AND 120, true) OR NOT coalesce(y BETWEEN 0 AND 80, true) OR (x IS NULL) <> (y IS NULL)) FROM shots
-UNION ALL SELECT 'end_location', count(*) FILTER (WHERE NOT coalesce(end_x BETWEEN 0 AND 120, true) OR NOT coalesce(end_y BETWEEN 0 AND 80, true) OR (end_x IS NULL) <> (end_y IS NULL)) FROM shots"""))
+UNION ALL SELECT 'end_location', count(*) FILTER (WHERE NOT coalesce(end_x BETWEEN 0 AND 120, true) OR NOT coalesce(end_y BETWEEN 0 AND 80, true) OR (end_x IS NULL) <> (end_y IS NULL)) FROM shots
+UNION ALL SELECT 'freeze_frame', 2 * count(*) FILTER (WHERE NOT coalesce(x BETWEEN 0 AND 120, true) OR NOT coalesce(y BETWEEN 0 AND 80, true) OR (x IS NULL) <> (y IS NULL)) FROM shots WHERE event_index % 2 = 0"""))
 def out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actors = Q.out_of_bounds(D.explode_freeze_frame(documents(spark, sf_dir, "events")), {"freeze_frame": (("x", 0, 120), ("y", 0, 80))})
+    return actors.unionByName(_event_bounds(spark, sf_dir))
+
+
+def _event_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.out_of_bounds(view(spark, sf_dir, "shots"), {"time": (("minute", 0, 90), ("second", 0, 59)), "location": (("x", 0, 120), ("y", 0, 80)), "end_location": (("end_x", 0, 120), ("end_y", 0, 80))})
 
 
@@ -96,7 +99,11 @@ def type_detail_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(detail, "event_id", "left").agg(F.count_if(typed & ~there).alias("no_detail"), F.count_if(~typed & there).alias("stray_detail"))
 
 
-PAIRS = {"outcome": ("nullif(l_returnflag, 'A')", "l_returnflag"), "status": ("l_linestatus", "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linestatus END")}
+# Ids and names of six categories, with planted halves.
+PAIRS = {
+    "outcome": ("nullif(l_returnflag, 'A')", "l_returnflag"), "body_part": ("l_linestatus", "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linestatus END"), "technique": ("nullif(l_suppkey % 7, 0)", "nullif(l_suppkey % 14, 7)"),
+    "shot_type": ("nullif(l_partkey % 20, 0)", "nullif(l_partkey % 20, 0)"), "play_pattern": ("nullif((l_orderkey + l_linenumber) % 6, 4)", "l_returnflag"), "position": ("l_partkey", "nullif(l_partkey % 3, 1)"),
+}
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER (WHERE ({a}) IS NULL <> (({b}) IS NULL)) AS n FROM lineitem" for k, (a, b) in PAIRS.items()))
@@ -104,20 +111,44 @@ def id_name_pair_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.named_counts(table(spark, sf_dir, "lineitem"), {k: F.expr(a).isNull() != F.expr(b).isNull() for k, (a, b) in PAIRS.items()})
 
 
-@query("""
-WITH p AS (SELECT DISTINCT 'brand' AS field, p_size::VARCHAR AS id, p_brand AS name FROM part UNION SELECT DISTINCT 'type', p_type, p_brand FROM part),
+MAPPINGS = {"outcome": ("p_size", "p_brand"), "body_part": ("p_type", "p_brand"), "technique": ("p_partkey % 10", "p_type"), "shot_type": ("p_brand", "p_brand"), "play_pattern": ("nullif(p_size % 5, 0)", "p_size % 10"), "position": ("p_partkey", "nullif(p_size % 3, 0)")}
+
+
+@query("WITH p AS (" + " UNION ".join(f"SELECT DISTINCT '{k}' AS field, ({i})::VARCHAR AS id, ({n})::VARCHAR AS name FROM part" for k, (i, n) in MAPPINGS.items()) + """),
 f AS (SELECT field, 'id with names' AS kind FROM p WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY field, id HAVING count(*) > 1 UNION ALL SELECT field, 'name with ids' FROM p WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY field, name HAVING count(*) > 1)
 SELECT field, kind, count(*) AS n FROM f GROUP BY 1, 2""")
 def category_mapping_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.mapping_conflicts(table(spark, sf_dir, "part"), {"brand": (F.col("p_size"), F.col("p_brand")), "type": (F.col("p_type"), F.col("p_brand"))})
+    return Q.mapping_conflicts(table(spark, sf_dir, "part"), {k: (F.expr(i), F.expr(n)) for k, (i, n) in MAPPINGS.items()})
 
 
-COVERAGE = {"no_player": "player_id IS NULL", "no_location": "x IS NULL OR y IS NULL", "no_duration": "duration IS NULL", "no_play_pattern": "play_pattern_name IS NULL", "no_period": "period IS NULL", "three_dimensional": "end_z IS NOT NULL"}
+# Ten measures by the grain that is their denominator; shots are the events of that type.
+SHOT_COVERAGE = {"shots_without_location": "x IS NULL", "shots_without_player": "player_id IS NULL", "shots_missing_any_field": "player_id IS NULL OR period IS NULL OR x IS NULL OR outcome_name IS NULL OR body_part_name IS NULL OR technique_name IS NULL OR shot_type_name IS NULL"}
+COVERAGE = {"at_raw_boundary": "x = 120.1", "no_player": "player_id IS NULL", "no_location": "x IS NULL OR y IS NULL", "no_play_pattern": "play_pattern_name IS NULL", "no_duration": "duration IS NULL"}
+MEMBER = "EXISTS (SELECT 1 FROM {t} m WHERE m.match_id = s.match_id AND m.team_id = s.team_id AND m.player_id = s.player_id)"
+BP = "coalesce(n * 10000 // nullif(total, 0), 0) AS bp"
 
 
-@query(sql_over("shots", body=" UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER (WHERE {v}) AS n, count(*) AS total, coalesce(count(*) FILTER (WHERE {v}) * 10000 // nullif(count(*), 0), 0) AS bp FROM shots" for k, v in COVERAGE.items())))
+def coverage_sql(measures: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER (WHERE {v}) AS n, count(*) AS total FROM {source}" for k, v in measures.items())
+
+
+@query(sql_over("shots", "memberships", "positions", body=f""", c AS ({coverage_sql(COVERAGE, "shots")} UNION ALL {coverage_sql(SHOT_COVERAGE, "shots WHERE event_index % 2 = 0")}
+ UNION ALL SELECT 'memberships_without_position', count(*) FILTER (WHERE NOT {MEMBER.format(t="positions")}), count(*) FROM memberships s UNION ALL SELECT 'actors_without_membership', count(*) FILTER (WHERE NOT {MEMBER.format(t="memberships")}), count(*) FROM shots s WHERE player_id IS NOT NULL)
+SELECT name, n, total, {BP} FROM c"""))
 def coverage_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.coverage(view(spark, sf_dir, "shots"), {k: F.expr(v) for k, v in COVERAGE.items()})
+    """Ten measures as counts and basis points of their own grain."""
+    key = ["match_id", "team_id", "player_id"]
+    events, members = view(spark, sf_dir, "shots"), view(spark, sf_dir, "memberships")
+
+    def without(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        marked = rows.select(*key).join(others.select(*key, F.lit(True).alias("there")).distinct(), key, "left")
+        return Q.coverage(marked, {name: F.col("there").isNull()})
+
+    expressions = lambda measures: {k: F.expr(v) for k, v in measures.items()}
+    return Q.union_all([
+        Q.coverage(events, expressions(COVERAGE)), Q.coverage(events.filter("event_index % 2 = 0"), expressions(SHOT_COVERAGE)),
+        without(members, view(spark, sf_dir, "positions"), "memberships_without_position"), without(events.dropna(subset=["player_id"]), members, "actors_without_membership"),
+    ])
 
 
 @query(sql_over("shots", "memberships", body="SELECT 'actor_membership_gap' AS name, count(*) AS n FROM shots s WHERE player_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM memberships m WHERE m.match_id = s.match_id AND m.team_id = s.team_id AND m.player_id = s.player_id)"))
@@ -145,24 +176,27 @@ def source_target_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "".join(f" UNION ALL SELECT 'coverage', '{k}', count(*) FILTER (WHERE {v}), count(*), 'INFO' FROM shots" for k, v in COVERAGE.items())))
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = Q.expect_rules(view(spark, sf_dir, "shots"), {k: F.expr(r) for k, r in SHOT_RULES.items()}).withColumnRenamed("violations", "n")
-    return Q.report(errors, membership_without_position(spark, sf_dir), coverage_bp(spark, sf_dir))
+    return Q.report(errors, membership_without_position(spark, sf_dir), Q.coverage(view(spark, sf_dir, "shots"), {k: F.expr(v) for k, v in COVERAGE.items()}))
 
 
 COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in COUNTED))
+@query(sql_over("matches", "shots", "memberships", "positions", body=grain_sql()))
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.row_counts({t: table(spark, sf_dir, t) for t in COUNTED})
+    return Q.row_counts(grains(spark, sf_dir))
 
 
-@query(sql_over("relations", "stream", "shots", "matches", body="""
-SELECT (SELECT count(*) FROM events WHERE json_exists(props, '$.forbidden')) AS forbidden, (SELECT count(*) FROM relations LEFT JOIN stream s ON s.event_id = source_event_id LEFT JOIN stream t ON t.event_id = related_event_id WHERE s.event_id IS NULL OR t.event_id IS NULL) AS orphans,
- (SELECT count(*) FROM shots WHERE match_id NOT IN (SELECT match_id FROM matches)) AS shots_without_match, 0::BIGINT AS leaking_columns"""))
+@query(sql_over("relations", "stream", "shots", "matches", "scored", body="""
+SELECT (SELECT count(*) FROM events WHERE json_exists(props, '$.forbidden')) AS forbidden, (SELECT count(*) FROM relations WHERE source_event_id NOT IN (SELECT event_id FROM stream)) AS no_source, (SELECT count(*) FROM relations WHERE related_event_id NOT IN (SELECT event_id FROM stream)) AS no_target,
+ (SELECT count(*) FROM shots WHERE match_id NOT IN (SELECT match_id FROM matches)) AS shots_without_match, (SELECT count(*) FROM scored WHERE row_id % 97 <> 0 AND row_id + CASE WHEN row_id % 89 = 0 THEN 1000000000 ELSE 0 END NOT IN (SELECT event_id FROM stream)) AS scores_without_event, 0::BIGINT AS leaking_columns"""))
 def leakage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks and orphans in one row; some scores are moved to events that don't exist."""
     one = F.lit(1).alias("k")
     forbidden = table(spark, sf_dir, "events").agg(F.count_if(has_key(F.col("props"), "forbidden")).alias("forbidden")).select("*", one)
-    orphans = orphan_relations(spark, sf_dir).select("orphans", one)
+    orphans = orphan_relations(spark, sf_dir).select("no_source", "no_target", one)
     shots = view(spark, sf_dir, "shots").join(view(spark, sf_dir, "matches"), "match_id", "left_anti").agg(F.count("*").alias("shots_without_match")).select("*", one)
+    moved = view(spark, sf_dir, "scored").filter("row_id % 97 <> 0").select((F.col("row_id") + F.when(F.col("row_id") % 89 == 0, 1_000_000_000).otherwise(0)).alias("event_id"))
+    scores = moved.join(view(spark, sf_dir, "stream"), "event_id", "left_anti").agg(F.count("*").alias("scores_without_event")).select("*", one)
     columns = Q.columns_like(spark, {t: table(spark, sf_dir, t) for t in COUNTED}, r"(?i)expected_goal|_xg$").agg(F.count("*").alias("leaking_columns")).select("*", one)
-    return forbidden.join(orphans, "k").join(shots, "k").join(columns, "k").drop("k")
+    return forbidden.join(orphans, "k").join(shots, "k").join(scores, "k").join(columns, "k").drop("k")

@@ -77,6 +77,6 @@ def partition_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.partition_proof(eligible_shots(view(spark, sf_dir, "shots")), assigned(spark, sf_dir))
 
 
-@query(sql_over("shots", body="SELECT count(*) AS n, sum(('0x' || substr(h, 1, 10))::BIGINT)::BIGINT AS low, sum(('0x' || substr(h, 11, 10))::BIGINT)::BIGINT AS high FROM (SELECT sha256(event_id || ':' || match_id) AS h FROM shots)"))
+@query(sql_over("shots", body="SELECT count(*) AS n, sum(('0x' || substr(h, 1, 10))::BIGINT)::VARCHAR AS low, sum(('0x' || substr(h, 11, 10))::BIGINT)::VARCHAR AS high FROM (SELECT sha256(event_id || ':' || match_id) AS h FROM shots)"))
 def membership_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.membership_digest(view(spark, sf_dir, "shots"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_text import strip_key
 from .shared import shared_folder
 
-__all__ = ["shared_folder", "read_documents", "scan_competitions", "scan_matches", "scan_events", "scan_lineups"]
+__all__ = ["shared_folder", "read_documents", "read_document_lines", "scan_competitions", "scan_matches", "scan_events", "scan_lineups"]
 
 PAIR = "struct<id:int,name:string>"
 COMPETITION = "array<struct<competition_id:int,season_id:int,country_name:string,competition_name:string,season_name:string>>"
@@ -20,7 +21,7 @@ LINEUP = f"array<struct<team_id:int,team_name:string,lineup:array<struct<player_
 FLAGS = ("aerial_won", "follows_dribble", "first_time", "open_goal", "one_on_one", "deflected", "redirect", "saved_off_target", "saved_to_post")
 SHOT = f"struct<outcome:{PAIR},body_part:{PAIR},technique:{PAIR},type:{PAIR},end_location:array<double>,key_pass_id:string,{','.join(f'{f}:boolean' for f in FLAGS)},freeze_frame:array<struct<player:{PAIR},position:{PAIR},teammate:boolean,location:array<double>>>>"
 EVENT = f"array<struct<id:string,index:int,period:int,timestamp:string,minute:int,second:int,type:{PAIR},team:{PAIR},player:{PAIR},position:{PAIR},play_pattern:{PAIR},possession:int,possession_team:{PAIR},duration:double,location:array<double>,under_pressure:boolean,off_camera:boolean,out:boolean,counterpress:boolean,related_events:array<string>,shot:{SHOT}>>"
-EVENT_KEYS = ("id", "index", "period", "timestamp", "minute", "second", "type", "team", "player", "position", "play_pattern", "possession", "possession_team", "duration", "location", "under_pressure", "off_camera", "out", "counterpress", "related_events", "shot", "tactics")
+SHARED_KEYS = ("id", "index", "period", "timestamp", "minute", "second", "type", "team", "player", "position", "play_pattern", "possession", "possession_team", "duration", "location", "under_pressure", "off_camera", "out", "counterpress", "related_events")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +29,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("json"))
 
 
+def read_document_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows (key, json) of text files with one document a line, {"<key>": ..., "json": "..."}: many small documents in
+    files that Spark can split."""
+    return spark.read.schema(f"`{key}` long, json string").json(path)
+
+
 def _items(docs: DataFrame, schema: str, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(F.from_json("json", schema)).alias("d"))
 
@@ -102,37 +109,116 @@ def project_shot_detail(docs: DataFrame) -> DataFrame:
     return shot.select("match_id", F.lower("d.id").alias("event_id"), *pairs, at(0), at(1), at(2), "d.shot.key_pass_id", *[F.col(f"d.shot.{f}") for f in FLAGS])
 
 
-def project_residual_json(docs: DataFrame) -> DataFrame:
-    """(match_id, event_id, type_data): what a non-shot event holds besides the shared keys and keys that start with
-    an underscore, tactics included; null when nothing is left, and for shots."""
+def project_residual_json(docs: DataFrame, forbidden: str | None = None) -> DataFrame:
+    """(match_id, event_id, type_data): JSON of what a non-shot event holds besides the shared keys and keys that start
+    with an underscore, without the forbidden key at any depth; null when nothing is left, and for shots. Values keep
+    their types."""
     texts = docs.select("match_id", F.explode(F.from_json("json", "array<string>")).alias("e"))
-    parts = texts.select("match_id", F.lower(F.get_json_object("e", "$.id")).alias("event_id"), F.get_json_object("e", "$.type.name").alias("kind"), F.from_json("e", "map<string,string>").alias("m"))
-    shared = F.array(*[F.lit(k) for k in EVENT_KEYS if k != "tactics"])
-    left = F.map_filter("m", lambda k, v: ~F.array_contains(shared, k) & ~k.startswith("_"))
-    return parts.select("match_id", "event_id", F.when((F.coalesce("kind", F.lit("")) != "Shot") & (F.size(left) > 0), F.to_json(left)).alias("type_data"))
+    parts = texts.select("match_id", F.lower(F.get_json_object("e", "$.id")).alias("event_id"), F.get_json_object("e", "$.type.name").alias("kind"), F.from_json("e", "map<string,variant>").alias("m"))
+    shared = F.array(*map(F.lit, SHARED_KEYS))
+    left = F.map_filter("m", lambda k, v: ~F.array_contains(shared, k) & ~k.startswith("_") & ~((k == "tactics") & (F.schema_of_variant(v) == "VOID")))
+    text = F.when((F.coalesce("kind", F.lit("")) != "Shot") & (F.size(left) > 0), F.to_json(left))
+    found = parts.select("match_id", "event_id", text.alias("type_data"))
+    return found if forbidden is None else found.withColumn("type_data", F.nullif(strip_key(F.col("type_data"), forbidden), F.lit("{}")))
+
+
+class _Typed:
+    """Checks of one JSON value, a variant column: each gives an error text, or null where the value is as it should."""
+
+    def __init__(self, v: str):
+        self.v = v
+
+    def kind(self, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(self.v, path, "variant"))
+
+    def there(self, path: str) -> Column:
+        """Whether the value is given and isn't null."""
+        return F.coalesce(self.kind(path) != "VOID", F.lit(False))
+
+    def _is(self, path: str, what: str) -> Column:
+        kind = self.kind(path)
+        return {
+            "integer": kind == "BIGINT", "text": kind == "STRING", "number": (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "boolean": kind == "BOOLEAN", "list": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT"),
+            "whole": F.try_variant_get(self.v, path, "bigint").isNotNull(), "date": F.try_to_date(F.substring(F.try_variant_get(self.v, path, "string"), 1, 10)).isNotNull() & (kind == "STRING"),
+        }[what]
+
+    def required(self, path: str, what: str | None = None) -> Column:
+        ok = self.there(path) if what is None else F.coalesce(self._is(path, what), F.lit(False))
+        return F.when(~ok, F.lit(f"{path[2:]}: {what or 'value'} required"))
+
+    def optional(self, path: str, what: str) -> Column:
+        return F.when(self.there(path) & ~F.coalesce(self._is(path, what), F.lit(False)), F.lit(f"{path[2:]}: {what} expected"))
+
+    def pair(self, path: str) -> Column:
+        return F.when(self.there(f"{path}.id") != self.there(f"{path}.name"), F.lit(f"{path[2:]}: id and name go together"))
+
+
+def _elements(docs: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, position, v): the elements of each document's array, as variants."""
+    return docs.select(*keep, F.posexplode(F.from_json("json", "array<string>")).alias("position", "e")).withColumn("v", F.try_parse_json("e"))
+
+
+def _errors(*checks: Column) -> Column:
+    return F.array_compact(F.array(F.when(F.col("v").isNull(), F.lit("not JSON")), *checks)).alias("errors")
+
+
+def validate_competitions(docs: DataFrame) -> DataFrame:
+    """(position, errors) for each competition season; ids may be given as text, as long as they are whole numbers."""
+    t = _Typed("v")
+    return _elements(docs).select("position", _errors(*[t.required(f"$.{k}", "whole") for k in ("competition_id", "season_id")], *[t.required(f"$.{k}") for k in ("competition_name", "season_name")]))
+
+
+def validate_matches(docs: DataFrame) -> DataFrame:
+    """(position, errors) for each match."""
+    t = _Typed("v")
+    ids = ("match_id", "competition.competition_id", "season.season_id", "home_team.home_team_id", "away_team.away_team_id")
+    names = ("home_team.home_team_name", "away_team.away_team_name")
+    stage = F.when(t.there("$.competition_stage") & ~F.coalesce(t._is("$.competition_stage.name", "text"), F.lit(False)), F.lit("competition_stage.name: text required"))
+    return _elements(docs).select("position", _errors(*[t.required(f"$.{k}", "whole") for k in ids], *[t.required(f"$.{k}") for k in names], t.optional("$.match_date", "date"), stage))
+
+
+def validate_lineups(docs: DataFrame) -> DataFrame:
+    """(match_id, part, position, errors) for each team of a match (part "team"), each of its members ("member"), and
+    each position and card of a member."""
+    t = _Typed("v")
+    teams = _elements(docs, "match_id")
+    out = teams.select("match_id", F.lit("team").alias("part"), "position", _errors(t.required("$.team_id", "integer"), t.optional("$.team_name", "text"), t.required("$.lineup", "list")))
+
+    def inside(rows: DataFrame, path: str) -> DataFrame:
+        listed = F.try_variant_get("v", path, "array<variant>")
+        return rows.select("match_id", F.posexplode(listed).alias("position", "v"))
+
+    members = inside(teams, "$.lineup")
+    country = F.when(t.there("$.country"), F.coalesce(t.optional("$.country", "object"), t.required("$.country.id", "integer"), t.required("$.country.name", "text")))
+    checks = [t.required("$.player_id", "integer"), t.required("$.player_name", "text"), country, t.optional("$.player_nickname", "text"), t.optional("$.jersey_number", "integer"), t.optional("$.positions", "list"), t.optional("$.cards", "list")]
+    parts = {
+        "member": (members, checks),
+        "position": (inside(members, "$.positions"), [t.optional("$.position_id", "integer"), t.optional("$.position", "text"), F.when(t.there("$.position_id") != t.there("$.position"), F.lit("id and name go together")), *[t.optional(f"$.{k}", "integer") for k in ("from_period", "to_period")], *[t.optional(f"$.{k}", "text") for k in ("start_reason", "end_reason")]]),
+        "card": (inside(members, "$.cards"), [t.required("$.card_type", "text"), t.optional("$.reason", "text"), t.optional("$.period", "integer")]),
+    }
+    for name, (rows, tests) in parts.items():
+        out = out.unionByName(rows.select("match_id", F.lit(name).alias("part"), "position", _errors(*tests)))
+    return out
 
 
 def validate_events(docs: DataFrame) -> DataFrame:
     """(match_id, position, event_id, errors): strict typing of each event, read as variants. A required field that is
     missing or of another type is an error, as are half a category pair and a location of other than two numbers."""
-    one = docs.select("match_id", F.posexplode(F.from_json("json", "array<string>")).alias("position", "e")).withColumn("v", F.try_parse_json("e"))
-    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
-    is_text, is_int = (lambda p: kind(p) == "STRING"), (lambda p: kind(p) == "BIGINT")
-    present = lambda p: ~F.coalesce(kind(p).isin("VOID"), F.lit(True)) & kind(p).isNotNull()
-    fail = lambda ok, text: F.when(~F.coalesce(ok, F.lit(False)), F.lit(text))
-    optional = lambda p, ok, text: F.when(present(p) & ~F.coalesce(ok, F.lit(False)), F.lit(text))
+    t = _Typed("v")
+    point = (F.size(F.try_variant_get("v", "$.location", "array<double>")) == 2) & ~F.coalesce(t.kind("$.location").contains("STRING"), F.lit(False))
     checks = [
-        fail(F.col("v").isNotNull(), "not JSON"), fail(is_text("$.id"), "id: text required"), fail(is_int("$.type.id"), "type.id: integer required"), fail(is_text("$.type.name"), "type.name: text required"),
-        *[optional(f"$.{k}", is_int(f"$.{k}"), f"{k}: integer expected") for k in ("index", "period", "minute", "second", "possession")],
-        *[F.when(present(f"$.{k}.id") != present(f"$.{k}.name"), F.lit(f"{k}: id and name go together")) for k in ("player", "position", "play_pattern")],
-        optional("$.location", (F.size(F.try_variant_get("v", "$.location", "array<double>")) == 2) & ~F.coalesce(kind("$.location").contains("STRING"), F.lit(False)), "location: two numbers expected"),
+        t.required("$.id", "text"), t.required("$.type.id", "integer"), t.required("$.type.name", "text"), *[t.optional(f"$.{k}", "integer") for k in ("index", "period", "minute", "second", "possession")], t.optional("$.duration", "number"),
+        *[t.optional(f"$.{k}", "boolean") for k in ("under_pressure", "off_camera", "out", "counterpress")], *[t.pair(f"$.{k}") for k in ("player", "position", "play_pattern")],
+        F.when(t.there("$.location") & ~F.coalesce(point, F.lit(False)), F.lit("location: two numbers expected")),
     ]
-    return one.select("match_id", "position", F.try_variant_get("v", "$.id", "string").alias("event_id"), F.array_compact(F.array(*checks)).alias("errors"))
+    return _elements(docs, "match_id").select("match_id", "position", F.try_variant_get("v", "$.id", "string").alias("event_id"), _errors(*checks))
 
 
 def derive_possessions(events: DataFrame, keys: tuple[str, ...] = ("match_id", "possession_id"), team: str = "team_id") -> DataFrame:
-    """One row a possession with its team; conflict if more than one team (null counts as one) holds it."""
-    return events.groupBy(*keys).agg(F.first(team, ignorenulls=True).alias(team), (F.size(F.collect_set(F.coalesce(F.col(team).cast("string"), F.lit("?")))) > 1).alias("conflict"), F.min(team).alias("least_team"))
+    """One row a possession with its team, the least of them where there are several; conflict if more than one team
+    holds it, null counting as one."""
+    several = F.count_distinct(F.struct(team)) > 1
+    return events.groupBy(*keys).agg(F.min(team).alias(team), several.alias("conflict"))
 
 
 def derive_match_teams(matches: DataFrame) -> DataFrame:
@@ -174,5 +260,3 @@ def verify_manifest(found: DataFrame, pinned: DataFrame) -> DataFrame:
     both = found.select("path", F.col("sha256").alias("found")).join(pinned.select("path", F.col("sha256").alias("pinned")), "path", "full_outer")
     status = F.when(F.col("found").isNull(), "missing").when(F.col("pinned").isNull(), "extra").when(F.col("found") != F.col("pinned"), "changed").otherwise("ok")
     return both.select("path", status.alias("status"))
-
-

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _local[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as written to the shared folder and read from there: for frames that several jobs read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shotlake.functions import json_text as J
 from shotlake.operators import evaluation as E
 from shotlake.operators import features as X
 from shotlake.operators import merge as M
@@ -165,3 +166,50 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_residual_keeps_types_and_loses_the_forbidden_key(spark):
+    events = [
+        {"id": "A", "type": {"id": 30, "name": "Pass"}, "pass": {"length": 3.5, "forbidden": 1, "n": 2, "late": True, "list": [1, {"forbidden": 3, "k": "v"}]}, "tactics": {"formation": 442, "forbidden": 2}, "none": None, "_c": 1},
+        {"id": "B", "type": {"id": 2, "name": "X"}, "forbidden": {"a": 1}}, {"id": "C", "type": {"id": 2, "name": "X"}, "tactics": None, "note": 'says "forbidden": here'}, {"id": "D", "type": {"id": 2, "name": "X"}, "shot": {"x": 1}},
+    ]
+    docs = spark.createDataFrame([(1, json.dumps(events))], "match_id long, json string")
+    found = D.project_residual_json(docs, "forbidden").select("event_id", "type_data", J.has_key(F.col("type_data"), "forbidden").alias("leaks")).collect()
+    assert {r.event_id: r.type_data and json.loads(r.type_data) for r in found} == {
+        "a": {"pass": {"length": 3.5, "n": 2, "late": True, "list": [1, {"k": "v"}]}, "tactics": {"formation": 442}, "none": None}, "b": None, "c": {"note": 'says "forbidden": here'}, "d": {"shot": {"x": 1}}
+    }
+    assert not any(r.leaks for r in found)
+    with_key = D.project_residual_json(docs).filter("event_id in ('a', 'b')").select(J.has_key(F.col("type_data"), "forbidden").alias("leaks")).collect()
+    assert all(r.leaks for r in with_key)
+
+
+def test_strict_documents(spark):
+    one = lambda rows, more=(): spark.createDataFrame([(*more, json.dumps(rows))], ", ".join([*(["match_id long"] if more else []), "json string"]))
+    good = {"match_id": 5, "competition": {"competition_id": "1"}, "season": {"season_id": 2}, "home_team": {"home_team_id": 2, "home_team_name": "x"}, "away_team": {"away_team_id": 3, "away_team_name": "y"}, "match_date": "2020-11-01T00:00", "competition_stage": None}
+    bad = good | {"season": {}, "home_team": {"home_team_id": "two", "home_team_name": None}, "match_date": "2020-13-01", "competition_stage": {"id": 1}}
+    assert [r.errors for r in D.validate_matches(one([good, bad])).orderBy("position").collect()] == [[], ["season.season_id: whole required", "home_team.home_team_id: whole required", "home_team.home_team_name: value required", "match_date: date expected", "competition_stage.name: text required"]]
+    assert [r.errors for r in D.validate_competitions(one([{"competition_id": 1, "season_id": "2", "competition_name": "c", "season_name": 3}, {"competition_id": "x"}])).orderBy("position").collect()] == [[], ["competition_id: whole required", "season_id: whole required", "competition_name: value required", "season_name: value required"]]
+    lineups = [{"team_id": True, "lineup": [{"player_id": 1, "player_name": "a", "country": {"id": "x", "name": "y"}, "positions": [{"position_id": 1}], "cards": [{"card_type": 5}]}, {"player_id": "2"}]}, {"team_id": 1, "team_name": 2, "lineup": {}}]
+    got = {(r.part, r.position): r.errors for r in D.validate_lineups(one(lineups, (1,))).collect()}
+    assert got == {("team", 0): ["team_id: integer required"], ("team", 1): ["team_name: text expected", "lineup: list required"], ("member", 0): ["country.id: integer required"], ("member", 1): ["player_id: integer required", "player_name: text required"], ("position", 0): ["id and name go together"], ("card", 0): ["card_type: text required"]}
+
+
+def test_possession_conflicts(spark):
+    rows = [(1, 1, 5), (1, 1, 5), (1, 2, 5), (1, 2, None), (1, 3, 7), (1, 3, 4), (1, 4, None)]
+    got = {r.possession_id: (r.team_id, r.conflict) for r in D.derive_possessions(spark.createDataFrame(rows, "match_id int, possession_id int, team_id int")).collect()}
+    assert got == {1: (5, False), 2: (5, True), 3: (4, True), 4: (None, False)}
+
+
+def test_digest_of_many_rows(spark):
+    """Sums of 40-bit slices pass the largest long near 17 million rows."""
+    row = P.membership_digest(spark.range(0, 18_000_000, 1, 16).select(F.col("id").alias("event_id"), F.lit(1).alias("match_id"))).first()
+    assert row.n == 18_000_000 and int(row.low) + int(row.high) > 2 * 2**63 * 0.95
+
+
+def test_ranks_in_two_levels(spark):
+    keys = [-(10**12), -5, 0, 1, 2, 3, 700, 10**15]
+    got = E.numbered(spark.createDataFrame([(k,) for k in keys], "c long"), "c").collect()
+    assert {r.c: r.place for r in got} == {k: i for i, k in enumerate(keys)}
+    names = ["", "a", "ab", "b", "é", "😀"]
+    assert {r.c: r.place for r in E.numbered(spark.createDataFrame([(k,) for k in names], "c string"), "c").collect()} == {k: i for i, k in enumerate(names)}
+    assert E.numbered(spark.createDataFrame([], "c long"), "c").count() == 0
