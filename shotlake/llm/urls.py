@@ -119,4 +119,4 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     )
     listed_there = F.coalesce("listed", F.lit(False))
     verdict = F.coalesce(F.col("best.rule_verdict"), F.when(listed_there, F.lit("block")).otherwise(F.lit("allow")))
-    return parsed.join(broadcast_if_small(found), url_col, "left").select(id_col, url_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), listed_there.alias("listed"))
+    return parsed.join(broadcast_if_small(found, 5_000), url_col, "left").select(id_col, url_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), listed_there.alias("listed"))
