@@ -40,7 +40,7 @@ IDF_BAND = (3.0, 16.0)
 LEVELS, COPIES, LEAST_LIVE = (2, 4, 6, 8, 10, 12), 16, 4
 EMPTY = 0
 #: Documents in a range of ids up to MANY ranges; beyond, ranges grow in size and number alike. Sampled ids a range.
-ROWS_A_PART, MANY, SAMPLED, SALTS = 1000, 20_000, 8, 64
+ROWS_A_PART, MANY, SAMPLED, SALTS = 1000, 20_000, 8, 16
 
 
 def term_hashes(text: str) -> np.ndarray:
