@@ -1,6 +1,10 @@
+import random
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
+from .conftest import sentence
+
 
 def test_stages_and_run(spark, sf_dir, docs):
     frame = docs
@@ -20,7 +24,28 @@ def test_no_exact_copies_stay(spark, sf_dir, docs):
     assert kept.filter(F.length(F.trim("text")) == 0).count() <= 1
 
 
-def test_odd_rows(spark, odd, none, sf_dir):
-    for frame in (odd, none):
-        for _, stage in P.STAGES:
-            assert stage(spark, frame, sf_dir).count() >= 0
+def test_near_copies_go(spark, sf_dir):
+    """A near copy that shares whole lines with its source is dropped as a whole; a shared passage goes by itself."""
+    rng = random.Random(6)
+    lines = [sentence(rng, 30) for _ in range(10)]
+    changed = [" ".join("changed" if i == 7 and k % 4 == 0 else w for i, w in enumerate(x.split())) for k, x in enumerate(lines)]
+    other = [sentence(rng, 30) for _ in range(10)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(changed)), (3, "\n".join([*other[:5], lines[2], *other[5:]])), (4, "\n".join(lines))]
+    frame = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = P.unique_lines(spark, frame, sf_dir)
+    kept = {r.doc_id: r for r in P.one_of_near_duplicates(spark, cut, sf_dir).collect()}
+    assert set(kept) == {1, 3} and kept[1].text == "\n".join(lines) and kept[3].text == "\n".join(other) and kept[3].n_chars == len(kept[3].text)
+
+
+def test_odd_rows(spark, odd, none, odd_rows, sf_dir):
+    """Nulls, blanks, repeats and clashing columns: what each stage keeps is defined, and it keeps the columns."""
+    size = len(odd_rows)
+    for (name, stage), low, high in zip(P.STAGES, (0, size, size - 5, 1, size), (size, size, size - 5, 3 * size, size)):
+        assert stage(spark, none, sf_dir).count() == 0, name
+        made = stage(spark, odd, sf_dir)
+        assert low <= made.count() <= high, (name, made.count())
+        assert name == P.STAGES[-1][0] or made.columns == odd.columns
+    texts = [r.text or "" for r in P.one_of_near_duplicates(spark, odd, sf_dir).collect()]
+    assert len(texts) == len(set(texts)) and sum(not t.strip() for t in texts) == 1  # of equal texts, and of those without words, one stays
+    lines = {(r.doc_id, r.text) for r in P.unique_lines(spark, odd, sf_dir).collect()}
+    assert (None, None) in lines and (1, None) in lines and (3, " \n\t \n") in lines
