@@ -3,7 +3,8 @@
 Statistics of each whole text are taken in one Arrow pass and held. Random Fourier features approximate a Gaussian
 kernel over the standardised statistics; each task adds up its part of the normal equations and Spark sums the
 parts by matrix row. Isotonic regression turns raw scores of labelled rows that the ridge did not see into
-probabilities. Fitting takes at most MAX_FIT labelled rows, chosen by a hash; all rows are scored.
+probabilities. Fitting takes about MAX_FIT labelled ids at most, chosen by a hash before any statistics are taken; all
+rows are scored.
 
 Edge cases: null and empty texts have all statistics at zero and are scored like any other; a null id is never
 labelled; labels that disagree about an id are averaged; without labelled rows every score is 0.5 and keep_good
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold
+from .common import broadcast_if_small, hold
 
 N_FEATURES, GAMMA, RIDGE, SEED = 256, 0.08, 1e-3, 7
 MAX_FIT, FIT_TASKS, SCORE_BINS = 200_000, 16, 4096
@@ -88,13 +89,11 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_list()) if len(series) else np.zeros((0, len(STATS)))
 
 
-def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model | None:
-    """labelled: held rows (stats, y, calibrate). Rows with calibrate set fit the isotonic steps, others the ridge."""
-    n = labelled.count()
-    if not n:
+def fit(labelled: DataFrame) -> Model | None:
+    """labelled: rows (stats, y, calibrate). Rows with calibrate set fit the isotonic steps, others the ridge."""
+    used = hold(labelled.select("stats", "y", "calibrate").repartition(FIT_TASKS), "fit")
+    if used.isEmpty():
         return None
-    used = labelled.filter(F.pmod(F.xxhash64("stats"), F.lit(1 << 20)) < int(min(1.0, max_fit / n) * (1 << 20)))
-    used = hold(used.select("stats", "y", "calibrate").repartition(FIT_TASKS), "fit")
     moments = used.select(*[F.col("stats")[i].alias(f"s{i}") for i in range(len(STATS))]).agg(*[f(f"s{i}") for i in range(len(STATS)) for f in (F.avg, F.stddev_pop)]).first()
     model = Model(np.array(moments[0::2], float), np.array(moments[1::2], float))
 
@@ -136,10 +135,18 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def trained(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, held_out: int) -> Model | None:
-    """The model of labelled rows of held statistics, those of the held-out remainder left aside."""
-    marked = labels.filter(F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != held_out)).groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    return fit(hold(stats.join(marked, F.col(id_col) == F.col("__id")).select("stats", "y", (remainder(F.col(id_col)) == (held_out + 1) % 4).alias("calibrate")), "labelled"))
+def training_labels(labels: DataFrame, id_col: str, label_col: str, held_out: int, max_fit: int = MAX_FIT) -> DataFrame:
+    """Held rows (__id, y, calibrate) of labelled ids, those of the held-out remainder left aside; about max_fit at most."""
+    usable = labels.filter(F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != held_out))
+    share = min(1.0, max_fit / max(1, usable.count()))
+    chosen = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    calibrate = remainder(F.col("__id")) == (held_out + 1) % 4
+    return hold(chosen.groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("y")).withColumn("calibrate", calibrate), "labels")
+
+
+def with_labels(rows: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
+    """rows of the chosen ids, which are few enough to be broadcast, with y and calibrate."""
+    return rows.join(broadcast_if_small(chosen, 2 * MAX_FIT), rows[id_col] == chosen["__id"])
 
 
 def _scores(model: Model | None, stats: np.ndarray) -> np.ndarray:
@@ -149,7 +156,8 @@ def _scores(model: Model | None, stats: np.ndarray) -> np.ndarray:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, *keep, held_out, score, predicted) for every row of docs."""
     stats = hold(document_statistics(docs, id_col, text_col, keep), "statistics")
-    shared = docs.sparkSession.sparkContext.broadcast(trained(stats, labels, id_col, label_col, held_out))
+    chosen = training_labels(labels, id_col, label_col, held_out)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(with_labels(stats, chosen, id_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +173,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects.
 
-    Texts are not shuffled: once the model is there, statistics are taken again while the rows stream by.
+    Texts are not shuffled: statistics of the labelled rows alone are taken for the fit, then those of all rows while
+    they stream by.
     """
-    model = trained(hold(document_statistics(docs, id_col, text_col), "statistics"), labels, id_col, label_col, held_out)
+    chosen = training_labels(labels, id_col, label_col, held_out)
+    labelled = with_labels(docs.select(id_col, text_col), chosen, id_col)
+    model = fit(document_statistics(labelled, id_col, text_col, ("y", "calibrate")))
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
