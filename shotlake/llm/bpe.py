@@ -4,7 +4,8 @@ A text is halved until a part is short; parts are encoded, and neighbours are jo
 their border again. The window grows until each side reaches a place that no token can cross: a visible character
 followed by a blank. No match of the pattern holds a blank after a visible character, and the pattern's only look
 ahead is after blanks, so such a place is a border of matches in the halves and in the whole alike, and all tokens
-outside the window stay as they are. Decoding joins the tokens' bytes up the same kind of tree.
+outside the window stay as they are. Decoding joins the tokens' bytes up the same kind of tree. This holds for the
+pattern below; another one is refused, since nothing shows where its matches may be cut.
 
 Edge cases: a null text is empty and has no tokens; a text without any blank is encoded in one window. Columns
 other than the id and the text are not read.
@@ -19,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF, WINDOW = 8192, 48
+#: Characters of a part that is encoded at once (and tokens decoded at once), and of the first window.
+LEAF, WINDOW = 1024, 48
+# Fixed value: the pattern of the vocabulary, for which cuts between a visible character and a blank are proved.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _codecs: dict[tuple[int, str], Codec] = {}
 
 
@@ -29,6 +33,8 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
+        if pattern != PATTERN:
+            raise ValueError("texts can be cut for this pattern only: " + PATTERN)
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.bytes = {i: b for b, i in table.items()}
@@ -97,6 +103,8 @@ def read_ranks(path: str) -> bytes:
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, *keep, ids array<int>, decoded binary): each text's tokens, and the bytes that they decode to."""
+    if pattern != PATTERN:
+        raise ValueError("texts can be cut for this pattern only: " + PATTERN)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

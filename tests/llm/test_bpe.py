@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from shotlake.llm import bpe, queries
@@ -33,6 +34,34 @@ def test_like_the_library(codec, docs):
         assert bpe.encode_tree(codec, r.text, leaf=64) == other.encode_ordinary(r.text)
 
 
+def plain_bpe(table, text):
+    """Byte-pair encoding by its definition: in each match of the pattern the pair of least rank is joined first."""
+    out = []
+    for m in regex.finditer(public_tokenizers.PATTERN, text):
+        parts = [bytes([b]) for b in m[0].encode()]
+        while len(parts) > 1:
+            rank, i = min((table.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [table[x] for x in parts]
+    return out
+
+
+def test_like_plain_merges(codec, docs):
+    table = {b: i for i, b in codec.bytes.items()}
+    texts = [r.text for r in docs.collect()]
+    assert sum(len(t) > bpe.LEAF for t in texts) > len(texts) / 5  # ordinary texts are cut and joined
+    for t in texts:
+        if len(t) < 20_000:
+            assert bpe.encode_tree(codec, t) == plain_bpe(table, t)
+
+
+def test_other_patterns_are_refused(docs):
+    with pytest.raises(ValueError):
+        bpe.encode_decode(docs, PATH, r"\S+|\s+")
+
+
 def test_odd_rows(odd, none, odd_rows):
     rows = bpe.encode_decode(odd, PATH, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in rows) == sorted((str(r[0]), (r[1] or "").encode()) for r in odd_rows)
