@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from shotlake.llm import quality
 
 
@@ -23,6 +25,42 @@ def test_held_out_labels_are_not_used(spark, docs):
     assert a == b
 
 
+def pooled(values, weights):
+    """Isotonic regression by pooling adjacent violators."""
+    blocks = []
+    for v, w in zip(values, weights):
+        blocks.append([v, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            v1, w1, n1 = blocks.pop()
+            v0, w0, n0 = blocks.pop()
+            blocks.append([(v0 * w0 + v1 * w1) / (w0 + w1), w0 + w1, n0 + n1])
+    return np.concatenate([[v] * n for v, _, n in blocks])
+
+
+def test_fit_like_a_direct_solution(spark):
+    """The summed normal equations against one matrix, the steps against pooled violators."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chosen = quality.training_labels(labels, "doc_id", "quality", 2)
+    rows = quality.document_statistics(quality.with_labels(docs.select("doc_id", "text"), chosen, "doc_id"), keep=("y", "calibrate"))
+    model = quality.fit(rows)
+    got = rows.collect()
+    stats, y, cal = (np.array([r[k] for r in got]) for k in ("stats", "y", "calibrate"))
+    z, t = model.features(stats[~cal]), y[~cal]
+    ridge = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.diag([1.0] * quality.N_FEATURES + [1e-9]), z.T @ t)
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(z @ model.ridge, z @ ridge, atol=1e-6)
+    bins = np.clip((model.raw(stats[cal]) + 1) / 3 * quality.SCORE_BINS, 0, quality.SCORE_BINS - 1).astype(int)
+    at = np.unique(bins)
+    want = pooled([y[cal][bins == b].mean() for b in at], [(bins == b).sum() for b in at])
+    assert np.allclose(np.interp((at + 0.5) / quality.SCORE_BINS * 3 - 1, *model.steps), want, atol=1e-9)
+
+
+def test_labels_are_bounded(spark):
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    n = quality.training_labels(labels, "doc_id", "quality", 2, max_fit=1000).count()
+    assert 800 < n < 1200
+
+
 def test_odd_rows(spark, odd, none, odd_rows):
     labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(20)] + [(100, 0, 1), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.quality_scores(odd, labels).count() == len(odd_rows)
