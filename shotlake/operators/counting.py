@@ -24,11 +24,15 @@ def named_counts(df: DataFrame, tests: dict[str, Column], name: str = "name", va
 
 
 def level_counts(df: DataFrame, columns: dict[str, Column], **counts: Column) -> DataFrame:
-    """Rows (field, level, n, ...): counts for each level of each column, nulls a level of their own, in one scan."""
-    listed = F.array(*[F.struct(F.lit(k).alias("field"), c.cast("string").alias("level")) for k, c in columns.items()])
-    flags = {k: F.coalesce(c, F.lit(False)) for k, c in counts.items()}
-    flat = df.select(F.explode(listed).alias("at"), *[c.alias(f"__{k}") for k, c in flags.items()])
-    return flat.groupBy("at.field", "at.level").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"__{k}")).alias(k) for k in flags])
+    """Rows (field, level, n, ...): counts for each level of each column, nulls a level of their own, in one scan.
+
+    Rows are grouped by all columns together first, and only these groups are taken apart by field."""
+    levels = {f"__c{i}": c.cast("string") for i, c in enumerate(columns.values())}
+    flags = {f"__f{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(counts.values())}
+    wide = df.select(*[c.alias(k) for k, c in (levels | flags).items()]).groupBy(*levels).agg(F.count("*").alias("__n"), *[F.count_if(k).alias(k) for k in flags])
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(k).alias("level")) for f, k in zip(columns, levels)])
+    flat = wide.select(F.explode(listed).alias("at"), "__n", *flags)
+    return flat.groupBy("at.field", "at.level").agg(F.sum("__n").alias("n"), *[F.sum(k).alias(name) for k, name in zip(flags, counts)])
 
 
 def counts_by(df: DataFrame, keys: list[str], name: str) -> DataFrame:

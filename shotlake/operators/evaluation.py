@@ -17,9 +17,11 @@ def rank_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") ->
     """ROC AUC (ties count half) and average precision (step sum over tied groups) for each key; null for one class.
 
     Rows are first reduced to distinct scores, and their running sums are taken in two levels: scores fall into
-    1024 strips of [0, 1], strips are summed, and windows run within a strip. No window holds all scores.
+    1024 strips of their range, strips are summed, and windows run within a strip. No window holds all scores.
     """
-    strip = F.least(F.floor(F.col(p) * 1024), F.lit(1023)).alias("__strip")
+    low, high = df.agg(F.min(p), F.max(p)).first()
+    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
+    strip = F.floor((F.col(p) - (low or 0.0)) / width).alias("__strip")
     scores = df.groupBy(*keys, strip, F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("double")).alias("__pos"), F.count("*").cast("double").alias("__n"))
     per_strip = scores.groupBy(*keys, "__strip").agg(F.sum("__pos").alias("__spos"), F.sum("__n").alias("__sn"))
     down = Window.partitionBy(*keys).orderBy(F.desc("__strip"))
