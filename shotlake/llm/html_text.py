@@ -40,12 +40,12 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
 _LISTS, _TABLE, _BOUNDS = ("ul", "ol", "dl", "menu", "dir", "table"), ("table", "template"), ("table", "td", "th", "caption", "button", "object", "template")
 _PLAIN = frozenset("p li dt dd td th pre blockquote figcaption caption summary html body".split()) | _HEADINGS
-_STATE = frozenset("has have with without no not is show hide off on enabled disabled layout template theme".split())
-_GENERIC = frozenset("wrap wrapper container inner outer box block area section list item items group row col column panel region holder module form link links button btn title text label icon bar top bottom left right main primary secondary".split())
+_STATE = frozenset("has have with without no not is show hide off on enabled disabled layout template theme category cat tag type status format".split())
+_GENERIC = frozenset("wrap wrapper container inner outer box block area section list item items group row col column panel region holder module form link links button buttons btn icon icons title text label bar top bottom left right main primary secondary".split())
 _HEADER = frozenset("header masthead topbar".split())
 _SIDE = frozenset("sidebar sidebars rail nav navigation navbar footer".split())
 _FURNITURE = _SIDE | frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions menu menus breadcrumb breadcrumbs aside widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay comment comments commentlist disqus replies respond share sharing sharebar social subscribe subscription newsletter signup login signin related recommended recommendations recirculation teaser teasers pagination pager toolbar copyright search searchform paywall outbrain taboola".split())
-_LEADS = _FURNITURE - {"aside", "search", "related", "recommended", "alert", "notice", "share", "social", "comment", "widget", "modal", "overlay", "promotion", "subscription"} | {"commenters", "skip"}
+_LEADS = _FURNITURE - frozenset("aside search related recommended alert notice share social widget modal overlay promotion subscription".split()) | {"skip"}
 _RELATED = frozenset("related recommended popular trending more latest".split())
 _ELSEWHERE = frozenset("posts articles stories content news reading videos products topics reads".split())
 _CONTENT = frozenset("article articles content entry post story body maincontent articlebody articlecontent postcontent".split())

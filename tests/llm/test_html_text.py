@@ -62,6 +62,7 @@ CASES = {
     "comments longer than the article": (f'<article><p>Short.</p></article><section id="comments"><article class="comment"><p>{"Long comment. " * 60}</p></article></section>', "Short."),
     "articles in an aside": (f'<div class="post-content"><p>{"Real text of it. " * 12}</p></div><aside><article><p>{"Teaser of another. " * 4}</p></article></aside>', ("Real text of it. " * 12).strip()),
     "utility classes": ('<article class="overflow-hidden md:text-center"><div class="hidden md:block"><p>Some words.</p></div></article>', "Some words."),
+    "classes of topics": ('<article class="post-7 post category-newsletter tag-social-comments"><p>Some words.</p><div class="comment-body"><p>A comment of a reader.</p></div></article>', "Some words."),
     "hidden parts": ('<article><p>Seen.</p><div hidden><p>Not seen.</p></div><p style="display: none">Nor this.</p><p>And <span hidden>not</span>seen.</p></article>', "Seen.\n\nAnd seen."),
     "a link that ends inside a block": ('<article><a href="/x"><div><p>Some words of it</a> and a good many more of them to read here.</p></div></article>', "Some words of it and a good many more of them to read here."),
     "comments and references": ("<article><p>a<!-->b<!-- no -->c&#x41;&eacute;&lt;i&gt;</p></article>", "abcAé<i>"),
