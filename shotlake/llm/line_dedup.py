@@ -17,7 +17,7 @@ whole for a step that drops it, instead of becoming a fragment that no longer lo
 estimated from the SKETCH least shingle hashes of each (deviation 0.035 at 0.8).
 
 Edge cases: null and empty texts have no lines to delete and stay as they are; lines are compared without the white
-space at their ends; null ids come last; rows that repeat both id and text are one document and share a result;
+space at their ends; null ids come last, beside the largest long; rows that repeat both id and text are one document and share a result;
 repeats within a document stay; no rows give no rows. Columns named __ld_* are the operator's own; others are kept.
 """
 
