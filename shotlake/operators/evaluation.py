@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import EQUAL_WIDTH_EDGES, edge_bin, log_loss, squared_error
+from ..sources.shared import written
 
 
 def loss_table(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -118,8 +119,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 2000, y: st
 def slices(df: DataFrame, families: dict[str, Column], cluster: str, least: tuple[int, int, int, int] = (50, 5, 5, 10), y: str = "y", p: str = "p") -> DataFrame:
     """Metrics for each level of each family. A level is supported with at least (rows, ones, zeros, clusters);
     others show their counts alone."""
-    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), c.cast("string").alias("level")) for k, c in families.items()])).alias("at")
-    flat = df.select(F.col(y).alias("y"), F.col(p).alias("p"), F.col(cluster).alias("cluster"), listed).select("y", "p", "cluster", "at.family", F.coalesce("at.level", F.lit("[missing]")).alias("level"))
+    names = {k: f"__f{i}" for i, k in enumerate(families)}
+    # several aggregates read these few columns: they are taken from df once
+    rows = written(df.select(F.col(y).alias("y"), F.col(p).alias("p"), F.col(cluster).alias("cluster"), *[c.cast("string").alias(names[k]) for k, c in families.items()]), "slices")
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("level")) for k, n in names.items()])).alias("at")
+    flat = rows.select("y", "p", "cluster", listed).select("y", "p", "cluster", "at.family", F.coalesce("at.level", F.lit("[missing]")).alias("level"))
     keys = ["family", "level"]
     counts = flat.groupBy(*keys).agg(F.countDistinct("cluster").alias("clusters"))
     table = loss_table(flat, keys).join(counts, keys).join(rank_metrics(flat, keys), keys)
