@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, imatch, line_dedup, mixing, pii, quality, rules, simhash, urls
+from . import alignment, bpe, exact_dedup, html_text, imatch, line_dedup, mixing, pii, quality, rules, simhash, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,21 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_url_filter, op8_pii, op9_quality_rules, op10_main_text, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_url_filter, op8_pii, op9_quality_rules, op10_main_text, op11_whiten, op12_exact_dedup, op13_token_alignment, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -124,4 +139,8 @@ m AS (SELECT doc_id, text, len(ls) AS n_lines, len(ws)::BIGINT AS n_words, lengt
 b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words * 3 OR coalesce(word_chars / nullif(n_words, 0) NOT BETWEEN 2 AND 15, false) OR (n_dup_lines >= 5 AND n_dup_lines * 2 > n_lines)
  OR upper * 2 > word_chars OR marks * 5 > n_words OR digits * 4 > word_chars OR bullets * 10 > n_lines * 9 OR dots * 10 > n_lines * 3) AS kept FROM b""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, row_number() OVER () AS k FROM documents),
+r AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST, k))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
 }
