@@ -5,16 +5,18 @@ several short ones). A run's hash leads to the first document that holds it (lea
 document is paired with the first holders of its runs, whether a run is rare or in a third of all documents: pairs
 grow with the lines, not with the square of a run's documents, and each block that may be deleted holds such a run.
 Pairs carry line hashes, not texts. A patience diff aligns both documents' hashes; runs of lines that follow each
-other in both and hold at least MIN_BLOCK_WORDS words are deleted from the later document, and what is left is
-aligned again until nothing more is found, so moved blocks go as well.
+other in both and hold at least MIN_BLOCK_WORDS words are deleted from the later document. Blocks that moved cross
+the alignment; they are found in one more pass, which looks up each shortest run of enough words of the later document
+among those of the earlier one, so that work is linear in the lines, whatever their order.
 
 A run's first holder keeps it, so every deleted text stays in the corpus once. This departs from pairing all documents
 that share rare line hashes: a run counts whether it is rare or common, and its first holder stands for all of its
 holders. No block that may be deleted is lost by it, as a test against all pairs shows.
 
-With near set, pairs of documents whose word shingles are that similar as wholes are not aligned: a near copy stays
-whole for a step that drops it, instead of becoming a fragment that no longer looks like its source. Similarity is
-estimated from the SKETCH least shingle hashes of each (deviation 0.035 at 0.8).
+A later step may drop whole documents, and a passage that it holds first would go with it. Where groups of documents
+are given of which that step keeps one, only documents that it keeps are holders, and no document loses lines to one
+of its own group: a dropped copy stays whole for the step that drops it. line_dedup_before() checks afterwards that the
+step still keeps every holder.
 
 Edge cases: null and empty texts have no lines to delete and stay as they are; lines are compared without the white
 space at their ends; null ids come last, beside the largest long; rows that repeat both id and text are one document and share a result;
@@ -25,19 +27,19 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold
-from .simhash import shingle_hashes
+from .common import WORD, hold
 
 MIN_BLOCK_WORDS = 8
-SHINGLE, SKETCH = 5, 128
+#: Levels of the patience diff. Blocks that deeper ones would align are found by their runs.
+DEPTH = 32
 _LAST = (1 << 63) - 1
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -61,20 +63,21 @@ def _numbered(lines: list[int], lo: int, hi: int) -> dict[tuple[int, int], int]:
     return at
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list[int], b: list[int], depth: int = DEPTH) -> list[tuple[int, int]]:
     """Aligned positions of equal lines of a and b, ascending in both: anchored at lines that are unique in both
-    (a longest increasing sequence of them), then the same between anchors, after equal heads and tails."""
+    (a longest increasing sequence of them), then the same between anchors, after equal heads and tails. Each of the
+    levels is linear (but for a logarithm) in the lines; what the last one leaves stays unaligned."""
     found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), depth)]
     while todo:
-        i, m, j, n = todo.pop()
+        i, m, j, n, level = todo.pop()
         while i < m and j < n and a[i] == b[j]:
             found.append((i, j))
             i, j = i + 1, j + 1
         while i < m and j < n and a[m - 1] == b[n - 1]:
             m, n = m - 1, n - 1
             found.append((m, n))
-        if i == m or j == n:
+        if i == m or j == n or not level:
             continue
         once = _unique(b, j, n)
         pairs = sorted((x, once[h]) for h, x in _unique(a, i, m).items() if h in once)
@@ -97,32 +100,45 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         chain.reverse()
         found += chain
         edges = [(i - 1, j - 1), *chain, (m, n)]
-        todo += [(x + 1, u, y + 1, v) for (x, y), (u, v) in pairwise(edges) if u > x + 1 and v > y + 1]
+        todo += [(x + 1, u, y + 1, v, level - 1) for (x, y), (u, v) in pairwise(edges) if u > x + 1 and v > y + 1]
     return sorted(found)
 
 
+def _shortest(sizes: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the shortest run of lines with `least` words from each line with words, and to each, where there
+    is one. Any run of enough words is the union of those within it."""
+    for flipped in (False, True):
+        given, stop, held = sizes[::-1] if flipped else sizes, 0, 0
+        for start, n in enumerate(given):
+            while held < least and stop < len(given):
+                held += given[stop]
+                stop += 1
+            if held < least:
+                break
+            if n:
+                yield (len(given) - stop, len(given) - start) if flipped else (start, stop)
+            held -= n
+
+
 def common_blocks(earlier: list[int], later: list[int], sizes: list[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Positions of later's lines in aligned blocks of at least `least` words; sizes are later's words by line."""
+    """Positions of later's lines in blocks of at least `least` words that are in both, in any order; sizes are later's
+    words by line, and an equal line has as many."""
     gone: set[int] = set()
-    a, places = list(earlier), list(range(len(later)))
-    while places:
-        aligned = patience(a, [later[p] for p in places])
-        if not aligned:
-            break
-        new: set[int] = set()
-        short: set[int] = set()
-        block: list[tuple[int, int]] = []
-        for pair in [*aligned, None]:
-            if block and (pair is None or pair[0] != block[-1][0] + 1 or places[pair[1]] != places[block[-1][1]] + 1):
-                lines = {places[y] for _, y in block}
-                (new if sum(sizes[p] for p in lines) >= least else short).update(lines)
-                block = []
-            if pair is not None:
-                block.append(pair)
-        gone |= new
-        # short blocks stay, but must not keep lines that cross them from being aligned
-        settled = new or short
-        places = [p for p in places if p not in settled]
+    block: list[tuple[int, int]] = []
+    for pair in [*patience(earlier, later), None]:
+        if block and (pair is None or pair[0] != block[-1][0] + 1 or pair[1] != block[-1][1] + 1):
+            lines = [y for _, y in block]
+            if sum(sizes[p] for p in lines) >= least:
+                gone.update(lines)
+            block = []
+        if pair is not None:
+            block.append(pair)
+    # blocks that cross the alignment: a run of the earlier document ends at a line that the later one lacks
+    words = dict(zip(later, sizes))
+    held = {tuple(earlier[i:k]) for i, k in _shortest([words.get(h, least) for h in earlier], least)}
+    for start, stop in _shortest(sizes, least):
+        if tuple(later[start:stop]) in held:
+            gone.update(range(start, stop))
     return sorted(gone)
 
 
@@ -151,59 +167,40 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of shingles by their least hashes (sorted); exact for sets of SKETCH at most."""
-    least = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(least, np.intersect1d(a, b), assume_unique=True).mean()) if len(least) else 1.0
-
-
-def _apart(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, near: float) -> DataFrame:
-    """The pairs (o, h, fo, fh) of documents that are less similar than near as wholes."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(shingle_hashes(x, SHINGLE).view(np.int64))[:SKETCH] for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))], ["o", "h", "sketch"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([x.values.to_numpy() for x in batch.column(k)] for k in (4, 5))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array([likeness(a, b) < near for a, b in zip(left, right)], pa.bool_()))
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    sketches = hold(texts.mapInArrow(sketch, "o long, h long, sketch array<long>").dropDuplicates(["o", "h"]), "sketches")
-    both = pairs.join(sketches.toDF("fo", "fh", "first"), ["fo", "fh"]).join(sketches, ["o", "h"]).select("o", "h", "fo", "fh", "first", "sketch")
-    return hold(both.mapInArrow(compare, "o long, h long, fo long, fh long"), "pairs-apart")
-
-
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = MIN_BLOCK_WORDS, near: float | None = None) -> DataFrame:
-    """Rows (o, h, gone) for documents that lose lines: o is the id (null: the largest long), h the text's hash,
-    gone the positions from 0 of the lines to delete."""
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = MIN_BLOCK_WORDS, groups: DataFrame | None = None) -> DataFrame:
+    """Rows (o, h, gone) for documents that lose lines: o is the integer id (null: the largest long), h the text's hash,
+    gone the positions from 0 of the lines to delete. groups has rows (o, h, group, leads), one a document: only
+    documents that lead are holders, and nothing is deleted for a holder of the same group."""
     spark = docs.sparkSession
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [runs(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3)))]
             at = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for r in made for x in r], pa.int64())], ["o", "h", "run"])
+            own = [batch.column(k).take(at) for k in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*own[:2], pa.array([x for r in made for x in r], pa.int64()), *own[2:]], ["o", "h", "run", "group", "leads"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [common_blocks(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["o", "h", "gone"])
 
-    lines = hold(_lines(docs, id_col, text_col).dropDuplicates(["o", "h"]), "lines")
+    lines = _lines(docs, id_col, text_col).dropDuplicates(["o", "h"])
+    if groups is None:
+        lines = lines.withColumns({"group": F.lit(None).cast("long"), "leads": F.lit(True)})
+    else:
+        lines = lines.join(groups.select("o", "h", "group", "leads"), ["o", "h"], "left").withColumn("leads", F.coalesce("leads", F.lit(True)))
+    lines = hold(lines, "lines")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
     try:  # a row holds the lines of one or two documents
         spark.conf.set(batch, 1000)
-        seeds = hold(lines.select("o", "h", "hashes", "sizes").mapInArrow(seed, "o long, h long, run long"), "runs")
+        seeds = hold(lines.select("o", "h", "hashes", "sizes", "group", "leads").mapInArrow(seed, "o long, h long, run long, group long, leads boolean"), "runs")
         # held, so that the join deals out both sides anew and Spark can split a run that very many documents hold
-        first = hold(seeds.groupBy("run").agg(F.min(F.struct("o", "h")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", F.col("first.o").alias("fo"), F.col("first.h").alias("fh")), "first-holders")
-        pairs = hold(seeds.join(first, "run").filter("o <> fo or h <> fh").select("o", "h", "fo", "fh").distinct(), "pairs")
-        if near is not None:
-            pairs = _apart(docs, pairs, id_col, text_col, near)
+        holder = F.min(F.when(F.col("leads"), F.struct("o", "h", "group"))).alias("first")
+        first = seeds.groupBy("run").agg(holder, F.count("*").alias("n")).filter("n > 1 and first is not null")
+        first = hold(first.select("run", F.col("first.o").alias("fo"), F.col("first.h").alias("fh"), F.col("first.group").alias("fg")), "first-holders")
+        pairs = hold(seeds.join(first, "run").filter("(o <> fo or h <> fh) and not (group <=> fg and group is not null)").select("o", "h", "fo", "fh").distinct(), "pairs")
         # held as well: one document may be the first holder for very many others
         heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
         both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
@@ -215,11 +212,36 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, **options) -> DataFrame:
-    """docs with the deleted lines gone from the texts. report adds __ld_lines and __ld_gone (deleted positions)."""
+    """docs with the deleted lines gone from the texts. report adds __ld_lines, __ld_gone (deleted positions) and __ld_x
+    (the hash of the text before)."""
     found = hold(deletions(docs, id_col, text_col, **options), "deletions").select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_h"), F.col("gone").alias("__ld_gone"))
     keyed = docs.withColumn("__ld_k", F.coalesce(F.col(id_col), F.lit(_LAST))).withColumn("__ld_x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(found, (F.col("__ld_k") == F.col("__ld_o")) & (F.col("__ld_x") == F.col("__ld_h")), "left")
     split = F.split(F.col(text_col), "\n")
     left = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__ld_gone"), i)), "\n"))
-    extra = [F.coalesce(F.size(split), F.lit(0)).alias("__ld_lines"), F.coalesce("__ld_gone", F.array().cast("array<int>")).alias("__ld_gone")] if report else []
+    extra = [F.coalesce(F.size(split), F.lit(0)).alias("__ld_lines"), F.coalesce("__ld_gone", F.array().cast("array<int>")).alias("__ld_gone"), "__ld_x"] if report else []
     return joined.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)
+
+
+def line_dedup_before(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """line_dedup (with its report) before a step that keeps one document of each group, so that no deleted text goes
+    with a dropped document. groups_of gives the step's groups as rows (o, h, group, leads) of a table of documents.
+
+    Documents that lead their group before the deletion but would no longer after it are made holders of nothing, and
+    the deletion is done again, until every holder is kept; documents without a word left are gone by then and hold
+    nothing. Each round takes at least one holder, most corpora need one or two rounds."""
+    groups = hold(groups_of(docs), "groups")
+    while True:
+        done = hold(line_dedup(docs, id_col, text_col, report=True, groups=groups, **options), "cut")
+        left = done.filter(~emptied(text_col)).withColumns({"__ld_o": F.coalesce(F.col(id_col), F.lit(_LAST)), "__ld_now": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+        after = groups_of(left.select(*docs.columns)).filter(~F.col("leads")).select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_now"))
+        follows = left.join(after, ["__ld_o", "__ld_now"], "left_semi").select(F.col("__ld_o").alias("o"), F.col("__ld_x").alias("h")).distinct()
+        lost = hold(groups.filter("leads").join(follows, ["o", "h"], "left_semi").select("o", "h", F.lit(True).alias("lost")), "lost-holders")
+        if lost.isEmpty():
+            return done
+        groups = hold(groups.join(lost, ["o", "h"], "left").withColumn("leads", F.col("leads") & F.col("lost").isNull()).drop("lost"), "groups")
+
+
+def emptied(text_col: str = "text") -> Column:
+    """Whether a document of line_dedup's report has no word left of those that it had."""
+    return F.coalesce((F.size("__ld_gone") > 0) & ~F.col(text_col).rlike(WORD), F.lit(False))

@@ -229,7 +229,8 @@ def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_hashes(x, size) for x in batch.column(1).to_pylist()]
+            # distinct shingles, as the similarity is one of sets: a repeated line must not outvote the others
+            made = [np.unique(shingle_hashes(x, size)) for x in batch.column(1).to_pylist()]
             words = [pa.array(np.array([majority(f(x)) for x in made], np.uint64).view(np.int64)) for f in (lambda x: x, mixed_bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *words], ["node", "fp", "more"])
 
@@ -266,9 +267,23 @@ def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size:
     return components(links)
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows (o, h, group, leads) for each distinct document, of integer id (o; null: the largest long) and text hash
+    (h): the group of texts that links of enough similarity connect, and whether drop_near_texts keeps the document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    labels = hold(similar_texts(marked, "h", "text", **options), "labels").withColumnRenamed("node", "h")
+    found = hold(marked.select("k", "h").distinct().join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("group")), "groups")
+    ahead = _leaders(found, ["group"], "k", "h").select("k", "h", F.lit(True).alias("leads"))
+    rows = found.alias("f").join(ahead.alias("a"), F.expr("f.k <=> a.k and f.h = a.h"), "left")
+    # a null id and the largest one with the same text are one document
+    return rows.groupBy(F.coalesce("f.k", F.lit((1 << 63) - 1)).alias("o"), F.col("f.h").alias("h")).agg(F.min("group").alias("group"), F.max(F.coalesce("leads", F.lit(False))).alias("leads"))
+
+
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of texts that links of enough similarity connect: that of least id (then of
-    least text hash) stays. Equal texts are similar, as are texts without words. Options are those of similar_texts."""
+    """docs with one row of each group of texts that links of enough similarity connect: that of least integer id (null
+    last), then of least text hash, stays. Equal texts are similar, as are texts without words. Options are those of
+    similar_texts."""
     marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     labels = hold(similar_texts(marked, "__nd_hash", text_col, **options), "labels").withColumnRenamed("node", "__nd_hash")
     found = marked.select(id_col, "__nd_hash").join(labels, "__nd_hash", "left").withColumn("group", F.coalesce("label", "__nd_hash"))
@@ -276,7 +291,8 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of least id (then of least text hash) stays.
+    """docs with one row of each group of near-duplicates: that of least integer id (null last), then of least text
+    hash, stays.
 
     Rows that repeat id and text leave one row. Components are told apart by label, not by id.
     """
@@ -286,9 +302,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return _leading(docs, marked, found, ["label"], id_col)
 
 
+def _leaders(found: DataFrame, group: list, id_col: str, hash_col: str) -> DataFrame:
+    """(id, hash) of each group's first row; both come from one row, since a null id may be beside any other."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("k"), F.col(hash_col).alias("h")))
+    return found.groupBy(*group).agg(first.alias("first")).select(F.col("first.k").alias(id_col), F.col("first.h").alias(hash_col))
+
+
 def _leading(docs: DataFrame, marked: DataFrame, found: DataFrame, group: list, id_col: str) -> DataFrame:
     """Of marked (docs with __nd_hash), one row of each group of found (id, __nd_hash and what names groups)."""
-    leaders = found.groupBy(*group).agg(F.min_by("__nd_hash", F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)), "__nd_hash")).alias("h"), F.min(F.col(id_col)).alias("k"))
+    leaders = _leaders(found, group, id_col, "__nd_hash").toDF("k", "h")
     rows = found.groupBy(F.col(id_col).alias("k"), F.col("__nd_hash").alias("h")).agg(F.count("*").alias("rows"))
     ahead = leaders.alias("l").join(rows.alias("r"), F.expr("l.k <=> r.k and l.h = r.h")).select(F.col("r.k").alias("__nd_k"), F.col("r.h").alias("__nd_h"), F.col("rows").alias("__nd_rows"))
     ahead = hold(ahead, "leaders")

@@ -1,4 +1,5 @@
 import random
+import time
 
 from shotlake.llm import line_dedup as L
 
@@ -22,6 +23,45 @@ def test_moved_blocks_go_and_short_ones_stay():
     assert L.common_blocks([1, 2, 3, 4], [8, 4, 1], [9, 1, 9], 8) == [2]  # the short line 4 crosses line 1
 
 
+def brute_blocks(a, b, sizes, least):
+    """Lines of b in runs of at least `least` words that are runs of a."""
+    gone = set()
+    for i in range(len(b)):
+        for j in range(len(a)):
+            n = 0
+            while i + n < len(b) and j + n < len(a) and b[i + n] == a[j + n]:
+                n += 1
+            while n and sizes[i + n - 1] == 0:
+                n -= 1
+            if n and sizes[i] and sum(sizes[i : i + n]) >= least:
+                gone.update(range(i, i + n))
+    return gone
+
+
+def test_common_blocks_against_all_runs():
+    for seed in range(300):
+        rng = random.Random(seed)
+        words = [rng.choice([0, 1, 2, 3, 5, 9]) for _ in range(12)]
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        sizes = [words[x] for x in b]
+        got = L.common_blocks(a, b, sizes, 8)
+        assert {p for p in got if sizes[p]} == {p for p in brute_blocks(a, b, sizes, 8) if sizes[p]}
+        assert set(got) >= brute_blocks(a, b, sizes, 8)  # and lines without words at the ends of aligned blocks
+
+
+def test_any_order_of_lines_is_linear():
+    a = list(range(40_000))
+    swapped = [x + (1 if x % 2 == 0 else -1) for x in a]
+    began = time.perf_counter()
+    for b in (a[::-1], swapped, a[20_000:] + a[:20_000], [x % 7 for x in a], a):
+        for size in (9, 3):
+            L.common_blocks(a, b, [size] * len(b), 8)
+        if len(set(b)) == len(a):
+            assert L.common_blocks(a, b, [9] * len(b), 8) == a
+    assert L.common_blocks(a, a[::-1], [3] * len(a), 8) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_planted_passages(spark):
     rng = random.Random(2)
     passage = [sentence(rng, 14) for _ in range(4)]
