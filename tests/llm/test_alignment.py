@@ -111,3 +111,20 @@ def test_planes_count_links(spark):
 
 def test_no_rows(spark, none):
     assert alignment.alignment(none, A, B).collect() == []
+
+
+def test_encoder_by_ranks_agrees_with_the_files_library(docs):
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    t = alignment.Tokenizers.of(open(A, "rb").read(), open(B, "rb").read())
+    texts = [" " + r.text for r in docs.collect() if r.text]
+    for lo in range(0, 0x110000, 512):  # every code point beside letters, digits, signs and blanks
+        texts += [f" a{c}1{c} {c}." for c in map(chr, range(lo, lo + 512)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        assert [x.ids for x in a.encode_batch(part, add_special_tokens=False)] == list(map(t.fast_a, part))
+
+
+def test_other_tokenizers_keep_their_library():
+    told = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True}, "normalizer": None}
+    assert alignment.by_ranks(told, [b"a"]) is None and alignment.by_ranks({**told, "normalizer": {"type": "Lowercase"}}, [b"a"]) is None
