@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text as J
 from ..registry import query
+from ..sources import checks as C
 from ..sources import documents as D
 from ..sources.tables import sql_over, table, view
 from .analysis import SEASON
@@ -187,7 +188,7 @@ def validate_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.when(F.col("error").startswith("minute"), F.lit("true")).otherwise(F.col("minute").cast("string"))
     location = F.when(F.col("error").startswith("location"), F.lit("[1,2,3]")).otherwise(F.lit("[1.5,2]"))
     kind = F.when(F.col("error").startswith("type"), F.lit('{"id":16}')).otherwise(F.lit('{"id":16,"name":"Shot"}'))
-    events = D.validate_events(_texts(s, "match_id", F.format_string('{"id":"e%d","minute":%s,"location":%s,"type":%s}', F.col("event_id"), minute, location, kind)))
+    events = D.validate_events(_texts(s, "match_id", F.format_string('{"id":"e%d","minute":%s,"location":%s,"type":%s,"team":{"id":1,"name":"T"},"shot":{}}', F.col("event_id"), minute, location, kind)))
 
     m = view(spark, sf_dir, "matches").withColumn("error", F.coalesce(F.expr(BROKEN_MATCH), F.lit("ok"))).withColumn("part", F.col("competition_id") * 10_000 + F.col("season_id"))
     season = F.when(F.col("error").startswith("season"), F.lit('"x"')).otherwise(F.col("season_id").cast("string"))
@@ -213,6 +214,99 @@ def validate_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("kind", "error").agg(F.count("*").alias("n"))
 
 
+# By a key's remainder, how a document is broken, and elements that are added to a sound one.
+WHOLE = {0: "not JSON", 1: "null document", 2: "not a list", 3: "not an object", 4: "unreadable line"}
+_TYPE, _TEAM = '"type":{"id":16,"name":"Shot"}', '"team":{"id":1,"name":"T"}'
+ADDED_EVENTS = {
+    5: ('"shot":{}', "team: object required"), 6: (_TEAM, "shot: object required"), 7: (_TEAM + ',"shot":{"end_location":[1]}', "shot.end_location: two or three numbers expected"), 8: (_TEAM + ',"shot":{"freeze_frame":"x"}', "shot.freeze_frame: list expected"),
+    9: (_TEAM + ',"shot":{"freeze_frame":[{"location":[1,2]},{"location":[1,2,3],"player":{"id":"p","name":"q"}},5]}', "shot.freeze_frame[1].location: two numbers expected; shot.freeze_frame[1].player.id: integer required; shot.freeze_frame[2]: object required"),
+    10: (_TEAM + ',"shot":{"first_time":"yes","outcome":{"id":1}}', "shot.outcome: id and name go together; shot.first_time: boolean expected"), 11: (_TEAM + ',"shot":{},"related_events":[1]', "related_events: list of texts expected"),
+    12: ('"team":{"name":"T"},"shot":{},"related_events":null', "team: id and name go together; related_events: list of texts expected"), 13: (_TEAM + ',"shot":{"freeze_frame":null,"key_pass_id":7}', "shot.key_pass_id: text expected; shot.freeze_frame: list expected"),
+}
+
+
+def _broken(docs: DataFrame, key: str, modulus: int, added: dict[int, str]) -> DataFrame:
+    """Documents as read again from files in which some are broken or have an element more, by the key's remainder."""
+    spark = docs.sparkSession
+    k, json = F.col(key) % modulus, F.col("json")
+    text = F.when(k == 0, F.substring("json", 1, 20)).when(k == 1, "null").when(k == 2, F.concat(F.lit('{"all":'), json, F.lit("}"))).when(k == 3, F.concat(F.lit("[7,"), F.substring("json", 2, 1 << 30)))
+    for r, element in added.items():
+        text = text.when(k == r, F.concat(F.expr("substring(json, 1, length(json) - 1)"), F.lit("," + element + "]")))
+    line = F.to_json(F.struct(key, text.otherwise(json).alias("json")))
+    path = f"{D.shared_folder(spark)}/broken-{uuid.uuid4().hex}"
+    docs.select(F.when(k == 4, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    return D.read_document_lines(spark, path, key, faults=True)
+
+
+def _rejections(rejected: DataFrame, key: str) -> DataFrame:
+    """(key, whole, item, reason, in_file) of what a quarantine holds, list places left out of the reason."""
+    return rejected.select(key, F.col("position").isNull().alias("whole"), "item", F.array_join("reasons", "; ").alias("reason"), F.col("file").isNotNull().alias("in_file"))
+
+
+_OF_WHOLE = "CASE {m} " + " ".join(f"WHEN {r} THEN '{reason}'" for r, reason in WHOLE.items()) + " END"
+
+
+@query(sql_over("shots", body=f"""
+, s AS (SELECT *, match_id % 60 AS m, event_index % 2 = 0 AS is_shot FROM shots), d AS (SELECT DISTINCT match_id, m FROM s),
+b AS (SELECT match_id, 'E' || event_id AS item,
+ concat_ws('; ', CASE WHEN x IS NULL OR y IS NULL THEN 'shot.freeze_frame[0].location: two numbers expected' END, CASE WHEN player_id IS NULL THEN 'shot.freeze_frame[0].player.id: integer required' END,
+  CASE WHEN x IS NULL OR y IS NULL THEN 'shot.freeze_frame[1].location: two numbers expected' END, CASE WHEN player_id IS NULL THEN 'shot.freeze_frame[1].player.id: integer required' END) AS reason, m FROM s WHERE is_shot AND (x IS NULL OR y IS NULL OR player_id IS NULL) AND m NOT IN (0, 1, 2, 4)),
+r AS (SELECT CASE WHEN m <> 4 THEN match_id END AS match_id, m <> 3 AS whole, NULL AS item, {_OF_WHOLE.format(m='m')} AS reason FROM d WHERE m < 5 UNION ALL SELECT match_id, false, item, reason FROM b
+ UNION ALL SELECT match_id, false, 'added', CASE m {' '.join(f"WHEN {k} THEN '{reason}'" for k, (_, reason) in ADDED_EVENTS.items())} END FROM d WHERE m IN ({', '.join(map(str, ADDED_EVENTS))}))
+SELECT match_id, whole, item, reason, true AS in_file, 1::BIGINT AS n FROM r
+UNION ALL SELECT match_id, false, NULL, 'accepted', false, count(*) FROM s WHERE m NOT IN (0, 1, 2, 4) AND NOT (is_shot AND (x IS NULL OR y IS NULL OR player_id IS NULL)) GROUP BY 1"""))
+def quarantine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is rejected of event documents with faults of every kind, and how many events of each match are scanned."""
+    added = {k: f'{{"id":"added",{_TYPE},{rest}}}' for k, (rest, _) in ADDED_EVENTS.items()}
+    accepted, rejected = C.quarantine(_broken(documents(spark, sf_dir, "events"), "match_id", 60, added), "events")
+    counts = D.scan_events(accepted).groupBy("match_id").agg(F.count("*").alias("n"))
+    out = _rejections(rejected, "match_id").withColumn("n", F.lit(1).cast("long"))
+    return out.unionByName(counts.select("match_id", F.lit(False).alias("whole"), F.lit(None).cast("string").alias("item"), F.lit("accepted").alias("reason"), F.lit(False).alias("in_file"), "n"))
+
+
+@query(sql_over("matches", body=f"""
+, s AS (SELECT competition_id * 10000 + season_id AS part, count(*) AS n FROM matches GROUP BY 1), d AS (SELECT *, part % 7 AS m FROM s)
+SELECT CASE WHEN m <> 4 THEN part END AS part, m <> 3 AND m <> 5 AS whole, CASE WHEN m = 5 THEN 'x' END AS item,
+ CASE WHEN m = 5 THEN 'match_id: whole required; season.season_id: whole required; away_team.away_team_id: whole required; home_team.home_team_name: value required; away_team.away_team_name: value required; match_date: date expected; competition_stage.name: text required' ELSE {_OF_WHOLE.format(m='m')} END AS reason, true AS in_file, 1::BIGINT AS n FROM d WHERE m < 6
+UNION ALL SELECT part, false, NULL, 'accepted', false, n FROM d WHERE m IN (3, 5, 6)"""))
+def quarantine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = {5: '{"match_id":"x","competition":{"competition_id":"1"},"season":5,"home_team":{"home_team_id":2.0},"match_date":"1999-02-30","competition_stage":"final"}'}
+    accepted, rejected = C.quarantine(_broken(documents(spark, sf_dir, "matches"), "part", 7, added), "matches")
+    part = (F.col("competition_id") * 10_000 + F.col("season_id")).cast("long").alias("part")
+    scanned = D.scan_matches(accepted).groupBy(part).agg(F.count("match_id").alias("n"))
+    out = _rejections(rejected, "part").withColumn("n", F.lit(1).cast("long"))
+    return out.unionByName(scanned.select("part", F.lit(False).alias("whole"), F.lit(None).cast("string").alias("item"), F.lit("accepted").alias("reason"), F.lit(False).alias("in_file"), "n"))
+
+
+@query(sql_over("memberships", "positions", body=f"""
+, p AS (SELECT match_id, team_id, player_id, max(split_part(from_clock, ':', 2)::INT) AS worst FROM positions GROUP BY 1, 2, 3), s AS (SELECT *, match_id % 50 AS m FROM memberships LEFT JOIN p USING (match_id, team_id, player_id)),
+t AS (SELECT match_id, m, team_id, bool_or(coalesce(worst, 0) > 59) AS late, bool_or(player_id % 3 = 0) AS card, bool_or(worst IS NOT NULL) AS half FROM s GROUP BY 1, 2, 3), d AS (SELECT DISTINCT match_id, m FROM s)
+SELECT CASE WHEN m <> 4 THEN match_id END AS match_id, m <> 3 AS whole, NULL AS item, {_OF_WHOLE.format(m='m')} AS reason, true AS in_file FROM d WHERE m < 5
+UNION ALL SELECT match_id, false, '0', 'lineup[#].cards: list expected; lineup[#].country: object expected; lineup[#].player_name: text required; lineup[#].positions[#].id and name go together; lineup[#]: object required', true FROM d WHERE m = 5
+UNION ALL SELECT match_id, false, team_id::VARCHAR, concat_ws('; ', CASE WHEN card THEN 'lineup[#].cards[#].time: MM:SS expected' END, CASE WHEN late THEN 'lineup[#].positions[#].from: MM:SS expected' END, CASE WHEN half THEN 'lineup[#].positions[#].id and name go together' END), true FROM t WHERE (half OR card) AND m NOT IN (0, 1, 2, 4)
+UNION ALL SELECT match_id, false, team_id::VARCHAR, 'accepted', false FROM t WHERE NOT half AND NOT card AND m NOT IN (0, 1, 2, 4)"""))
+def quarantine_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in lists are left out of the reasons, which are told once each, in order."""
+    added = {5: '{"team_id":0,"lineup":[{"player_id":1,"positions":[{"position_id":1}],"cards":{},"country":"x"},null]}'}
+    accepted, rejected = C.quarantine(_broken(documents(spark, sf_dir, "lineups"), "match_id", 50, added), "lineups")
+    told = rejected.withColumn("reasons", F.array_sort(F.array_distinct(F.transform("reasons", lambda x: F.regexp_replace(x, r"\[[0-9]+\]", "[#]")))))
+    teams = D.scan_lineups(accepted)[0].select("match_id", F.lit(False).alias("whole"), F.col("team_id").cast("string").alias("item"), F.lit("accepted").alias("reason"), F.lit(False).alias("in_file"))
+    return _rejections(told, "match_id").unionByName(teams)
+
+
+@query(f"SELECT CASE WHEN r_regionkey <> 4 THEN r_regionkey::BIGINT END AS part, r_regionkey <> 3 AS whole, NULL AS item, {_OF_WHOLE.format(m='r_regionkey')} AS reason, true AS in_file FROM region WHERE r_regionkey < 5 UNION ALL SELECT o.k::BIGINT, false, 'C', 'competition_id: whole required; season_name: value required', true FROM (SELECT DISTINCT n_nationkey + 5 AS k FROM nation) o UNION ALL SELECT NULL, false, '7', 'accepted', false FROM nation")
+def quarantine_competitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a region, each broken in its way, and one a nation with a season that holds and one that doesn't."""
+    good = '{"competition_id":"7","season_id":1,"competition_name":"A","season_name":5}'
+    keys = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("part")).unionByName(table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).cast("long").alias("part")))
+    docs = keys.select("part", F.lit(f"[{good}]").alias("json"))
+    # remainders of keys beyond 4 are all the same one: these documents have an element more
+    marked = docs.select(F.col("part"), F.when(F.col("part") > 4, F.lit(f'[{good},{{"competition_id":"C","season_id":2,"competition_name":"B"}}]')).otherwise(F.col("json")).alias("json"))
+    accepted, rejected = C.quarantine(_broken(marked, "part", 1000, {}), "competitions")
+    seasons = D.scan_competitions(accepted.filter("part > 4"))
+    return _rejections(rejected, "part").unionByName(seasons.select(F.lit(None).cast("long").alias("part"), F.lit(False).alias("whole"), F.col("competition_id").cast("string").alias("item"), F.lit("accepted").alias("reason"), F.lit(False).alias("in_file")))
+
+
 @query(sql_over("stream", body=", s AS (SELECT *, CASE WHEN event_id % 5 > 1 THEN team_id WHEN event_id % 5 = 1 THEN 1 END AS held FROM stream) SELECT match_id, possession_id::VARCHAR AS possession_id, min(held) AS team_id, count(DISTINCT coalesce(held, -1)) > 1 AS conflict FROM s GROUP BY 1, 2"))
 def derive_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Teams of events, some of them null, which conflicts with a team."""

@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_text import strip_key
+from ..operators.counting import union_all
+from . import checks as C
 from .shared import shared_folder
 
 __all__ = ["shared_folder", "read_documents", "read_document_lines", "scan_competitions", "scan_matches", "scan_events", "scan_lineups"]
 
 PAIR = "struct<id:int,name:string>"
-COMPETITION = "array<struct<competition_id:int,season_id:int,country_name:string,competition_name:string,season_name:string>>"
-MATCH = f"array<struct<match_id:int,match_date:string,kick_off:string,competition:struct<competition_id:int>,season:struct<season_id:int>,home_team:struct<home_team_id:int,home_team_name:string>,away_team:struct<away_team_id:int,away_team_name:string>,home_score:int,away_score:int,competition_stage:{PAIR}>>"
+# ids that may come as text, as long as they are whole numbers, are read as text and cast (see _whole)
+COMPETITION = "array<struct<competition_id:string,season_id:string,country_name:string,competition_name:string,season_name:string>>"
+MATCH = f"array<struct<match_id:string,match_date:string,kick_off:string,competition:struct<competition_id:string>,season:struct<season_id:string>,home_team:struct<home_team_id:string,home_team_name:string>,away_team:struct<away_team_id:string,away_team_name:string>,home_score:int,away_score:int,competition_stage:{PAIR}>>"
 LINEUP = f"array<struct<team_id:int,team_name:string,lineup:array<struct<player_id:int,player_name:string,player_nickname:string,jersey_number:int,country:{PAIR},positions:array<struct<position_id:int,position:string,from:string,to:string,from_period:int,to_period:int,start_reason:string,end_reason:string>>,cards:array<struct<time:string,card_type:string,reason:string,period:int>>>>>>"
-FLAGS = ("aerial_won", "follows_dribble", "first_time", "open_goal", "one_on_one", "deflected", "redirect", "saved_off_target", "saved_to_post")
+FLAGS = C.FLAGS
 SHOT = f"struct<outcome:{PAIR},body_part:{PAIR},technique:{PAIR},type:{PAIR},end_location:array<double>,key_pass_id:string,{','.join(f'{f}:boolean' for f in FLAGS)},freeze_frame:array<struct<player:{PAIR},position:{PAIR},teammate:boolean,location:array<double>>>>"
 EVENT = f"array<struct<id:string,index:int,period:int,timestamp:string,minute:int,second:int,type:{PAIR},team:{PAIR},player:{PAIR},position:{PAIR},play_pattern:{PAIR},possession:int,possession_team:{PAIR},duration:double,location:array<double>,under_pressure:boolean,off_camera:boolean,out:boolean,counterpress:boolean,related_events:array<string>,shot:{SHOT}>>"
 SHARED_KEYS = ("id", "index", "period", "timestamp", "minute", "second", "type", "team", "player", "position", "play_pattern", "possession", "possession_team", "duration", "location", "under_pressure", "off_camera", "out", "counterpress", "related_events")
@@ -29,10 +32,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("name"), F.col("value").alias("json"))
 
 
-def read_document_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
+def read_document_lines(spark: SparkSession, path: str, key: str, faults: bool = False) -> DataFrame:
     """Rows (key, json) of text files with one document a line, {"<key>": ..., "json": "..."}: many small documents in
-    files that Spark can split."""
-    return spark.read.schema(f"`{key}` long, json string").json(path)
+    files that Spark can split. faults adds the line's file and, for a line that can't be parsed, _corrupt_record."""
+    if not faults:
+        return spark.read.schema(f"`{key}` long, json string").json(path)
+    lines = spark.read.schema(f"`{key}` long, json string, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return lines.select(key, "json", "_corrupt_record", F.col("_metadata.file_path").alias("file"))
 
 
 def _items(docs: DataFrame, schema: str, *keep: str) -> DataFrame:
@@ -50,14 +56,18 @@ def clock(text: Column) -> Column:
     return F.when(ok, F.make_dt_interval(F.lit(0), F.lit(0), part(0), part(1).cast("decimal(18,6)")))
 
 
+def _whole(path: str) -> Column:
+    return F.col(path).try_cast("decimal(20,3)").try_cast("int").alias(path.rsplit(".", 1)[-1])
+
+
 def scan_competitions(docs: DataFrame) -> DataFrame:
-    return _items(docs, COMPETITION).select("d.competition_id", "d.season_id", "d.country_name", "d.competition_name", "d.season_name")
+    return _items(docs, COMPETITION).select(_whole("d.competition_id"), _whole("d.season_id"), "d.country_name", "d.competition_name", "d.season_name")
 
 
 def scan_matches(docs: DataFrame) -> DataFrame:
     return _items(docs, MATCH).select(
-        "d.match_id", F.to_date(F.substring("d.match_date", 1, 10)).alias("match_date"), "d.competition.competition_id", "d.season.season_id", "d.home_team.home_team_id", "d.home_team.home_team_name",
-        "d.away_team.away_team_id", "d.away_team.away_team_name", "d.home_score", "d.away_score", F.col("d.competition_stage.name").alias("stage_name"),
+        _whole("d.match_id"), F.to_date(F.substring("d.match_date", 1, 10)).alias("match_date"), _whole("d.competition.competition_id"), _whole("d.season.season_id"), _whole("d.home_team.home_team_id"), "d.home_team.home_team_name",
+        _whole("d.away_team.away_team_id"), "d.away_team.away_team_name", "d.home_score", "d.away_score", F.col("d.competition_stage.name").alias("stage_name"),
     )
 
 
@@ -122,96 +132,47 @@ def project_residual_json(docs: DataFrame, forbidden: str | None = None) -> Data
     return found if forbidden is None else found.withColumn("type_data", F.nullif(strip_key(F.col("type_data"), forbidden), F.lit("{}")))
 
 
-class _Typed:
-    """Checks of one JSON value, a variant column: each gives an error text, or null where the value is as it should."""
-
-    def __init__(self, v: str):
-        self.v = v
-
-    def kind(self, path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(self.v, path, "variant"))
-
-    def there(self, path: str) -> Column:
-        """Whether the value is given and isn't null."""
-        return F.coalesce(self.kind(path) != "VOID", F.lit(False))
-
-    def _is(self, path: str, what: str) -> Column:
-        kind = self.kind(path)
-        return {
-            "integer": kind == "BIGINT", "text": kind == "STRING", "number": (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "boolean": kind == "BOOLEAN", "list": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT"),
-            "whole": F.try_variant_get(self.v, path, "bigint").isNotNull(), "date": F.try_to_date(F.substring(F.try_variant_get(self.v, path, "string"), 1, 10)).isNotNull() & (kind == "STRING"),
-        }[what]
-
-    def required(self, path: str, what: str | None = None) -> Column:
-        ok = self.there(path) if what is None else F.coalesce(self._is(path, what), F.lit(False))
-        return F.when(~ok, F.lit(f"{path[2:]}: {what or 'value'} required"))
-
-    def optional(self, path: str, what: str) -> Column:
-        return F.when(self.there(path) & ~F.coalesce(self._is(path, what), F.lit(False)), F.lit(f"{path[2:]}: {what} expected"))
-
-    def pair(self, path: str) -> Column:
-        return F.when(self.there(f"{path}.id") != self.there(f"{path}.name"), F.lit(f"{path[2:]}: id and name go together"))
-
-
-def _elements(docs: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, position, v): the elements of each document's array, as variants."""
-    return docs.select(*keep, F.posexplode(F.from_json("json", "array<string>")).alias("position", "e")).withColumn("v", F.try_parse_json("e"))
-
-
-def _errors(*checks: Column) -> Column:
-    return F.array_compact(F.array(F.when(F.col("v").isNull(), F.lit("not JSON")), *checks)).alias("errors")
+def _checked(docs: DataFrame, rules, *keep: str) -> DataFrame:
+    """(*keep, position, v, errors) for each element, and for each document that can't be read (position null)."""
+    rows = C.elements(docs, *keep)
+    return rows.withColumn("errors", F.when(F.col("fault").isNotNull(), F.array("fault")).otherwise(C.object_errors(F.col("v"), rules)))
 
 
 def validate_competitions(docs: DataFrame) -> DataFrame:
-    """(position, errors) for each competition season; ids may be given as text, as long as they are whole numbers."""
-    t = _Typed("v")
-    return _elements(docs).select("position", _errors(*[t.required(f"$.{k}", "whole") for k in ("competition_id", "season_id")], *[t.required(f"$.{k}") for k in ("competition_name", "season_name")]))
+    """(position, errors) for each competition season; ids may be given as text, as long as they are whole numbers. A
+    document that can't be read is a row without a position, here as in the other checks."""
+    return _checked(docs, C.KINDS["competitions"]).select("position", "errors")
 
 
 def validate_matches(docs: DataFrame) -> DataFrame:
     """(position, errors) for each match."""
-    t = _Typed("v")
-    ids = ("match_id", "competition.competition_id", "season.season_id", "home_team.home_team_id", "away_team.away_team_id")
-    names = ("home_team.home_team_name", "away_team.away_team_name")
-    stage = F.when(t.there("$.competition_stage") & ~F.coalesce(t._is("$.competition_stage.name", "text"), F.lit(False)), F.lit("competition_stage.name: text required"))
-    return _elements(docs).select("position", _errors(*[t.required(f"$.{k}", "whole") for k in ids], *[t.required(f"$.{k}") for k in names], t.optional("$.match_date", "date"), stage))
+    return _checked(docs, C.KINDS["matches"]).select("position", "errors")
 
 
 def validate_lineups(docs: DataFrame) -> DataFrame:
-    """(match_id, part, position, errors) for each team of a match (part "team"), each of its members ("member"), and
-    each position and card of a member."""
-    t = _Typed("v")
-    teams = _elements(docs, "match_id")
-    out = teams.select("match_id", F.lit("team").alias("part"), "position", _errors(t.required("$.team_id", "integer"), t.optional("$.team_name", "text"), t.required("$.lineup", "list")))
+    """(match_id, part, position, errors) for each team of a match (part "team", or "document" if it can't be read), each
+    of its members ("member"), and each position and card of a member, by what each part itself holds."""
+    teams = C.elements(docs, "match_id")
+    faults = teams.filter("fault is not null").select("match_id", F.lit("document").alias("part"), "position", F.array("fault").alias("errors"))
 
     def inside(rows: DataFrame, path: str) -> DataFrame:
-        listed = F.try_variant_get("v", path, "array<variant>")
-        return rows.select("match_id", F.posexplode(listed).alias("position", "v"))
+        return rows.select("match_id", F.posexplode(F.try_variant_get("v", path, "array<variant>")).alias("position", "v"))
 
-    members = inside(teams, "$.lineup")
-    country = F.when(t.there("$.country"), F.coalesce(t.optional("$.country", "object"), t.required("$.country.id", "integer"), t.required("$.country.name", "text")))
-    checks = [t.required("$.player_id", "integer"), t.required("$.player_name", "text"), country, t.optional("$.player_nickname", "text"), t.optional("$.jersey_number", "integer"), t.optional("$.positions", "list"), t.optional("$.cards", "list")]
+    rows = teams.filter("fault is null")
+    members = inside(rows, "$.lineup")
+    lists = lambda *names: tuple(C.Rule(n, "objects", given=True) for n in names)
     parts = {
-        "member": (members, checks),
-        "position": (inside(members, "$.positions"), [t.optional("$.position_id", "integer"), t.optional("$.position", "text"), F.when(t.there("$.position_id") != t.there("$.position"), F.lit("id and name go together")), *[t.optional(f"$.{k}", "integer") for k in ("from_period", "to_period")], *[t.optional(f"$.{k}", "text") for k in ("start_reason", "end_reason")]]),
-        "card": (inside(members, "$.cards"), [t.required("$.card_type", "text"), t.optional("$.reason", "text"), t.optional("$.period", "integer")]),
+        "team": (rows, (*C.TEAM, C.Rule("lineup", "objects", True))), "member": (members, (*C.MEMBER, *lists("positions", "cards"))),
+        "position": (inside(members, "$.positions"), C.POSITION), "card": (inside(members, "$.cards"), C.CARD),
     }
-    for name, (rows, tests) in parts.items():
-        out = out.unionByName(rows.select("match_id", F.lit(name).alias("part"), "position", _errors(*tests)))
-    return out
+    return union_all([faults, *(p.select("match_id", F.lit(name).alias("part"), "position", C.object_errors(F.col("v"), C.Kind(rules, "")).alias("errors")) for name, (p, rules) in parts.items())])
 
 
 def validate_events(docs: DataFrame) -> DataFrame:
-    """(match_id, position, event_id, errors): strict typing of each event, read as variants. A required field that is
-    missing or of another type is an error, as are half a category pair and a location of other than two numbers."""
-    t = _Typed("v")
-    point = (F.size(F.try_variant_get("v", "$.location", "array<double>")) == 2) & ~F.coalesce(t.kind("$.location").contains("STRING"), F.lit(False))
-    checks = [
-        t.required("$.id", "text"), t.required("$.type.id", "integer"), t.required("$.type.name", "text"), *[t.optional(f"$.{k}", "integer") for k in ("index", "period", "minute", "second", "possession")], t.optional("$.duration", "number"),
-        *[t.optional(f"$.{k}", "boolean") for k in ("under_pressure", "off_camera", "out", "counterpress")], *[t.pair(f"$.{k}") for k in ("player", "position", "play_pattern")],
-        F.when(t.there("$.location") & ~F.coalesce(point, F.lit(False)), F.lit("location: two numbers expected")),
-    ]
-    return _elements(docs, "match_id").select("match_id", "position", F.try_variant_get("v", "$.id", "string").alias("event_id"), _errors(*checks))
+    """(match_id, position, event_id, errors): strict typing of each event and all that it holds, read as variants. A
+    required field that is missing or of another type is an error, as are half a category pair, a location of other than
+    two numbers, and a shot whose ends, flags or frame are not what they should be."""
+    return _checked(docs, C.KINDS["events"], "match_id").select("match_id", "position", F.try_variant_get("v", "$.id", "string").alias("event_id"), "errors")
 
 
 def derive_possessions(events: DataFrame, keys: tuple[str, ...] = ("match_id", "possession_id"), team: str = "team_id") -> DataFrame:

@@ -10,6 +10,7 @@ from shotlake.operators import merge as M
 from shotlake.operators import models
 from shotlake.operators import retrieval as R
 from shotlake.operators import splits as P
+from shotlake.sources import checks as C
 from shotlake.sources import documents as D
 
 SCORED = "y int, p double, g string"
@@ -213,3 +214,46 @@ def test_ranks_in_two_levels(spark):
     names = ["", "a", "ab", "b", "é", "😀"]
     assert {r.c: r.place for r in E.numbered(spark.createDataFrame([(k,) for k in names], "c string"), "c").collect()} == {k: i for i, k in enumerate(names)}
     assert E.numbered(spark.createDataFrame([], "c long"), "c").count() == 0
+
+
+def test_quarantine_of_unreadable_documents(spark, tmp_path):
+    """Good, truncated, null, object, and missing documents, a broken line, and elements that are no objects."""
+    good = {"id": "a", "type": {"id": 30, "name": "Pass"}}
+    lines = [json.dumps({"match_id": k, "json": t}) for k, t in enumerate([json.dumps([good, good]), json.dumps([good])[:-9], "null", json.dumps(good), None, json.dumps([good, 5, None, "x", [1]]), "[]", "", json.dumps([good]) + "]"])]
+    (tmp_path / "docs.json").write_text("\n".join([*lines, lines[0][:25], ""]))
+    docs = D.read_document_lines(spark, str(tmp_path), "match_id", faults=True)
+    accepted, rejected = C.quarantine(docs, "events")
+    got = sorted((str(r.match_id), r.position, ";".join(r.reasons)) for r in rejected.collect())
+    assert got == sorted([("1", None, "not JSON"), ("2", None, "null document"), ("3", None, "not a list"), ("4", None, "no document"), *(("5", k, "not an object") for k in (1, 2, 3, 4)), ("7", None, "not JSON"), ("8", None, "not JSON"), ("None", None, "unreadable line")], key=lambda x: (x[0], x[1] or 0))
+    assert all(r.file.endswith("docs.json") for r in rejected.collect())
+    assert sorted((r.match_id, r.event_id) for r in D.scan_events(accepted).collect()) == [(0, "a"), (0, "a"), (5, "a")]
+    assert accepted.columns == ["match_id", "json", "file"]
+    assert {(r.match_id, *r.errors) for r in D.validate_events(docs).collect() if r.position is None} == {(1, "not JSON"), (2, "null document"), (3, "not a list"), (4, "no document"), (7, "not JSON"), (8, "not JSON"), (None, "unreadable line")}
+    assert len(C.refuse_faults(docs.filter("match_id in (0, 6)"), "events").collect()) == 2
+    for k in (1, 2, 5):
+        with pytest.raises(Exception, match="rejected document"):
+            C.refuse_faults(docs.filter(f"match_id = {k}"), "events").collect()
+
+
+def test_rules_reach_into_lists(spark):
+    """One fault at a time in an event that is otherwise sound, with its path and place."""
+    shot = {"end_location": [1, 2.5, 3], "freeze_frame": [{"location": [1, 2], "player": {"id": 0, "name": "x"}, "teammate": True, "position": {"id": 1, "name": "p"}}, {}], "outcome": {"id": 1, "name": "Goal"}, "first_time": True, "key_pass_id": "k"}
+    sound = {"id": "e", "type": {"id": 16, "name": "Shot"}, "team": {"id": 1, "name": "t"}, "location": [0, 1.5], "related_events": ["x"], "minute": 3, "duration": 1e3, "player": None, "shot": shot}
+    with_shot = lambda **k: {**sound, "shot": {**shot, **k}}
+    cases = [
+        (sound, []), ({k: v for k, v in sound.items() if k != "shot"}, ["shot: object required"]), ({**sound, "team": None}, ["team: object required"]), ({**sound, "team": {"id": True, "name": "t"}}, ["team.id: integer required"]),
+        (with_shot(end_location=[1]), ["shot.end_location: two or three numbers expected"]), (with_shot(end_location=[1, "2"]), ["shot.end_location: two or three numbers expected"]), (with_shot(end_location=[1, None]), ["shot.end_location: two or three numbers expected"]), (with_shot(end_location=None), []),
+        (with_shot(first_time="true"), ["shot.first_time: boolean expected"]), (with_shot(freeze_frame={}), ["shot.freeze_frame: list expected"]), (with_shot(freeze_frame=None), ["shot.freeze_frame: list expected"]), (with_shot(freeze_frame=[]), []),
+        (with_shot(freeze_frame=[{}, 3]), ["shot.freeze_frame[1]: object required"]), (with_shot(freeze_frame=[{}, {"location": [1], "teammate": 1, "player": {}, "position": 5}]), ["shot.freeze_frame[1].location: two numbers expected", "shot.freeze_frame[1].player.id: integer required", "shot.freeze_frame[1].teammate: boolean expected", "shot.freeze_frame[1].position: object expected"]),
+        ({**sound, "related_events": [1]}, ["related_events: list of texts expected"]), ({**sound, "related_events": None}, ["related_events: list of texts expected"]), ({**sound, "related_events": ["a", None]}, ["related_events: list of texts expected"]), ({**sound, "related_events": []}, []),
+        ({**sound, "location": [1, True]}, ["location: two numbers expected"]), ({**sound, "possession_team": "x"}, ["possession_team: object expected"]), ({**sound, "timestamp": 5}, ["timestamp: text expected"]), ({**sound, "tactics": []}, ["tactics: object expected"]),
+        ({**sound, "type": {"id": 30, "name": "Pass"}, "shot": 5, "team": None}, []), (with_shot(outcome={"id": 1}), ["shot.outcome: id and name go together"]), (with_shot(technique={"id": "1", "name": "n"}), ["shot.technique.id: integer required"]),
+    ]
+    docs = spark.createDataFrame([(1, json.dumps([c for c, _ in cases]))], "match_id long, json string")
+    assert [r.errors for r in D.validate_events(docs).orderBy("position").collect()] == [e for _, e in cases]
+
+
+def test_ids_as_text_are_scanned(spark):
+    one = {"match_id": "5", "competition": {"competition_id": "1"}, "season": {"season_id": 2}, "home_team": {"home_team_id": "7", "home_team_name": "x"}, "away_team": {"away_team_id": 3, "away_team_name": "y"}}
+    row = D.scan_matches(spark.createDataFrame([(json.dumps([one]),)], "json string")).first()
+    assert (row.match_id, row.competition_id, row.season_id, row.home_team_id, row.away_team_id) == (5, 1, 2, 7, 3)
