@@ -111,21 +111,51 @@ def final_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.coefficient_table(spark, M.logistic(0.1, train.count()).fit(train), plain).select("name", F.round("coefficient", 6).alias("coefficient"), F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
+def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their feature columns, held, since each Newton step reads them."""
+    rows, columns = encoded_rows(spark, sf_dir)
+    return written(rows.select("row_id", "fold", "y", *columns), "features"), columns
+
+
 @query()
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _training(spark, sf_dir)
-    return M.out_of_fold(rows, lambda train: M.logistic(0.1, train.count())).select("row_id", "y", "fold", F.round("p", 6).alias("p"))
+    """Each row scored by the fit that left its fold out; all five fits take their steps in one job."""
+    rows, columns = _scaled(spark, sf_dir)
+    return M.out_of_fold_scores(rows, columns, M.fold_fits(rows, columns, [0.1])).select("row_id", "y", "fold", F.round("p", 6).alias("p"))
+
+
+CS = [0.01, 0.1, 1.0, 10.0]
 
 
 @query()
 def grid_select_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The C of least mean fold log loss (then Brier, then C) over all five folds."""
-    rows, _ = _training(spark, sf_dir)
-    out = None
-    for c in (0.01, 0.1, 1.0, 10.0):
-        part = M.out_of_fold(rows, lambda train, c=c: M.logistic(c, train.count())).withColumn("c", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return M.grid_best(out, ["c"])
+    """The C of least mean fold log loss (then Brier, then C) over all five folds: twenty fits, one job a step."""
+    rows, columns = _scaled(spark, sf_dir)
+    return M.grid_best(M.out_of_fold_scores(rows, columns, M.fold_fits(rows, columns, CS)), ["c"])
+
+
+@query(sql_over("scored", body=f"""
+, g AS (SELECT fold, y, c, power(p, c) AS p FROM scored, (VALUES {", ".join(f"({c}::DOUBLE)" for c in CS)}) AS v(c)),
+f AS (SELECT c, fold, avg(-ln(greatest(least(CASE WHEN y = 1 THEN p ELSE 1.0::DOUBLE - p END, 1.0::DOUBLE), 1e-15))) AS ll, avg((y - p) * (y - p)) AS b FROM g GROUP BY 1, 2), m AS (SELECT c, avg(ll) AS log_loss, avg(b) AS brier FROM f GROUP BY 1)
+SELECT round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, c FROM m ORDER BY m.log_loss, m.brier, c LIMIT 1"""))
+def grid_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice of grid_select_c over a given table of scores: powers of the events' probabilities."""
+    points = F.explode(F.array(*map(F.lit, CS))).alias("c")
+    scores = view(spark, sf_dir, "scored").select("fold", "y", "p", points).withColumn("p", F.pow("p", "c"))
+    return M.grid_best(scores, ["c"]).select(F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "c")
+
+
+@query(sql_over("scored", body="""
+, g AS (SELECT fold, y, step, depth, least, least(greatest(p * (1 + step) - depth / 100.0::DOUBLE, 0), 1) AS p FROM scored, (VALUES (0.03::DOUBLE), (0.06), (0.1)) AS s(step), (VALUES (3), (4)) AS d(depth), (VALUES (20), (60)) AS l(least)),
+f AS (SELECT step, depth, least, fold, avg(-ln(greatest(least(CASE WHEN y = 1 THEN p ELSE 1.0::DOUBLE - p END, 1.0::DOUBLE), 1e-15))) AS ll, avg((y - p) * (y - p)) AS b FROM g GROUP BY 1, 2, 3, 4), m AS (SELECT step, depth, least, avg(ll) AS log_loss, avg(b) AS brier FROM f GROUP BY 1, 2, 3)
+SELECT round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, step, depth, least FROM m ORDER BY round(m.log_loss, 12), round(m.brier, 12), step, depth, least LIMIT 1"""))
+def boosting_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice of gbt_fit over a given table of scores. Points that differ in their least leaf alone tie, and the
+    smaller one is taken."""
+    points = F.explode(F.array(*[F.struct(F.lit(a).alias("step"), F.lit(b).alias("depth"), F.lit(c).alias("least")) for a, b, c in M.BOOSTING_GRID])).alias("at")
+    p = F.least(F.greatest(F.col("p") * (1 + F.col("step")) - F.col("depth") / F.lit(100.0), F.lit(0.0)), F.lit(1.0))
+    scores = view(spark, sf_dir, "scored").select("fold", "y", "p", points).select("fold", "y", "p", "at.*").withColumn("p", p)
+    return M.grid_best(scores, ["step", "depth", "least"], places=12).select(F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "step", "depth", "least")
 
 
 #: Rounds of the registered boosting query; the operator's own default is 200 (see the README for times).

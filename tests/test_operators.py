@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,8 +150,6 @@ def test_manifest_and_pages(spark):
 
 
 def test_logistic_matches_newton(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 2))
     y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.0, -2.0] + 0.3)))).astype(int)
@@ -257,3 +256,44 @@ def test_ids_as_text_are_scanned(spark):
     one = {"match_id": "5", "competition": {"competition_id": "1"}, "season": {"season_id": 2}, "home_team": {"home_team_id": "7", "home_team_name": "x"}, "away_team": {"away_team_id": 3, "away_team_name": "y"}}
     row = D.scan_matches(spark.createDataFrame([(json.dumps([one]),)], "json string")).first()
     assert (row.match_id, row.competition_id, row.season_id, row.home_team_id, row.away_team_id) == (5, 1, 2, 7, 3)
+
+
+def plain_newton(x, y, c):
+    z, w, ridge = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1), np.array([0.0 if c is None else 1 / c] * x.shape[1] + [0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+    return w
+
+
+def test_all_fits_at_once_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4)) * [1, 3, 0.2, 1]
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [1.0, -1.0, 2.0, 0.0] - 2)))).astype(int)
+    fold = np.arange(500) % 5
+    rows = spark.createDataFrame([(i, int(k), int(b), *map(float, v)) for i, (k, b, v) in enumerate(zip(fold, y, x))], "row_id int, fold int, y int, a double, b double, c double, d double").repartition(3)
+    columns, cs = ["a", "b", "c", "d"], [0.01, 0.1, 1.0, 10.0]
+    fits = {(r.fold, r.c): r.weights for r in models.fold_fits(rows, columns, cs).collect()}
+    assert len(fits) == 20
+    for (k, c), w in fits.items():
+        assert w == pytest.approx(list(plain_newton(x[fold != k], y[fold != k], c)), abs=1e-7)
+    # MLlib stops earlier, but agrees
+    train = models.assembled(rows.filter("fold <> 2"), columns)
+    model = models.logistic(0.1, 400).fit(train)
+    assert fits[2, 0.1] == pytest.approx([*model.coefficients, model.intercept], abs=1e-5)
+    scores = models.out_of_fold_scores(rows, columns, models.fold_fits(rows, columns, [0.1])).collect()
+    assert len(scores) == 500
+    for r in scores[:50]:
+        assert r.p == pytest.approx(1 / (1 + np.exp(-(np.append(x[r.row_id], 1.0) @ fits[r.fold, 0.1]))), abs=1e-9)
+
+
+def test_platt_against_newton_and_failures(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=400) * 3
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 * z + 1)))).astype(int)
+    table = spark.createDataFrame([(float(a), int(b)) for a, b in zip(z, y)], "z double, y int")
+    assert models.fit_platt(table) == pytest.approx(tuple(plain_newton(z[:, None], y, None)), abs=1e-7)
+    with pytest.raises(ValueError, match="not converged"):
+        models.fit_platt(spark.createDataFrame([(float(k), int(k > 3)) for k in range(8)], "z double, y int"))
+    with pytest.raises(ValueError, match="not finite"):
+        models.fit_platt(spark.createDataFrame([(None, 1), (1.0, 0)], "z double, y int"))
