@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import EQUAL_WIDTH_EDGES, edge_bin, log_loss, squared_error
 from ..sources.shared import written
+from .ranges import numbered, running_sums
+
+#: Clusters of a block, and replicates of a slice of the bootstrap: fewer where clusters are so many that a slice's
+#: counts would pass CELLS numbers.
+BLOCK, SLICE, CELLS = 8192, 32, 1 << 24
 
 
 def loss_table(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -14,31 +23,29 @@ def loss_table(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> Da
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("positives"), F.avg(log_loss(F.col(y), F.col(p))).alias("log_loss"), F.avg(squared_error(F.col(y), F.col(p))).alias("brier"))
 
 
+def by_score(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """(keys, p, positives, n): rows reduced to distinct scores. Rows without a score are left out."""
+    return df.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("double")).alias("positives"), F.count("*").cast("double").alias("n"))
+
+
 def rank_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """ROC AUC (ties count half) and average precision (step sum over tied groups) for each key; null for one class.
+    Rows without a score are left out. Running sums over the scores are taken by ranges of them (see running_sums)."""
+    return score_metrics(by_score(df, keys, y, p), keys).select(*keys, "roc_auc", "pr_auc")
 
-    Rows are first reduced to distinct scores, and their running sums are taken in two levels: scores fall into
-    1024 strips of their range, strips are summed, and windows run within a strip. No window holds all scores.
-    """
-    low, high = df.agg(F.min(p), F.max(p)).first()
-    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
-    strip = F.floor((F.col(p) - (low or 0.0)) / width).alias("__strip")
-    scores = df.groupBy(*keys, strip, F.col(p).alias("__p")).agg(F.sum(F.col(y).cast("double")).alias("__pos"), F.count("*").cast("double").alias("__n"))
-    per_strip = scores.groupBy(*keys, "__strip").agg(F.sum("__pos").alias("__spos"), F.sum("__n").alias("__sn"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("__strip"))
-    every = Window.partitionBy(*keys)
-    offsets = per_strip.select(
-        *keys, "__strip", (F.sum("__spos").over(down) - F.col("__spos")).alias("__before_pos"), (F.sum("__sn").over(down) - F.col("__sn")).alias("__before_n"), F.sum("__spos").over(every).alias("__all_pos"), F.sum("__sn").over(every).alias("__all_n")
-    )
-    inside = Window.partitionBy(*keys, "__strip").orderBy(F.desc("__p"))
-    ran = scores.join(offsets, [*keys, "__strip"]).withColumn("__tp", F.sum("__pos").over(inside) + F.col("__before_pos")).withColumn("__k", F.sum("__n").over(inside) + F.col("__before_n"))
-    neg = F.col("__n") - F.col("__pos")
-    above = F.col("__tp") - F.col("__pos")
-    both = F.col("__all_pos") * (F.col("__all_n") - F.col("__all_pos"))
+
+def score_metrics(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """n, positives, losses and rank metrics of each key, all from one table of distinct scores (see by_score)."""
+    ran = running_sums(scores, keys, [("p", True)], ["positives", "n"])
+    pos, n, tp, k, p = (F.col(c) for c in ("positives", "n", "__to_positives", "__to_n", "p"))
+    all_pos, neg = F.col("__all_positives"), n - pos
+    both = all_pos * (F.col("__all_n") - all_pos)
+    one, none = F.lit(1), F.lit(0)
     return ran.groupBy(*keys).agg(
-        (F.sum(neg * (above + F.col("__pos") / 2)) / F.nullif(F.first(both), F.lit(0.0))).alias("roc_auc"),
-        F.sum(F.when(both > 0, F.col("__pos") / F.col("__all_pos") * F.col("__tp") / F.col("__k"))).alias("pr_auc"),
-    )
+        F.sum("n").cast("long").alias("n"), F.sum("positives").cast("long").alias("positives"),
+        (F.sum(pos * log_loss(one, p) + neg * log_loss(none, p)) / F.sum("n")).alias("log_loss"), (F.sum(pos * squared_error(one, p) + neg * squared_error(none, p)) / F.sum("n")).alias("brier"),
+        (F.sum(neg * (tp - pos + pos / 2)) / F.nullif(F.first(both), F.lit(0.0))).alias("roc_auc"), F.sum(F.when(both > 0, pos / all_pos * tp / k)).alias("pr_auc"),
+    )
 
 
 def reliability(df: DataFrame, keys: list[str], edges: tuple[float, ...] = EQUAL_WIDTH_EDGES, y: str = "y", p: str = "p", anchor: Column | None = None) -> DataFrame:
@@ -80,53 +87,76 @@ def bootstrap_draw(replicate: Column, k: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), k.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
 
 
-def numbered(df: DataFrame, key: str, name: str = "place", strips: int = 256) -> DataFrame:
-    """df with the rank from 0 of each row by a key that doesn't repeat. Ranks come in two levels: keys fall into strips
-    (of their range for whole numbers, by their first character otherwise), strips are counted, and windows run within
-    a strip."""
-    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
-        low, high = df.agg(F.min(key), F.max(key)).first()
-        width = max(1, -(-((high or 0) - (low or 0) + 1) // strips))
-        at = F.floor((F.col(key) - (low or 0)) / width).cast("int")
-    else:
-        at = F.ascii(F.col(key).cast("string"))
-    strip = df.withColumn("__strip", at)
-    counts = strip.groupBy("__strip").agg(F.count("*").alias("__k"))
-    before = counts.select("__strip", (F.sum("__k").over(Window.orderBy("__strip")) - F.col("__k")).alias("__before"))  # a row a strip
-    rank = F.row_number().over(Window.partitionBy("__strip").orderBy(key)) - 1 + F.col("__before")
-    return strip.join(F.broadcast(before), "__strip").withColumn(name, rank).drop("__strip", "__before")
-
-
 def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 2000, y: str = "y", ps: tuple[str, ...] = ("p",)) -> DataFrame:
     """2.5 % and 97.5 % quantiles of log loss and Brier over resampled clusters, and of the difference of the first two
-    probabilities' log losses. Rows are reduced to sums for each cluster first; only those are resampled, as
-    replicates times clusters short rows that are made where they are needed."""
-    one = df.groupBy(cluster).agg(F.count("*").cast("double").alias("n"), *[f.alias(f"{m}_{p}") for p in ps for m, f in (("ll", F.sum(log_loss(F.col(y), F.col(p)))), ("se", F.sum(squared_error(F.col(y), F.col(p)))))])
-    sums = numbered(one, cluster)
-    spark = df.sparkSession
-    n = max(1, one.count())
-    numbers = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("k"))
-    draws = numbers.withColumn("place", bootstrap_draw(F.col("replicate"), F.col("k"), F.lit(n)).cast("int"))
-    per = draws.join(sums, "place").groupBy("replicate").agg(*[(F.sum(f"{m}_{p}") / F.sum("n")).alias(f"{m}_{p}") for p in ps for m in ("ll", "se")])
+    probabilities' log losses.
+
+    Rows are reduced to sums for each cluster, and these to blocks of BLOCK clusters. Draws are counted where they are
+    made: a task keeps, for some replicates, how often each cluster of a block was drawn, so that what is shuffled is
+    one row a block of clusters and a slice of replicates, and multiplies these arrays with the block's sums."""
     names = [f"{m}_{p}" for p in ps for m in ("ll", "se")]
+    sums = [f(F.col(y), F.col(p)) for p in ps for f in (log_loss, squared_error)]
+    one = df.groupBy(cluster).agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(name) for x, name in zip(sums, names)])
+    placed = written(numbered(one.filter(F.col(cluster).isNotNull()), cluster), "clusters")
+    spark = df.sparkSession
+    n = max(1, placed.count())
+    together, width = max(1, min(SLICE, CELLS // n)), min(BLOCK, n)
+    blocks = placed.groupBy(F.expr(f"place div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct((F.col("place") % BLOCK).alias("place"), F.array("n", *names).alias("sums")))).alias("rows"))
+    blocks = blocks.select("block", F.flatten(F.col("rows.sums")).alias("sums"))
+    numbers = spark.range(0, replicates * n, 1, max(1, min(-(-replicates // together), 4 * spark.sparkContext.defaultParallelism)))
+    draws = numbers.select(F.expr(f"id div {n}").alias("replicate"), bootstrap_draw(F.expr(f"id div {n}"), F.col("id") % n, F.lit(n)).alias("place"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Draws come in the order of replicates; those of a slice are added up until the next begins."""
+        at, held = None, {}
+        for batch in batches:
+            replicate, place = (c.to_numpy() for c in batch.columns)
+            for part in np.unique(replicate // together):
+                mine = replicate // together == part
+                if part != at:
+                    yield from sent(at, held)
+                    at, held = part, {}
+                for block in np.unique(place[mine] // BLOCK):
+                    here = mine & (place // BLOCK == block)
+                    spot = (replicate[here] - part * together) * width + place[here] % BLOCK
+                    held.setdefault(int(block), np.zeros(together * width, np.int32))[:] += np.bincount(spot, minlength=together * width).astype(np.int32)
+        yield from sent(at, held)
+
+    def sent(part: int | None, held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for block, times in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int64()), pa.array([block], pa.int64()), pa.array([times])], ["slice", "block", "times"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, times, sums in zip(*(batch.column(k) for k in range(3))):
+                sums = sums.values.to_numpy().reshape(-1, 1 + len(names))
+                found = times.values.to_numpy().reshape(together, width)[:, : len(sums)] @ sums
+                live = np.flatnonzero(found[:, 0] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(part.as_py() * together + live), *(pa.array(found[live, c]) for c in range(found.shape[1]))], ["replicate", "n", *names])
+
+    counted = draws.mapInArrow(count, "slice long, block long, times array<int>")
+    made = counted.join(blocks, "block").select("slice", "times", "sums").mapInArrow(multiply, ", ".join(["replicate long", "n double", *(f"`{c}` double" for c in names)]))
+    per = made.groupBy("replicate").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in names])
     if len(ps) > 1:
         per = per.withColumn("ll_difference", F.col(f"ll_{ps[1]}") - F.col(f"ll_{ps[0]}"))
-        names.append("ll_difference")
-    flat = per.unpivot(["replicate"], names, "metric", "value")
-    return flat.groupBy("metric").agg(F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))
+    flat = per.unpivot(["replicate"], [c for c in per.columns if c != "replicate"], "metric", "value")
+    return flat.groupBy("metric").agg(F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))  # a row a replicate
 
 
 def slices(df: DataFrame, families: dict[str, Column], cluster: str, least: tuple[int, int, int, int] = (50, 5, 5, 10), y: str = "y", p: str = "p") -> DataFrame:
     """Metrics for each level of each family. A level is supported with at least (rows, ones, zeros, clusters);
-    others show their counts alone."""
+    others show their counts alone. Counts, losses and ranks come from one table of distinct scores; rows without a
+    score are left out."""
     names = {k: f"__f{i}" for i, k in enumerate(families)}
-    # several aggregates read these few columns: they are taken from df once
-    rows = written(df.select(F.col(y).alias("y"), F.col(p).alias("p"), F.col(cluster).alias("cluster"), *[c.cast("string").alias(names[k]) for k, c in families.items()]), "slices")
+    levels = [F.coalesce(c.cast("string"), F.lit("[missing]")).alias(names[k]) for k, c in families.items()]
+    rows = written(df.filter(F.col(p).isNotNull()).select(F.col(y).alias("y"), F.col(p).alias("p"), F.col(cluster).alias("cluster"), *levels), "slices")
     listed = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("level")) for k, n in names.items()])).alias("at")
-    flat = rows.select("y", "p", "cluster", listed).select("y", "p", "cluster", "at.family", F.coalesce("at.level", F.lit("[missing]")).alias("level"))
     keys = ["family", "level"]
-    counts = flat.groupBy(*keys).agg(F.countDistinct("cluster").alias("clusters"))
-    table = loss_table(flat, keys).join(counts, keys).join(rank_metrics(flat, keys), keys)
+    scores = by_score(rows.select("y", "p", listed).select("y", "p", "at.*"), keys)
+    # few sets of levels a cluster, so these are told apart before they are listed by family
+    met = rows.select("cluster", *names.values()).distinct().select("cluster", listed).select("cluster", "at.*").distinct()
+    clusters = met.groupBy(*keys).agg(F.count("cluster").alias("clusters"))
+    table = score_metrics(scores, keys).join(clusters, keys)
     ok = (F.col("n") >= least[0]) & (F.col("positives") >= least[1]) & (F.col("n") - F.col("positives") >= least[2]) & (F.col("clusters") >= least[3])
     return table.select(*keys, "n", "positives", "clusters", ok.alias("supported"), *[F.when(ok, F.col(c)).alias(c) for c in ("log_loss", "brier", "roc_auc", "pr_auc")])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scores as S
 from ..operators import counting as C
+from ..operators.ranges import exact_quantiles
 from ..registry import query
 from ..sources.tables import sql_over, view
 from .analysis import ELIGIBLE, SEASON
@@ -152,9 +153,14 @@ def visible_goal_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_over("shots", body=GEOMETRY + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.05), 6) AS p05, round(quantile_cont({c}, 0.5), 6) AS median, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.95), 6) AS p95, round(max({c}), 6) AS most FROM f" for c in ("distance", "angle"))))
 def geometry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = measured(spark, sf_dir).unpivot([], ["distance", "angle"], "feature", "v")
-    stats = {"least": F.min("v"), "p05": F.expr("percentile(v, 0.05)"), "median": F.expr("percentile(v, 0.5)"), "mean": F.avg("v"), "p95": F.expr("percentile(v, 0.95)"), "most": F.max("v")}
-    return flat.groupBy("feature").agg(*[F.round(f, 6).alias(k) for k, f in stats.items()])
+    """Quantiles are exact, by ranges of distinct values."""
+    columns = ["distance", "angle"]
+    rows = measured(spark, sf_dir).select(*columns)
+    stats = rows.unpivot([], columns, "feature", "v").groupBy("feature").agg(F.min("v").alias("least"), F.avg("v").alias("mean"), F.max("v").alias("most"))
+    shares = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    found = exact_quantiles(rows, columns, list(shares.values())).groupBy(F.col("name").alias("feature"))
+    quantiles = found.agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(k) for k, q in shares.items()])
+    return stats.join(quantiles, "feature").select("feature", *[F.round(c, 6).alias(c) for c in ("least", "p05", "median", "mean", "p95", "most")])
 
 
 @query(sql_over("shots", body="SELECT team_id, sum(CASE WHEN outcome_name = 'Goal' THEN 1 ELSE 0 END)::BIGINT AS goals, round(100.0::DOUBLE * sum(CASE WHEN outcome_name = 'Goal' THEN 1 ELSE 0 END) / nullif(count(outcome_name), 0), 2) AS conversion_pct FROM shots GROUP BY 1"))

@@ -8,7 +8,7 @@ from shotlake.functions import json_text as J
 from shotlake.operators import evaluation as E
 from shotlake.operators import features as X
 from shotlake.operators import merge as M
-from shotlake.operators import models
+from shotlake.operators import models, ranges
 from shotlake.operators import retrieval as R
 from shotlake.operators import splits as P
 from shotlake.sources import checks as C
@@ -206,13 +206,56 @@ def test_digest_of_many_rows(spark):
     assert row.n == 18_000_000 and int(row.low) + int(row.high) > 2 * 2**63 * 0.95
 
 
-def test_ranks_in_two_levels(spark):
+def test_numbers_of_keys(spark):
     keys = [-(10**12), -5, 0, 1, 2, 3, 700, 10**15]
-    got = E.numbered(spark.createDataFrame([(k,) for k in keys], "c long"), "c").collect()
+    got = ranges.numbered(spark.createDataFrame([(k,) for k in keys], "c long"), "c").collect()
     assert {r.c: r.place for r in got} == {k: i for i, k in enumerate(keys)}
-    names = ["", "a", "ab", "b", "é", "😀"]
-    assert {r.c: r.place for r in E.numbered(spark.createDataFrame([(k,) for k in names], "c string"), "c").collect()} == {k: i for i, k in enumerate(names)}
-    assert E.numbered(spark.createDataFrame([], "c long"), "c").count() == 0
+    names = sorted(["", "a", "ab", "b", *(f"user-{k:05d}" for k in range(300))])  # most share a prefix
+    assert {r.c: r.place for r in ranges.numbered(spark.createDataFrame([(k,) for k in names], "c string"), "c", ranges=7).collect()} == {k: i for i, k in enumerate(names)}
+    assert ranges.numbered(spark.createDataFrame([], "c long"), "c").count() == 0
+
+
+def test_ranges_are_even_beside_an_outlier(spark):
+    """One score far off and all others within a thousandth: no range has over twice the mean rows, and sums are exact."""
+    scores = spark.range(20_000).select((F.lit(0.5) + F.col("id") / 20_000_000).alias("p"), F.lit(1.0).alias("n")).unionByName(spark.createDataFrame([(1e9, 1.0)], "p double, n double"))
+    counts = [r["count"] for r in ranges.in_ranges(scores, [F.col("p").desc()], 16).groupBy("__range").count().collect()]
+    assert sum(counts) == 20_001 and max(counts) <= 2 * 20_001 / 16
+    ran = ranges.running_sums(scores, [], [("p", True)], ["n"], 16)
+    assert ran.agg(F.min("__to_n"), F.max("__to_n"), F.countDistinct("__to_n"), F.min("__all_n")).first()[:] == (1.0, 20_001.0, 20_001, 20_001.0)
+    assert ran.orderBy(F.desc("p")).first()["__to_n"] == 1.0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 40, 1001).astype(float), rng.normal(size=1001) ** 3
+    df = spark.createDataFrame([(float(x), None if k % 5 == 0 else float(z), None) for k, (x, z) in enumerate(zip(a, b))], "a double, b double, c double").repartition(5)
+    shares = [0.0, 0.025, 0.05, 0.5, 0.777, 1.0]
+    got = {(r["name"], r.share): r["value"] for r in ranges.exact_quantiles(df, ["a", "b", "c"], shares, 9).collect()}
+    assert len(got) == 12 and not any(name == "c" for name, _ in got)
+    for name, values in (("a", a), ("b", b[np.arange(1001) % 5 != 0])):
+        for q in shares:
+            assert got[name, q] == pytest.approx(np.quantile(values, q), abs=1e-12)
+            assert got[name, q] == pytest.approx(df.agg(F.expr(f"percentile({name}, {q})")).first()[0], abs=1e-12)
+    assert ranges.exact_quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
+def test_bootstrap_against_plain_draws(spark, monkeypatch):
+    import hashlib
+
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.random() < 0.4), float(rng.random()), f"c{int(k)}") for k in rng.integers(0, 23, 400)]
+    names = sorted({g for _, _, g in rows})
+    sums = np.array([[sum(1.0 for *_, g in rows if g == c), sum(-np.log(p if y else 1 - p) for y, p, g in rows if g == c), sum((y - p) ** 2 for y, p, g in rows if g == c)] for c in names])
+    values = []
+    for r in range(100):
+        drawn = [int(hashlib.md5(f"{r}:{k}".encode()).hexdigest()[:8], 16) % len(names) for k in range(len(names))]
+        t = sums[drawn].sum(axis=0)
+        values.append((t[1] / t[0], t[2] / t[0]))
+    expected = {m: (np.quantile([v[i] for v in values], 0.025), np.quantile([v[i] for v in values], 0.975)) for i, m in enumerate(("ll_p", "se_p"))}
+    for block in (8192, 5):  # one block, and several
+        monkeypatch.setattr(E, "BLOCK", block)
+        got = {r.metric: (r.low, r.high) for r in E.cluster_bootstrap(spark.createDataFrame(rows, SCORED), "g", 100).collect()}
+        assert got.keys() == expected.keys() and all(got[m] == pytest.approx(expected[m], abs=1e-12) for m in got)
 
 
 def test_quarantine_of_unreadable_documents(spark, tmp_path):
