@@ -57,13 +57,19 @@ BAD, GOOD = {"hard": 9.0, "form": 7.0, "side": 7.0, "soft": 7.0, "header": 4.0},
 #: short list item; and what a block outside the primary element loses, by that element's mark.
 WORD, LONG, NONE, LINKED, HEADING, SHORT_ITEM = 0.15, 2.0, -0.5, -4.0, 0.5, -1.0
 OUTSIDE = {"article": -2.5, "main": -2.5, "content": -1.0}
+#: A section inside the primary element whose name only begins like furniture ("navigation-basics"), or whose id alone
+#: says so ("menus", an id made from its heading), is about that topic if it holds so many words that are no links.
+#: Comments of readers stay what they are.
+TOPIC_WORDS = 40
+_READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: The share of unmarked prose that a primary element holds at least, and the smoothness of two parts of one element.
 PRIMARY, SMOOTH, EPSILON = 0.5, 1.6, 1e-9
 _SPACE = " "
 
 
-def _named(value: str) -> str | None:
-    """What a class or id value says: a mark, or None. Names are read by their last word that isn't generic."""
+def _named(value: str) -> tuple[str | None, bool]:
+    """What a class or id value says: a mark, or None, and whether only the beginning of a name says so. Names are read
+    by their last word that isn't generic."""
     found = None
     for token in value.split():
         words = [w.lower() for w in _WORD.findall(token)]
@@ -74,17 +80,17 @@ def _named(value: str) -> str | None:
             core.pop()
         last = core[-1]
         if last in _FURNITURE or (words[0] in _LEADS and not last.endswith("layout")) or (words[0] in _RELATED and words[-1] in _ELSEWHERE):
-            return "side" if last in _SIDE else "soft"
+            return ("side" if last in _SIDE else "soft"), last not in _FURNITURE and words[0] not in _READERS
         if last in _HEADER:
             found = "header"
         elif found is None and last in _CONTENT:
             found = "content"
-    return found
+    return found, False
 
 
-def _mark(name: str, attributes: str) -> tuple[str | None, bool]:
-    """(mark, whether the element isn't shown)."""
-    mark, hidden = _NAMES.get(name), False
+def _mark(name: str, attributes: str) -> tuple[str | None, bool, bool]:
+    """(mark, whether the element isn't shown, whether the mark may be the topic of a section)."""
+    mark, hidden, topic = _NAMES.get(name), False, False
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (values[0] or values[1] or values[2])
@@ -101,17 +107,20 @@ def _mark(name: str, attributes: str) -> tuple[str | None, bool]:
             elif key == "class" or (key == "id" and name not in _PLAIN):
                 if key == "class" and re.search(r"(?:^|\s)(?:hidden|visually-hidden|sr-only|screen-reader-text)(?:\s|$)", value) and not re.search(r":(?:block|flex|grid|inline)", value):
                     hidden = True
-                said = _named(value)
+                said, begins = _named(value)
+                about = begins or (key == "id" and said in ("soft", "side") and not _READERS & {w.lower() for w in _WORD.findall(value)})
                 if said is not None and (mark is None or (mark in ("article", "main", "content") and said in ("soft", "side"))):
-                    mark = said
-    return mark, hidden
+                    mark, topic = said, about
+                elif said in ("soft", "side") and not about:
+                    topic = False  # a second name says the same for sure
+    return mark, hidden, topic
 
 
 class Page:
     """The element tree and the blocks of a page. Element 0 is the page itself; parents come before their children."""
 
     def __init__(self, html: str):
-        self.parents, self.tags, self.marks, self.shown = [0], [""], [None], [True]
+        self.parents, self.tags, self.marks, self.shown, self.topics = [0], [""], [None], [True], [False]
         #: text, words, share of links, element, nearest block element, the one around that, depth, and the depth that
         #: the block shares with the one before it (both in block elements)
         self.blocks: list[tuple[str, int, float, int, int, int, int, int]] = []
@@ -188,11 +197,12 @@ class Page:
             self._end(name)
         elif attributes.endswith("/") and (self._places["svg"] or self._places["math"]):
             return
-        mark, hidden = _mark(name, attributes)
+        mark, hidden, topic = _mark(name, attributes)
         number = len(self.parents)
         self.parents.append(self._numbers[-1])
         self.tags.append(name)
         self.marks.append(mark)
+        self.topics.append(topic)
         self.shown.append(not hidden or name in ("html", "body"))
         self._places[name].append(len(self._names))
         if block:
@@ -245,8 +255,8 @@ class Page:
                 return best
         return 0
 
-    def costs(self) -> list[float]:
-        """Of each block, above zero for content."""
+    def costs(self, none: float = NONE) -> list[float]:
+        """Of each block, above zero for content; none is what an empty block would cost."""
         n = len(self.parents)
         weighs = [BAD.get(m, 0.0) if s else BAD["hard"] for m, s in zip(self.marks, self.shown)]
         furniture = [w >= BAD["soft"] for w in weighs]
@@ -254,6 +264,9 @@ class Page:
         for _, words, linked, element, *_ in self.blocks:
             if linked < 0.5:
                 free[element] += words
+        prose = list(free)
+        for e in range(n - 1, 0, -1):
+            prose[self.parents[e]] += prose[e]
         for e in range(n - 1, 0, -1):
             if not furniture[e]:
                 free[self.parents[e]] += free[e]
@@ -270,6 +283,8 @@ class Page:
         for e in range(1, n):
             above, mark, tag = self.parents[e], self.marks[e], self.tags[e]
             inside[e] = inside[above] or e == primary
+            if inside[e] and self.topics[e] and self.shown[e] and prose[e] >= TOPIC_WORDS:
+                weighs[e] = 0.0
             sure[e] = sure[above] or mark in ("article", "main")
             main[e] = main[above] or mark == "main"
             heading[e], item[e] = heading[above] or tag in _HEADINGS, item[above] or tag == "li"
@@ -279,7 +294,7 @@ class Page:
         out = []
         for _, words, linked, e, *_ in self.blocks:
             cost = -weighs[e] if weighs[e] else good[e] if inside[e] or main[e] else good[e] + outside
-            cost += min(LONG, WORD * words) + NONE + (LINKED * linked if words < 40 else 0.0)
+            cost += min(LONG, WORD * words) + none + (LINKED * linked if words < 40 else 0.0)
             out.append(cost + (HEADING if heading[e] else SHORT_ITEM if item[e] and words < 4 else 0.0))
         return out
 
@@ -364,6 +379,8 @@ def _flow(cost: list[float], left: list[dict[int, float]], side: list[bool | Non
 def main_text(html: str | None) -> str:
     page = Page(html or "")
     keep = min_cut(page.costs(), page.edges())
+    if not any(keep):  # a page of short blocks alone: they have nothing longer to be less likely than
+        keep = min_cut(page.costs(none=0.0), page.edges())
     return "\n\n".join(b[0] for b, k in zip(page.blocks, keep) if k)
 
 

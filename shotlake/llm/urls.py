@@ -86,11 +86,12 @@ def _possible(urls: DataFrame, keys: DataFrame, url_col: str) -> DataFrame:
     return passed.distinct()
 
 
-def _keys_of(host: Column, path: Column, lengths: list[int] | None) -> Column:
-    """All keys under which a list could hold a url: rules for its host and the domains above it with each start of its
-    path (of the lengths that rules have, or of any length), and its canonical form."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _keys_of(host: Column, path: Column, lengths: list[int] | None, labels: list[int]) -> Column:
+    """All keys under which a list could hold a url: rules for its host and the domains above it (of as many labels as
+    rules' hosts have) with each start of its path (of the lengths that rules have, or of any length), and its
+    canonical form. A host of very many labels costs no more than a rule's hosts do."""
+    most = F.size(F.split(host, r"\."))
+    suffixes = F.array_compact(F.array(*[F.when(most >= n, F.substring_index(host, ".", -n)) for n in labels])) if labels else F.array().cast("array<string>")
     if lengths is None:
         tried = F.sequence(F.lit(0), F.length(path))
     else:
@@ -109,8 +110,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     listed_keys = listed.filter("canonical <> ''").select(F.concat(F.lit("u "), "canonical").alias("key")).distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
     keys = hold(rule_keys.unionByName(listed_keys), "url-keys")
     lengths = [r[0] for r in rules.select(F.length("rule_path").alias("n")).dropna().distinct().limit(MAX_LENGTHS + 1).collect()]
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).filter("n > 0").distinct().collect())  # a domain name has 127 at most
     parsed = pages.select(id_col, url_col).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    urls = parsed.select(url_col, _keys_of(F.col("host"), F.col("path"), lengths if len(lengths) <= MAX_LENGTHS else None).alias("keys"))
+    urls = parsed.select(url_col, _keys_of(F.col("host"), F.col("path"), lengths if len(lengths) <= MAX_LENGTHS else None, labels).alias("keys"))
     # the exact join: one row a url that a list holds, however many rows have that url
     found = hold(
         _possible(urls, keys, url_col).join(broadcast_if_small(keys), "key").groupBy(url_col).agg(

@@ -69,6 +69,49 @@ CASES = {
 }
 
 
+TOPICS = ['id="navigation-basics"', 'id="cookie-recipes"', 'id="menus"', 'id="notices"', 'class="ad-hoc-queries"', 'class="banner-year"', 'id="search-trees"', 'id="footer-design"']
+
+
+@pytest.mark.parametrize("attribute", TOPICS)
+def test_sections_named_after_topics_stay(attribute):
+    section = f"<section {attribute}><h2>Its heading here</h2><p>{'Prose of the section goes on. ' * 14}</p></section>"
+    html = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{'First part of it. ' * 12}</p>{section}<p>{'Last part of it. ' * 12}</p></article></body>"
+    found = H.main_text(html)
+    assert "Its heading here" in found and ("Prose of the section goes on. " * 14).strip() in found and "Home" not in found
+
+
+@pytest.mark.parametrize("attribute", ['class="ad-slot"', 'class="comment-body"', 'id="comments"', 'class="cookie-notice"', 'class="newsletter-signup"', 'class="advert" id="navigation-basics"', 'id="comment-list"'])
+def test_furniture_inside_the_article_goes(attribute):
+    n = 3 if "ad-slot" in attribute else 14
+    html = f"<article><h1>Title</h1><p>{'First part of it. ' * 12}</p><div {attribute}><p>{'Words that are none of it. ' * n}</p></div><p>{'Last part of it. ' * 12}</p></article>"
+    assert "none of it" not in H.main_text(html)
+
+
+def test_short_pages_keep_their_text():
+    assert H.main_text("<div><p>Yes.</p><p>No it is not so.</p></div>") == "Yes.\n\nNo it is not so."
+    assert H.main_text("<nav><a href=/>Home</a></nav><footer>x</footer>") == "" == H.main_text('<ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul>')
+
+
+def test_precision_and_recall_with_topic_sections():
+    """Labelled pages whose sections are named after topics that furniture is named after as well."""
+    rng = random.Random(21)
+    names = ["navigation-basics", "cookie-recipes", "menus", "notices", "ad-hoc-queries", "banner-year", "search-trees", "widget-makers", "share-prices", "newsletter-history", "alerts", "popup-books"]
+    hit = got = want = 0
+    for _ in range(300):
+        html, blocks = labelled(rng)
+        title, text = words(rng, 2, 6), words(rng, 45, 120)
+        attribute = rng.choice(["id", "class"]) if "-" in (name := rng.choice(names)) else "id"
+        section = f'<section {attribute}="{name}"><h2>{title}</h2><p>{text}</p></section>'
+        if "<article" not in html:
+            continue
+        spot = html.rindex("</h1>") + 5 if html.count("</h1>") == 1 else html.index("</h1>") + 5
+        found, true = Counter(H.main_text(html[:spot] + section + html[spot:]).split("\n\n")), Counter([*blocks, title, text])
+        weigh = lambda c: sum(n * len(t.split()) for t, n in c.items())
+        hit, got, want = hit + weigh(found & true), got + weigh(found), want + weigh(true)
+    print(f"precision {hit / got:.4f}, recall {hit / want:.4f} of words")
+    assert want > 10_000 and hit / got > 0.97 and hit / want > 0.97
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_markup(name):
     html, want = CASES[name]

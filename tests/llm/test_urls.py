@@ -72,3 +72,25 @@ def test_listed_pages_are_found_by_their_other_urls(spark):
     given = spark.createDataFrame([("a.com", "/", None), ("b.com", "/", "allow"), ("b.com", "/", "block")], "rule_host string, rule_path string, verdict string")
     listed = spark.createDataFrame([("a.com/x",), ("",), (None,)], "canonical string")
     assert {r.page_id for r in urls.url_filter(pages, given, listed).filter("verdict = 'block'").collect()} == {1, 2}
+
+
+def test_hosts_of_very_many_labels(spark):
+    """32,000 labels before a rule's host, and a host that is only longer in its last label."""
+    import time
+
+    deep = ".".join(["a"] * 32_000)
+    pages = spark.createDataFrame([(1, f"http://{deep}.b.net/x"), (2, "http://bb.net/x"), (3, "http://b.net/x"), (4, f"http://{deep}")], "page_id long, url string")
+    rules = spark.createDataFrame([("b.net", "/", "block"), ("net", "/", "allow")], "rule_host string, rule_path string, verdict string")
+    began = time.perf_counter()
+    got = {r.page_id: r.rule for r in urls.url_filter(pages, rules, spark.createDataFrame([], "canonical string")).collect()}
+    assert got == {1: "b.net/", 2: "net/", 3: "b.net/", 4: None} and time.perf_counter() - began < 30
+
+
+def test_decisions_that_only_the_join_makes(spark):
+    """A list from one part of the pages decides about other urls of the same documents in the other part."""
+    pages = spark.range(400).selectExpr("id as page_id", "concat(case when id % 4 = 0 then 'http://www.' when id % 4 = 1 then 'https://m.' when id % 4 = 2 then 'http://' else 'https://blog.' end, 's', id div 4 % 7, '.net/', id div 4, case when id % 2 = 0 then '.html' else '/' end, case when id % 3 = 0 then '?x=1' else '' end) as url")
+    host, path = urls.host_of(pages.url), urls.path_of(pages.url)
+    listed = pages.filter("page_id % 4 = 0 and page_id div 4 % 7 = 3").select(urls.canonical(host, path).alias("canonical"))
+    none = spark.createDataFrame([], "rule_host string, rule_path string, verdict string")
+    blocked = {r.page_id for r in urls.url_filter(pages, none, listed).filter("verdict = 'block'").collect()}
+    assert blocked == {k for k in range(400) if k // 4 % 7 == 3} and sum(k % 4 != 0 for k in blocked) > 30
