@@ -167,10 +167,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = MIN_BLOCK_WORDS, groups: DataFrame | None = None) -> DataFrame:
-    """Rows (o, h, gone) for documents that lose lines: o is the integer id (null: the largest long), h the text's hash,
-    gone the positions from 0 of the lines to delete. groups has rows (o, h, group, leads), one a document: only
-    documents that lead are holders, and nothing is deleted for a holder of the same group."""
+def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = MIN_BLOCK_WORDS, groups: DataFrame | None = None) -> DataFrame:
+    """Rows (o, h, fo, fh, gone), held, for documents that lose lines to a holder: o and fo are their integer ids (null:
+    the largest long), h and fh their texts' hashes, gone the positions from 0 of the lines to delete. groups has rows
+    (o, h, group, leads), one a document: only documents that lead are holders, and nothing is deleted for a holder of
+    the same group."""
     spark = docs.sparkSession
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +183,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [common_blocks(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["o", "h", "gone"])
+            gone = [common_blocks(*row, block_words) for row in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(gone, pa.list_(pa.int32()))], ["o", "h", "fo", "fh", "gone"])
 
     lines = _lines(docs, id_col, text_col).dropDuplicates(["o", "h"])
     if groups is None:
@@ -204,17 +205,24 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         # held as well: one document may be the first holder for very many others
         heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
         both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
-        found = hold(both.select("o", "h", "earlier", "later", "sizes").mapInArrow(align, "o long, h long, gone array<int>").filter(F.size("gone") > 0), "aligned")
+        return hold(both.select("o", "h", "fo", "fh", "earlier", "later", "sizes").mapInArrow(align, "o long, h long, fo long, fh long, gone array<int>").filter(F.size("gone") > 0), "aligned")
     finally:
         spark.conf.set(batch, before)
-    # a document has a pair for each of its lines at most
+
+
+def deletions(found: DataFrame) -> DataFrame:
+    """Rows (o, h, gone): all lines that each document loses, from aligned(). It has a holder for each at most."""
     return found.groupBy("o", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, **options) -> DataFrame:
     """docs with the deleted lines gone from the texts. report adds __ld_lines, __ld_gone (deleted positions) and __ld_x
-    (the hash of the text before)."""
-    found = hold(deletions(docs, id_col, text_col, **options), "deletions").select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_h"), F.col("gone").alias("__ld_gone"))
+    (the hash of the text before). Options are those of aligned()."""
+    return _cut(docs, aligned(docs, id_col, text_col, **options), id_col, text_col, report)
+
+
+def _cut(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, report: bool) -> DataFrame:
+    found = hold(deletions(pairs), "deletions").select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_h"), F.col("gone").alias("__ld_gone"))
     keyed = docs.withColumn("__ld_k", F.coalesce(F.col(id_col), F.lit(_LAST))).withColumn("__ld_x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(found, (F.col("__ld_k") == F.col("__ld_o")) & (F.col("__ld_x") == F.col("__ld_h")), "left")
     split = F.split(F.col(text_col), "\n")
@@ -227,16 +235,17 @@ def line_dedup_before(docs: DataFrame, groups_of: Callable[[DataFrame], DataFram
     """line_dedup (with its report) before a step that keeps one document of each group, so that no deleted text goes
     with a dropped document. groups_of gives the step's groups as rows (o, h, group, leads) of a table of documents.
 
-    Documents that lead their group before the deletion but would no longer after it are made holders of nothing, and
-    the deletion is done again, until every holder is kept; documents without a word left are gone by then and hold
-    nothing. Each round takes at least one holder, most corpora need one or two rounds."""
+    Holders that lead their group before the deletion but would no longer after it are made holders of nothing, and the
+    deletion is done again, until every holder is kept; documents without a word left are gone by then and hold nothing.
+    Each round takes at least one holder; see the README for how many rounds are seen."""
     groups = hold(groups_of(docs), "groups")
     while True:
-        done = hold(line_dedup(docs, id_col, text_col, report=True, groups=groups, **options), "cut")
+        pairs = aligned(docs, id_col, text_col, groups=groups, **options)
+        done = hold(_cut(docs, pairs, id_col, text_col, True), "cut")
         left = done.filter(~emptied(text_col)).withColumns({"__ld_o": F.coalesce(F.col(id_col), F.lit(_LAST)), "__ld_now": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
         after = groups_of(left.select(*docs.columns)).filter(~F.col("leads")).select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_now"))
-        follows = left.join(after, ["__ld_o", "__ld_now"], "left_semi").select(F.col("__ld_o").alias("o"), F.col("__ld_x").alias("h")).distinct()
-        lost = hold(groups.filter("leads").join(follows, ["o", "h"], "left_semi").select("o", "h", F.lit(True).alias("lost")), "lost-holders")
+        follows = left.select("__ld_o", "__ld_now", "__ld_x").join(after, ["__ld_o", "__ld_now"], "left_semi").select(F.col("__ld_o").alias("fo"), F.col("__ld_x").alias("fh"))
+        lost = hold(pairs.select("fo", "fh").distinct().join(follows, ["fo", "fh"], "left_semi").select(F.col("fo").alias("o"), F.col("fh").alias("h"), F.lit(True).alias("lost")), "lost-holders")
         if lost.isEmpty():
             return done
         groups = hold(groups.join(lost, ["o", "h"], "left").withColumn("leads", F.col("leads") & F.col("lost").isNull()).drop("lost"), "groups")

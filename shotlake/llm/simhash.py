@@ -223,8 +223,10 @@ def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.
     return x[:, 0], x[:, 1]
 
 
-def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY, radius: int = NEAR, both_radius: int = NEAR_BOTH) -> DataFrame:
-    """Rows (node, label) for texts that have a link: label is the least node reachable. node_col has a text's hash."""
+def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY, radius: int = NEAR, both_radius: int = NEAR_BOTH, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, signatures). links: rows (node, label) for texts that have one; label is the least node reachable, and
+    node_col has a text's hash. signatures, held, has each text's fingerprints (node, fp, more); those of an earlier
+    call may be given as known, so that only other texts are signed."""
     spark = docs.sparkSession
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,12 @@ def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size:
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], ["a", "b"])
 
     texts = docs.select(F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    signed = hold(texts.mapInArrow(sign, "node long, fp long, more long"), "signatures")
+    new = texts
+    if known is not None:  # few texts are new as a rule, and then no text is shuffled to find them
+        new = texts.join(broadcast_if_small(hold(texts.select("node").distinct().join(known.select("node"), "node", "left_anti"), "new-texts")), "node")
+    signed = hold(new.mapInArrow(sign, "node long, fp long, more long"), "signatures")
+    if known is not None:
+        signed = signed.unionByName(known.join(texts.select("node"), "node", "left_semi"))
     nodes = hold(signed.dropDuplicates(["node"]), "texts")
     near = hold(components(near_links(nodes, radius, both_radius=both_radius)), "candidates")
     few = texts.join(broadcast_if_small(near), "node").groupBy("node").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text"))
@@ -264,20 +271,28 @@ def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size:
         links = hold(jobs.select("texts").mapInArrow(check, "a long, b long"), "similar")
     finally:
         spark.conf.set(batch, before)
-    return components(links)
+    return components(links), nodes
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows (o, h, group, leads) for each distinct document, of integer id (o; null: the largest long) and text hash
-    (h): the group of texts that links of enough similarity connect, and whether drop_near_texts keeps the document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
-    labels = hold(similar_texts(marked, "h", "text", **options), "labels").withColumnRenamed("node", "h")
-    found = hold(marked.select("k", "h").distinct().join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("group")), "groups")
-    ahead = _leaders(found, ["group"], "k", "h").select("k", "h", F.lit(True).alias("leads"))
-    rows = found.alias("f").join(ahead.alias("a"), F.expr("f.k <=> a.k and f.h = a.h"), "left")
-    # a null id and the largest one with the same text are one document
-    return rows.groupBy(F.coalesce("f.k", F.lit((1 << 63) - 1)).alias("o"), F.col("f.h").alias("h")).agg(F.min("group").alias("group"), F.max(F.coalesce("leads", F.lit(False))).alias("leads"))
+class NearGroups:
+    """The groups of drop_near_texts, for tables that differ in some of their texts: signatures of texts that an earlier
+    call has seen are kept. Options are those of similar_texts."""
+
+    def __init__(self, id_col: str = "doc_id", text_col: str = "text", **options):
+        self.id_col, self.text_col, self.options, self.known = id_col, text_col, options, None
+
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        """Rows (o, h, group, leads) for each distinct document, of integer id (o; null: the largest long) and text hash
+        (h): the group of texts that links of enough similarity connect, and whether drop_near_texts keeps the document."""
+        text = F.coalesce(F.col(self.text_col), F.lit(""))
+        marked = docs.select(F.col(self.id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+        links, self.known = similar_texts(marked, "h", "text", known=self.known, **self.options)
+        labels = hold(links, "labels").withColumnRenamed("node", "h")
+        found = hold(marked.select("k", "h").distinct().join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("group")), "groups")
+        ahead = _leaders(found, ["group"], "k", "h").select("k", "h", F.lit(True).alias("leads"))
+        rows = found.alias("f").join(ahead.alias("a"), F.expr("f.k <=> a.k and f.h = a.h"), "left")
+        # a null id and the largest one with the same text are one document
+        return rows.groupBy(F.coalesce("f.k", F.lit((1 << 63) - 1)).alias("o"), F.col("f.h").alias("h")).agg(F.min("group").alias("group"), F.max(F.coalesce("leads", F.lit(False))).alias("leads"))
 
 
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -285,7 +300,7 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last), then of least text hash, stays. Equal texts are similar, as are texts without words. Options are those of
     similar_texts."""
     marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    labels = hold(similar_texts(marked, "__nd_hash", text_col, **options), "labels").withColumnRenamed("node", "__nd_hash")
+    labels = hold(similar_texts(marked, "__nd_hash", text_col, **options)[0], "labels").withColumnRenamed("node", "__nd_hash")
     found = marked.select(id_col, "__nd_hash").join(labels, "__nd_hash", "left").withColumn("group", F.coalesce("label", "__nd_hash"))
     return _leading(docs, marked, hold(found, "groups"), ["group"], id_col)
 

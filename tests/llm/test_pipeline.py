@@ -75,7 +75,7 @@ def test_no_line_is_lost(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     kept = P.one_of_near_duplicates(spark, P.unique_lines(spark, docs, sf_dir), sf_dir).collect()
     held = {x.strip() for r in kept for x in r.text.split("\n")}
-    groups = {(r.o, r.h): r for r in simhash.near_groups(docs).collect()}
+    groups = {(r.o, r.h): r for r in simhash.NearGroups()(docs).collect()}
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     leading = {x.strip() for r in rows if groups[r.doc_id, r.h].leads for x in (r.text or "").split("\n") if len(x.split()) >= 8}
     assert len(leading) > 5000 and len(leading - held) == 0

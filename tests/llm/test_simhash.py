@@ -136,7 +136,7 @@ def test_every_group_has_a_leader(spark):
         for drop in (simhash.drop_near_texts, lambda df: simhash.drop_near_duplicates(df, radius=20)):
             kept = drop(table).collect()
             assert len(kept) == 1 and kept[0].doc_id == (None if ids == (None, None) else 2**63 - 1)
-        assert sum(r.leads for r in simhash.near_groups(table).collect()) == 1
+        assert sum(r.leads for r in simhash.NearGroups()(table).collect()) == 1
 
 
 def test_repeated_lines_do_not_hide_near_texts(spark):

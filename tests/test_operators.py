@@ -9,8 +9,11 @@ from shotlake.operators import evaluation as E
 from shotlake.operators import features as X
 from shotlake.operators import merge as M
 from shotlake.operators import models, ranges
+from shotlake.operators import quality as Q
 from shotlake.operators import retrieval as R
 from shotlake.operators import splits as P
+from shotlake.operators import store as store_module
+from shotlake.operators.store import Batch, Refused, Store, bucketed
 from shotlake.sources import checks as C
 from shotlake.sources import documents as D
 
@@ -340,3 +343,66 @@ def test_platt_against_newton_and_failures(spark):
         models.fit_platt(spark.createDataFrame([(float(k), int(k > 3)) for k in range(8)], "z double, y int"))
     with pytest.raises(ValueError, match="not finite"):
         models.fit_platt(spark.createDataFrame([(None, 1), (1.0, 0)], "z double, y int"))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_store_keeps_batches(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s", 3)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, g int, v string")
+    batch = lambda rows, scope=None: {"t": Batch(frame(rows), ("k",), ("g", "v"), scope)}
+    held = lambda: sorted(tuple(r) for r in Store(spark, f"file://{tmp_path}/s").read("t").collect())
+    first, second = [(1, 1, "a"), (2, 1, None)], [(2, 1, None), (3, 2, "c")]
+    assert tuple(store.merge(batch(first)).first()) == ("t", 2, 2, 0, 2) and held() == sorted(first, key=lambda r: r[0])
+    for bad, reason in (([(2, 1, "x"), (9, 9, "y")], "changed"), ([(7, 1, "a"), (7, 2, "b")], "repeated"), ([(None, 1, "a")], "null")):
+        with pytest.raises(Refused, match=reason):
+            store.merge(batch(bad))
+        assert held() == first
+    with pytest.raises(Refused, match="missing"):
+        store.merge(batch([(2, 1, None)], lambda part: part.filter("g = 1")))
+    with pytest.raises(Refused, match="key is"):
+        store.merge({"t": Batch(frame(first), ("g",))})
+    assert tuple(store.merge(batch(second)).first()) == ("t", 2, 1, 1, 3) and held() == [*first, (3, 2, "c")]
+    assert tuple(store.merge(batch(second)).first()) == ("t", 2, 0, 2, 3) and len(store.parts("t")) == 2
+    assert tuple(store.merge(batch([])).first()) == ("t", 0, 0, 0, 3)
+    # a second table in the same run fails: the first one's rows are not seen either
+    with pytest.raises(Refused):
+        store.merge({"t": Batch(frame([(5, 5, "e")]), ("k",), ("g", "v")), "u": Batch(frame([(1, 1, "a"), (1, 1, "a")]), ("k",))})
+    assert held() == [*first, (3, 2, "c")] and store.names() == ["t"]
+    runs = [r.status for r in store.runs().orderBy("seq").collect()]
+    assert runs.count("failed") == 6 and runs.count("succeeded") == 5 and M.manifest_errors(store.runs()).count() == 0
+    with pytest.raises(Exception, match="(?i)already exists"):
+        Store.create(spark, f"file://{tmp_path}/s")
+
+
+def test_store_after_a_crash_and_beside_another_writer(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s", 2)
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    store.merge({"t": Batch(rows, ("k",), ("v",))})
+    seq, version = store._last()
+    store._append("gone", "running", seq + 1, version.buckets, [])  # its writer died
+    assert store.read("t").count() == 1
+    store.merge({"t": Batch(rows, ("k",), ("v",))})
+    assert {r.run_id: r.status for r in store.runs().collect()}["gone"] == "interrupted"
+    with pytest.raises(Exception, match="(?i)already exists"):
+        store._append("late", "succeeded", seq + 1, version.buckets, [])  # from the version before
+
+
+def test_bucketed_joins_shuffle_nothing(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = {t: bucketed(spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")), ["k"], 4, f"file://{tmp_path}/{t}") for t, n in (("a", 50), ("b", 40), ("c", 45))}
+        assert exchanges(Q.expect_foreign_key(kept["a"], ["k"], kept["b"], ["k"], "x")) == 1  # of the counts, one row a task
+        orphans = kept["a"].join(kept["b"], "k", "left_anti").join(kept["c"], "k", "left_anti")
+        assert exchanges(orphans) == 0 and orphans.count() == 5
+        extras = M.scope_extras(kept["a"], kept["b"], kept["c"], ["k"], ["k"])
+        assert exchanges(extras) == 0 and extras.count() == 5
+        assert exchanges(M.changed_rows(kept["b"], kept["a"], ["k"], ["v"])) == 0
+        # a session that did not write the part learns its buckets
+        spark.sql(f"DROP TABLE {store_module._name(f'file://{tmp_path}/b')}")
+        again = store_module.open_bucketed(spark, f"file://{tmp_path}/b", ["k"], 4)
+        assert exchanges(kept["a"].join(again, "k", "left_anti")) == 0 and again.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
