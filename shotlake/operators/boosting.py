@@ -2,7 +2,7 @@
 
 Columns are binned once, and rows that agree in fold and all bins become one cell with its count and its ones, so that
 work follows the cells, not the rows. Every pass is one job for all fits: tasks bring the cells' scores up to date, add
-up gradients, second derivatives and counts by (fit, leaf, column, bin), Spark deals these sums out by fit, and what
+up gradients, second derivatives and counts by (fit, leaf, column, bin), Spark deals these sums out by leaf, and what
 comes back is the best split of each leaf that was asked for. The driver keeps the trees alone.
 
 Trees grow best first: the leaf of largest gain is split next, until a tree has its leaves. As a leaf's best split does
@@ -186,19 +186,21 @@ class _Pass:
 
 def best_split(sums: np.ndarray, sizes: list[int], least: int) -> tuple | None:
     """(gain, column, bin, left sums) of the best split of a leaf with these sums by bin, or None."""
-    starts, best = np.cumsum([0, *sizes]), None
+    starts = np.cumsum([0, *sizes])
     g, h, n = sums[:, : sizes[0]].sum(axis=1)
-    for j in range(len(sizes)):
-        left = np.cumsum(sums[:, starts[j] : starts[j + 1]], axis=1)[:, :-1]
-        gl, hl, nl = left
-        gain = gl**2 / (hl + PENALTY) + (g - gl) ** 2 / (h - hl + PENALTY) - g**2 / (h + PENALTY)
-        able = (nl >= least) & (n - nl >= least) & (hl >= LEAST_CURVE) & (h - hl >= LEAST_CURVE)
-        if able.any():
-            k = int(np.argmax(np.where(able, gain, -np.inf)))
-            # sums of tasks differ in their last digits, which must not decide between equal gains
-            if gain[k] > 1e-9 and (best is None or gain[k] > best[0] * (1 + 1e-9)):
-                best = (float(gain[k]), j, k, tuple(float(v) for v in left[:, k]))
-    return best
+    left = np.cumsum(sums, axis=1)
+    column = np.repeat(np.arange(len(sizes)), sizes)
+    before = np.concatenate((np.zeros((3, 1)), left[:, starts[1:-1] - 1]), axis=1)
+    left = left - before[:, column]
+    gl, hl, nl = left
+    gain = gl**2 / (hl + PENALTY) + (g - gl) ** 2 / (np.maximum(h - hl, 0.0) + PENALTY) - g**2 / (h + PENALTY)
+    able = (nl >= least - 0.5) & (n - nl >= least - 0.5) & (hl >= LEAST_CURVE) & (h - hl >= LEAST_CURVE)
+    able[starts[1:] - 1] = False  # a split needs a bin on its right
+    if not able.any() or (most := gain[able].max()) <= 1e-9:
+        return None
+    # tasks' sums differ in their last digits, which must not decide between equal gains
+    k = int(np.flatnonzero(able & (gain >= most * (1 - 1e-9)))[0])
+    return float(gain[k]), int(column[k]), int(k - starts[column[k]]), tuple(float(v) for v in left[:, k])
 
 
 def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | None = None, folds: int = 5, rounds: int = 200, fold: str = "fold", label: str = "y") -> DataFrame:
@@ -247,22 +249,25 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
                 x, held, n, ones, margins = read(batch)
                 for f, node, found in shared.value.sums(x, held, n, ones, shared.value.scores(x, margins)):
                     total[f, node] = total[f, node] + found if (f, node) in total else found
-            for (f, node), found in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([node], pa.int32()), pa.array([found.ravel()])], ["fit", "node", "sums"])
+            if total:  # a row a leaf; sums travel as bytes, which nothing on the way takes apart
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.int32()), pa.array([k for _, k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["fit", "node", "sums"])
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
-                for f, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    found = found.values.to_numpy().reshape(3, -1)
+                for f, node, found in zip(*(c.to_pylist() for c in batch.columns)):
+                    found = np.frombuffer(found).reshape(3, -1)
                     total[f, node] = total[f, node] + found if (f, node) in total else found
+            rows = []
             for (f, node), found in total.items():
                 split = best_split(found, sizes, least[f])
                 whole = [float(v) for v in found[:, : sizes[0]].sum(axis=1)]
-                yield pa.RecordBatch.from_pylist([{"fit": f, "node": node, "whole": whole, "gain": split and split[0], "col": split and split[1], "bin": split and split[2], "below": split and list(split[3])}], schema=answer)
+                rows.append({"fit": f, "node": node, "whole": whole, "gain": split and split[0], "col": split and split[1], "bin": split and split[2], "below": split and list(split[3])})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=answer)
 
         answer = pa.schema([("fit", pa.int32()), ("node", pa.int32()), ("whole", pa.list_(pa.float64())), ("gain", pa.float64()), ("col", pa.int32()), ("bin", pa.int32()), ("below", pa.list_(pa.float64()))])
-        sums = state.mapInArrow(add, "fit int, node int, sums array<double>").repartition("fit")
+        sums = state.mapInArrow(add, "fit int, node int, sums binary").repartition("fit", "node")
         return sums.mapInArrow(choose, "fit int, node int, whole array<double>, gain double, col int, bin int, below array<double>").collect()  # a row a leaf asked for
 
     for r in range(rounds):

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import log_loss, sigmoid, squared_error
-from .counting import union_all
 
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,14 +24,6 @@ def logistic(c: float | None, n: int, label: str = "y") -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=0.0 if c is None else 1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200)
 
 
-#: The boosting grid: step size, depth (at most 8 or 16 leaves) and least rows of a leaf.
-BOOSTING_GRID = [(step, depth, least) for step in (0.03, 0.06, 0.1) for depth in (3, 4) for least in (20, 60)]
-
-
-def boosted(step: float, depth: int, least: int, rounds: int = 200, label: str = "y") -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=least, maxBins=255, seed=0)
-
-
 def perceptron(width: int, hidden: int = 8, rounds: int = 200, label: str = "y") -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[width, hidden, 2], blockSize=128, seed=0, maxIter=rounds)
 
@@ -49,21 +39,6 @@ def out_of_fold(rows: DataFrame, estimator_for, fold: str = "fold", folds: int =
     return out
 
 
-def boosting_scores(rows: DataFrame, points: list[tuple[float, int, int]] | None = None, rounds: int = 200, folds: int = 5, at_once: int = 4) -> DataFrame:
-    """(step, depth, least, fold, y, p): out-of-fold scores of every point of the grid. Some fits run at once, since one
-    alone leaves executors idle between its many short jobs."""
-    points = BOOSTING_GRID if points is None else points
-    jobs = [(point, k) for point in points for k in range(folds)]
-
-    def scores(job: tuple[tuple[float, int, int], int]) -> DataFrame:
-        (step, depth, least), k = job
-        model = boosted(step, depth, least, rounds).fit(rows.filter(F.col("fold") != k))
-        return model.transform(rows.filter(F.col("fold") == k)).select("fold", "y", vector_to_array("probability")[1].alias("p"), F.lit(step).alias("step"), F.lit(depth).alias("depth"), F.lit(least).alias("least"))
-
-    with ThreadPoolExecutor(at_once) as pool:
-        return union_all(list(pool.map(scores, jobs)))
-
-
 #: A fit by Newton's method: the fold that it leaves out (None: none) and C (None: no penalty).
 Fit = tuple[int | None, float | None]
 
@@ -146,10 +121,13 @@ def constant_out_of_fold(rows: DataFrame, fold: str = "fold", y: str = "y") -> D
     return rows.join(F.broadcast(rates), fold)
 
 
-def grid_best(scores: DataFrame, parameters: list[str], places: int | None = None) -> DataFrame:
-    """The grid point of least (mean fold log loss, mean fold Brier, parameters in order); scores: (parameters, fold, y, p).
-    places rounds the means, so that the order in which tasks add up can't decide a tie."""
-    folds = scores.groupBy(*parameters, "fold").agg(F.avg(log_loss(F.col("y"), F.col("p"))).alias("ll"), F.avg(squared_error(F.col("y"), F.col("p"))).alias("b"))
+def grid_best(scores: DataFrame, parameters: list[str], places: int | None = None, weight: Column | None = None) -> DataFrame:
+    """The grid point of least (mean fold log loss, mean fold Brier, parameters in order); scores: (parameters, fold, y, p),
+    and how many rows each stands for. places rounds the means, so that the order in which tasks add up can't decide a
+    tie."""
+    w = F.lit(1.0) if weight is None else weight
+    mean_of = lambda c: F.sum(w * c) / F.sum(w)
+    folds = scores.groupBy(*parameters, "fold").agg(mean_of(log_loss(F.col("y"), F.col("p"))).alias("ll"), mean_of(squared_error(F.col("y"), F.col("p"))).alias("b"))
     mean = lambda c: F.avg(c) if places is None else F.round(F.avg(c), places)
     means = folds.groupBy(*parameters).agg(mean("ll").alias("log_loss"), mean("b").alias("brier"))
     return means.agg(F.min(F.struct("log_loss", "brier", *parameters)).alias("best")).select("best.*")

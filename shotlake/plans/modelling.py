@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import boosting as B
 from ..operators import features as X
 from ..operators import models as M
 from ..registry import query
@@ -146,28 +147,28 @@ def grid_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql_over("scored", body="""
-, g AS (SELECT fold, y, step, depth, least, least(greatest(p * (1 + step) - depth / 100.0::DOUBLE, 0), 1) AS p FROM scored, (VALUES (0.03::DOUBLE), (0.06), (0.1)) AS s(step), (VALUES (3), (4)) AS d(depth), (VALUES (20), (60)) AS l(least)),
-f AS (SELECT step, depth, least, fold, avg(-ln(greatest(least(CASE WHEN y = 1 THEN p ELSE 1.0::DOUBLE - p END, 1.0::DOUBLE), 1e-15))) AS ll, avg((y - p) * (y - p)) AS b FROM g GROUP BY 1, 2, 3, 4), m AS (SELECT step, depth, least, avg(ll) AS log_loss, avg(b) AS brier FROM f GROUP BY 1, 2, 3)
-SELECT round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, step, depth, least FROM m ORDER BY round(m.log_loss, 12), round(m.brier, 12), step, depth, least LIMIT 1"""))
+, g AS (SELECT fold, y, step, leaves, least, least(greatest(p * (1 + step) - leaves / 300.0::DOUBLE, 0), 1) AS p FROM scored, (VALUES (0.03::DOUBLE), (0.06), (0.1)) AS s(step), (VALUES (7), (15)) AS d(leaves), (VALUES (20), (60)) AS l(least)),
+f AS (SELECT step, leaves, least, fold, avg(-ln(greatest(least(CASE WHEN y = 1 THEN p ELSE 1.0::DOUBLE - p END, 1.0::DOUBLE), 1e-15))) AS ll, avg((y - p) * (y - p)) AS b FROM g GROUP BY 1, 2, 3, 4), m AS (SELECT step, leaves, least, avg(ll) AS log_loss, avg(b) AS brier FROM f GROUP BY 1, 2, 3)
+SELECT round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, step, leaves, least FROM m ORDER BY round(m.log_loss, 12), round(m.brier, 12), step, leaves, least LIMIT 1"""))
 def boosting_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The choice of gbt_fit over a given table of scores. Points that differ in their least leaf alone tie, and the
     smaller one is taken."""
-    points = F.explode(F.array(*[F.struct(F.lit(a).alias("step"), F.lit(b).alias("depth"), F.lit(c).alias("least")) for a, b, c in M.BOOSTING_GRID])).alias("at")
-    p = F.least(F.greatest(F.col("p") * (1 + F.col("step")) - F.col("depth") / F.lit(100.0), F.lit(0.0)), F.lit(1.0))
+    points = F.explode(F.array(*[F.struct(F.lit(g.step).alias("step"), F.lit(g.leaves).alias("leaves"), F.lit(g.least).alias("least")) for g in B.GRID])).alias("at")
+    p = F.least(F.greatest(F.col("p") * (1 + F.col("step")) - F.col("leaves") / F.lit(300.0), F.lit(0.0)), F.lit(1.0))
     scores = view(spark, sf_dir, "scored").select("fold", "y", "p", points).select("fold", "y", "p", "at.*").withColumn("p", p)
-    return M.grid_best(scores, ["step", "depth", "least"], places=12).select(F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "step", "depth", "least")
+    return M.grid_best(scores, ["step", "leaves", "least"], places=12).select(F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "step", "leaves", "least")
 
 
 #: Rounds of the registered boosting query; the operator's own default is 200 (see the README for times).
-BOOSTING_ROUNDS = 10
+BOOSTING_ROUNDS = 20
 
 
 @query()
 def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees for all twelve points of the grid over all five folds: the point of least mean fold log loss (then
-    Brier, then the parameters in order)."""
-    rows, _ = _training(spark, sf_dir)
-    return M.grid_best(M.boosting_scores(rows, rounds=BOOSTING_ROUNDS), ["step", "depth", "least"])
+    """Boosted trees for all twelve points of the grid over all five folds, grown together: the point of least mean fold
+    log loss (then Brier, then the parameters in order)."""
+    rows, columns = _scaled(spark, sf_dir)
+    return M.grid_best(B.boosted_scores(rows, columns, rounds=BOOSTING_ROUNDS), ["step", "leaves", "least"], 12, F.col("weight"))
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotlake.functions import json_text as J
+from shotlake.operators import boosting as B
 from shotlake.operators import evaluation as E
 from shotlake.operators import features as X
 from shotlake.operators import merge as M
@@ -406,3 +407,78 @@ def test_bucketed_joins_shuffle_nothing(spark, tmp_path):
         assert exchanges(kept["a"].join(again, "k", "left_anti")) == 0 and again.count() == 40
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plain_boosting(x, y, point, rounds):
+    """Scores of all rows by trees grown best first on whole columns of bins, one fit alone."""
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    trees = []
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def split(rows):
+            best = None
+            for j in range(x.shape[1]):
+                for b in range(x[:, j].max() + 1):
+                    low = rows[x[rows, j] <= b]
+                    high = rows[x[rows, j] > b]
+                    if min(len(low), len(high)) < point.least or min(h[low].sum(), h[high].sum()) < B.LEAST_CURVE:
+                        continue
+                    gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                    if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-9)):
+                        best = (gain, j, b, low, high)
+            return best
+
+        leaves = [(np.arange(len(y)), [])]
+        found = [split(leaves[0][0])]
+        while len(leaves) < point.leaves and any(found):
+            k = max((i for i, s in enumerate(found) if s), key=lambda i: found[i][0])
+            _, j, b, low, high = found.pop(k)
+            _, path = leaves.pop(k)
+            for rows, side in ((low, True), (high, False)):
+                leaves.append((rows, [*path, (j, b, side)]))
+                found.append(split(rows))
+        values = [(path, -point.step * g[rows].sum() / (h[rows].sum() + 1)) for rows, path in leaves]
+        for (rows, _), (_, value) in zip(leaves, values):
+            margin[rows] += value
+        trees.append(values)
+    return margin, trees
+
+
+def test_boosting_of_all_fits_equals_plain_trees(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    a, b, c = rng.integers(0, 9, n).astype(float), rng.integers(0, 2, n).astype(float), rng.integers(0, 5, n) / 4
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.6 * (a - 4) * np.where(b > 0, 1, -1) + c)))).astype(int)
+    fold = np.arange(n) % 3
+    rows = spark.createDataFrame([(int(k), int(t), float(u), float(v), float(w)) for k, t, u, v, w in zip(fold, y, a, b, c)], "fold int, y int, a double, b double, c double").repartition(3)
+    points = [B.Point(0.1, 4, 10), B.Point(0.3, 7, 20)]
+    columns = ["a", "b", "c"]
+    edges = B.bin_edges(rows, columns)
+    x = np.column_stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, (a, b, c))])
+    got = {}
+    for r in B.boosted_scores(rows, columns, points, folds=3, rounds=10).collect():
+        got.setdefault((r.step, r.leaves, r.fold), []).append((r.y, round(r.p, 9), r.weight))
+    for point in points:
+        for k in range(3):
+            train = fold != k
+            margin, trees = plain_boosting(x[train], y[train].astype(float), point, 10)
+            base = np.log(y[train].mean() / (1 - y[train].mean()))
+            expected = {}
+            for row, label in zip(x[~train], y[~train]):
+                z = base + sum(value for tree in trees for path, value in tree if all((row[j] <= at) == side for j, at, side in path))
+                key = (int(label), round(float(1 / (1 + np.exp(-z))), 9))
+                expected[key] = expected.get(key, 0) + 1
+            found = {}
+            for label, p, weight in got[point.step, point.leaves, k]:
+                found[label, p] = found.get((label, p), 0) + weight
+            assert found == expected
+
+
+def test_bins_of_columns(spark):
+    df = spark.createDataFrame([(0.0, 5.0, None), (1.0, 5.0, 2.0), (1.0, 5.0, 3.0)], "a double, b double, c double").repartition(2)
+    edges = B.bin_edges(df, ["a", "b", "c"], 4)
+    assert [e.tolist() for e in edges] == [[0.0, 1.0], [5.0], [2.0, 3.0]]
+    cells = B.cells(df.withColumn("fold", F.lit(0)).withColumn("y", F.lit(1)), ["a", "b", "c"], edges).collect()
+    assert sorted((r.b0, r.b1, r.b2, r.n, r.ones) for r in cells) == [(0, 0, 0, 1.0, 1.0), (1, 0, 0, 1.0, 1.0), (1, 0, 1, 1.0, 1.0)]
