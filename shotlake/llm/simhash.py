@@ -35,6 +35,8 @@ SHINGLE, RADIUS, TILE = 4, 4, 16_384
 NEAR_SIZE, SIMILARITY, NEAR, NEAR_BOTH = 5, 0.8, 20, 32
 #: Texts and shingles of half a job.
 JOB_TEXTS, JOB_SHINGLES = 1024, 1_000_000
+#: Rows of three longs that are broadcast at most (some 50 MB on each executor), so that texts are not shuffled by hash.
+MANY = 1 << 20
 HASH_SEED = 42
 _ROWS = 32
 
@@ -223,10 +225,11 @@ def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.
     return x[:, 0], x[:, 1]
 
 
-def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY, radius: int = NEAR, both_radius: int = NEAR_BOTH, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, node_col: str, row_col: str, text_col: str = "text", size: int = NEAR_SIZE, similarity: float = SIMILARITY, radius: int = NEAR, both_radius: int = NEAR_BOTH, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, signatures). links: rows (node, label) for texts that have one; label is the least node reachable, and
     node_col has a text's hash. signatures, held, has each text's fingerprints (node, fp, more); those of an earlier
-    call may be given as known, so that only other texts are signed."""
+    call may be given as known, so that only other texts are signed. row_col, a long, tells rows of one text apart where
+    it can: of equal texts the one of the least is read again, the others are not."""
     spark = docs.sparkSession
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,16 +251,19 @@ def similar_texts(docs: DataFrame, node_col: str, text_col: str = "text", size:
                 i, j = similar([sets[k].values.to_numpy(zero_copy_only=False) for k in range(len(sets))], similarity)
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], ["a", "b"])
 
-    texts = docs.select(F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    new = texts
-    if known is not None:  # few texts are new as a rule, and then no text is shuffled to find them
-        new = texts.join(broadcast_if_small(hold(texts.select("node").distinct().join(known.select("node"), "node", "left_anti"), "new-texts")), "node")
-    signed = hold(new.mapInArrow(sign, "node long, fp long, more long"), "signatures")
+    texts = docs.select(F.col(node_col).alias("node"), F.coalesce(F.col(row_col), F.lit((1 << 63) - 1)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    # each text's first row, and how many rows agree in text and id with it
+    first = hold(texts.groupBy("node", "row").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("row", "n")).alias("first")).select("node", "first.*"), "texts")
+    new = texts if known is None else texts.join(broadcast_if_small(hold(first.join(known, "node", "left_anti").select("node", "row"), "new-texts"), MANY), ["node", "row"])
+    signed = hold(new.select("node", "text").mapInArrow(sign, "node long, fp long, more long"), "signatures")
     if known is not None:
-        signed = signed.unionByName(known.join(texts.select("node"), "node", "left_semi"))
-    nodes = hold(signed.dropDuplicates(["node"]), "texts")
+        signed = signed.unionByName(known.join(first, "node", "left_semi"))
+    nodes = hold(signed.dropDuplicates(["node"]), "nodes")
     near = hold(components(near_links(nodes, radius, both_radius=both_radius)), "candidates")
-    few = texts.join(broadcast_if_small(near), "node").groupBy("node").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text"))
+    chosen = hold(near.join(first, "node"), "chosen")
+    few = texts.join(broadcast_if_small(chosen, MANY), ["node", "row"]).select("node", "label", "text", "n")
+    if not chosen.filter("n > 1").isEmpty():  # rows that repeat id and text, the only texts that are shuffled
+        few = few.filter("n = 1").unionByName(few.filter("n > 1").dropDuplicates(["node"]))
     sets = hold(few.select("node", "label", "text").mapInArrow(cut, "node long, label long, shingles array<long>"), "shingles")
     parts = sets.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / JOB_TEXTS), F.ceil(F.sum(F.size("shingles")) / JOB_SHINGLES)).alias("parts"))
     mine = sets.join(hold(parts, "parts"), "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -286,7 +292,7 @@ class NearGroups:
         (h): the group of texts that links of enough similarity connect, and whether drop_near_texts keeps the document."""
         text = F.coalesce(F.col(self.text_col), F.lit(""))
         marked = docs.select(F.col(self.id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
-        links, self.known = similar_texts(marked, "h", "text", known=self.known, **self.options)
+        links, self.known = similar_texts(marked, "h", "k", "text", known=self.known, **self.options)
         labels = hold(links, "labels").withColumnRenamed("node", "h")
         found = hold(marked.select("k", "h").distinct().join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("group")), "groups")
         ahead = _leaders(found, ["group"], "k", "h").select("k", "h", F.lit(True).alias("leads"))
@@ -300,7 +306,7 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last), then of least text hash, stays. Equal texts are similar, as are texts without words. Options are those of
     similar_texts."""
     marked = docs.withColumn("__nd_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    labels = hold(similar_texts(marked, "__nd_hash", text_col, **options)[0], "labels").withColumnRenamed("node", "__nd_hash")
+    labels = hold(similar_texts(marked, "__nd_hash", id_col, text_col, **options)[0], "labels").withColumnRenamed("node", "__nd_hash")
     found = marked.select(id_col, "__nd_hash").join(labels, "__nd_hash", "left").withColumn("group", F.coalesce("label", "__nd_hash"))
     return _leading(docs, marked, hold(found, "groups"), ["group"], id_col)
 
