@@ -11,9 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _spelt(character: str) -> str:
+    """A pattern for a character as it is or as an escape."""
+    code = "".join(f"[{d}{d.upper()}]" if d.isalpha() else d for d in f"{ord(character):04x}")
+    return rf"(?:{re.escape(character)}|\\u{code})" if ord(character) < 0x10000 else re.escape(character)
+
+
 def has_key(text: Column, key: str) -> Column:
-    """Whether a key occurs at any depth; the same characters inside a string value do not count."""
-    return F.coalesce(text.rlike(rf'(?<!\\)"{re.escape(key)}"\s*:'), F.lit(False))
+    """Whether a key occurs at any depth, however it is spelt; the same characters inside a string value do not count."""
+    return F.coalesce(text.rlike(rf'(?<!\\)"{"".join(map(_spelt, key))}"\s*:'), F.lit(False))
 
 
 def _without(value: Any, key: str) -> Any:

@@ -122,7 +122,8 @@ def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.
 
 
 def cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], fold: str = "fold", label: str = "y") -> DataFrame:
-    """(fold, b0, b1, ..., n, ones): rows that agree in fold and all bins. A null value is in the first bin."""
+    """(fold, b0, b1, ..., n, ones): rows that agree in fold and all bins. A null value is in the first bin; rows without a
+    fold or label are left out."""
     names = [f"b{i}" for i in range(len(columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], fold: st
             made = [np.searchsorted(e, np.nan_to_num(batch.column(2 + i).to_numpy(zero_copy_only=False), nan=-np.inf), side="left").astype(np.int32) for i, e in enumerate(edges)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made)], ["fold", "y", *names])
 
-    read = rows.select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    read = rows.filter(F.col(fold).isNotNull() & F.col(label).isNotNull()).select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     binned = read.mapInArrow(run, "fold int, y double, " + ", ".join(f"{b} int" for b in names))
     return binned.groupBy("fold", *names).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("ones"))
 
@@ -205,7 +206,7 @@ def best_split(sums: np.ndarray, sizes: list[int], least: int) -> tuple | None:
 
 def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | None = None, folds: int = 5, rounds: int = 200, fold: str = "fold", label: str = "y") -> DataFrame:
     """(step, leaves, least, fold, y, p, weight): each cell's score by the fits that left its fold out, a row for its ones
-    and one for its zeros, weighted with their number."""
+    and one for its zeros, weighted with their number. ValueError if a fit would have one label alone."""
     points = GRID if points is None else points
     fits = [(point, k) for point in points for k in range(folds)]
     edges = bin_edges(rows, columns)
@@ -217,6 +218,8 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
     base = []
     for _, k in fits:
         n, ones = (sum(c[i] for f, c in counts.items() if f != k) for i in (0, 1))
+        if not 0 < ones < n:
+            raise ValueError(f"both labels must be among the rows of other folds than {k}")
         base.append(float(np.log(ones / (n - ones))))
     state = start.withColumn("margins", F.array(*map(F.lit, base)))
     schema = "fold int, " + ", ".join(f"{b} int" for b in names) + ", n double, ones double, margins array<double>"

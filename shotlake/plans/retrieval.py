@@ -22,6 +22,16 @@ def shots_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page(rows, ["match_id", "event_index", "event_id"], 5000, 100).select("event_id", "match_id", "player_id", "outcome_name", "x", "y").withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+@query(sql_over("shots", body="""
+, n AS (SELECT event_id, minute, player_id, row_number() OVER (ORDER BY minute, player_id DESC NULLS LAST, event_id) AS place FROM (SELECT DISTINCT event_id, minute, player_id FROM shots)) SELECT * FROM n WHERE place > 1400 AND place <= 2100"""))
+def shots_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of 700, by the tokens of those before it."""
+    rows, token, found = view(spark, sf_dir, "shots").select("event_id", "minute", "player_id").distinct(), R.START, None
+    for _ in range(3):
+        found, token = R.page_from(rows, {"minute": False, "player_id": True, "event_id": False}, 700, token)
+    return found
+
+
 @query(sql_over("shots", body=f"SELECT event_id, match_id, coalesce(play_pattern_name, 'None') AS play_pattern_name, body_part_name FROM shots WHERE {ELIGIBLE} AND coalesce(play_pattern_name, 'None') = 'None' AND body_part_name = 'Head' ORDER BY minute DESC NULLS LAST, event_id LIMIT 500"))
 def scored_shots_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.filter_equal(eligible_shots(view(spark, sf_dir, "shots")), FILTERS, play_pattern_name="None", body_part_name="Head")

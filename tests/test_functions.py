@@ -57,3 +57,14 @@ def test_json_keys(spark):
     got = rows.select(J.has_key(F.col("t"), "bad").alias("has"), J.strip_key(F.col("t"), "bad").alias("clean")).collect()
     assert [r.has for r in got] == [True, False, False, False]
     assert [r.clean for r in got] == ['{"a":{"x":[{"y":"é"}]}}', texts[1], None, "{}"]
+
+
+def test_keys_spelt_with_escapes(spark):
+    from shotlake.functions import json_text as J
+
+    texts = ['{"\\u0066orbidden": 1}', '{"a": {"forbidde\\u006E" : 2}}', '{"a": "\\"forbidden\\": no"}', '{"forbidden2": 1}', None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.f for r in rows.select("k", J.has_key(rows.t, "forbidden").alias("f")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
+    left = rows.filter("k < 2").select(J.strip_key(rows.t, "forbidden").alias("s")).collect()
+    assert [r.s for r in left] == ["{}", '{"a":{}}']

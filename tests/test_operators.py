@@ -482,3 +482,27 @@ def test_bins_of_columns(spark):
     assert [e.tolist() for e in edges] == [[0.0, 1.0], [5.0], [2.0, 3.0]]
     cells = B.cells(df.withColumn("fold", F.lit(0)).withColumn("y", F.lit(1)), ["a", "b", "c"], edges).collect()
     assert sorted((r.b0, r.b1, r.b2, r.n, r.ones) for r in cells) == [(0, 0, 0, 1.0, 1.0), (1, 0, 0, 1.0, 1.0), (1, 0, 1, 1.0, 1.0)]
+
+
+def test_pages_by_token(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, None if x == 3 else int(x), None if y == 0 else f"s{y}") for k, (x, y) in enumerate(rng.integers(0, 5, (230, 2)))]
+    table = spark.createDataFrame(rows, "id int, a int, b string").repartition(3)
+    order = {"a": False, "b": True, "id": False}
+    want = sorted(sorted(sorted(rows), key=lambda r: r[2] or "", reverse=True), key=lambda r: (r[1] is None, r[1] or 0))
+    token, got, pages = R.START, [], 0
+    while token is not None:
+        page, token = R.page_from(table, order, 50, token)
+        got += [tuple(r) for r in page.orderBy("place").collect()]
+        pages += 1
+    assert pages == 5 and [r[:3] for r in got] == want and [r[3] for r in got] == list(range(1, 231))
+    empty, token = R.page_from(table.limit(0), order, 50)
+    assert empty.count() == 0 and token is None and empty.columns == ["id", "a", "b", "place"]
+    plan = table.filter(R._after(list(order.items()), (1, "s2", 7)))._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 1" in plan
+
+
+def test_boosting_needs_both_labels(spark):
+    one = spark.createDataFrame([(k % 2, 1, float(k)) for k in range(10)] + [(None, 0, 1.0), (0, None, 1.0)], "fold int, y int, a double")
+    with pytest.raises(ValueError, match="both labels"):
+        B.boosted_scores(one, ["a"], [B.Point(0.1, 4, 1)], folds=2, rounds=1)
