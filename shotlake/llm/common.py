@@ -23,6 +23,18 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*held: DataFrame) -> None:
+    """Delete held tables that nothing will read again, and let Spark clean up shuffles that nothing refers to any more:
+    a long job would otherwise keep all of its steps on disk."""
+    for table in held:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if held:
+        held[0].sparkSession._jvm.System.gc()
+
+
 def broadcast_if_small(held: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Broadcast a held table only if its counted rows are few; else leave the join to Spark."""
     return F.broadcast(held) if held.limit(max_rows + 1).count() <= max_rows else held

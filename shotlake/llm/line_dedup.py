@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hold
+from .common import WORD, hold, release
 
 MIN_BLOCK_WORDS = 8
 #: Levels of the patience diff. Blocks that deeper ones would align are found by their runs.
 DEPTH = 32
+#: Documents with deletions that are broadcast at most, with eight times as many deleted lines (some 20 MB).
+MANY = 1 << 18
 _LAST = (1 << 63) - 1
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -205,9 +207,12 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         # held as well: one document may be the first holder for very many others
         heads = hold(lines.select(F.col("o").alias("fo"), F.col("h").alias("fh"), F.col("hashes").alias("earlier")).join(pairs.select("fo", "fh").distinct(), ["fo", "fh"], "left_semi"), "heads")
         both = pairs.join(heads, ["fo", "fh"]).join(lines.select("o", "h", F.col("hashes").alias("later"), "sizes"), ["o", "h"])
-        return hold(both.select("o", "h", "fo", "fh", "earlier", "later", "sizes").mapInArrow(align, "o long, h long, fo long, fh long, gone array<int>").filter(F.size("gone") > 0), "aligned")
+        found = hold(both.select("o", "h", "fo", "fh", "earlier", "later", "sizes").mapInArrow(align, "o long, h long, fo long, fh long, gone array<int>").filter(F.size("gone") > 0), "aligned")
     finally:
         spark.conf.set(batch, before)
+    del both
+    release(lines, seeds, first, pairs, heads)
+    return found
 
 
 def deletions(found: DataFrame) -> DataFrame:
@@ -222,7 +227,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _cut(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, report: bool) -> DataFrame:
-    found = hold(deletions(pairs), "deletions").select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_h"), F.col("gone").alias("__ld_gone"))
+    gone = hold(deletions(pairs), "deletions")
+    # texts are shuffled only to meet very many deletions
+    few = gone.agg(F.count("*") <= MANY, F.coalesce(F.sum(F.size("gone")), F.lit(0)) <= 8 * MANY).first()
+    found = (F.broadcast(gone) if all(few) else gone).select(F.col("o").alias("__ld_o"), F.col("h").alias("__ld_h"), F.col("gone").alias("__ld_gone"))
     keyed = docs.withColumn("__ld_k", F.coalesce(F.col(id_col), F.lit(_LAST))).withColumn("__ld_x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(found, (F.col("__ld_k") == F.col("__ld_o")) & (F.col("__ld_x") == F.col("__ld_h")), "left")
     split = F.split(F.col(text_col), "\n")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, hold, shuffle_partitions
+from .common import broadcast_if_small, components, hold, release, shuffle_partitions
 
 SHINGLE, RADIUS, TILE = 4, 4, 16_384
 #: For drop_near_texts. At a similarity of 0.8 fingerprints differ in about 0.15 of their bits: 10 of 64 and 19 of 128,
@@ -180,9 +180,11 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, both_radi
     before = spark.conf.get(batch)
     try:  # a row holds two tiles of up to 128 KB a word or so
         spark.conf.set(batch, 64 if both_radius is None else 16)
-        return hold(both.mapInArrow(compare, "a long, b long"), "near")
+        found = hold(both.mapInArrow(compare, "a long, b long"), "near")
     finally:
         spark.conf.set(batch, before)
+    release(tiles)
+    return found
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -277,6 +279,8 @@ def similar_texts(docs: DataFrame, node_col: str, row_col: str, text_col: str =
         links = hold(jobs.select("texts").mapInArrow(check, "a long, b long"), "similar")
     finally:
         spark.conf.set(batch, before)
+    del few, mine, dealt, jobs  # so that their shuffles can go
+    release(sets)
     return components(links), nodes
 
 
