@@ -27,7 +27,10 @@ def location_error(x: Column, y: Column) -> Column:
 
 
 def distance_to_goal(x: Column, y: Column) -> Column:
-    return F.hypot(F.lit(LENGTH) - x, y - F.lit(CENTRE))
+    """The root of the sum of squares, by the operations in the SQL: hypot() rounds otherwise in the last digit, which puts
+    shots at 10, 20 or 30 yards into another band."""
+    dx, dy = F.lit(LENGTH) - x, y - F.lit(CENTRE)
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def visible_goal_angle(x: Column, y: Column) -> Column:

@@ -68,3 +68,13 @@ def test_keys_spelt_with_escapes(spark):
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
     left = rows.filter("k < 2").select(J.strip_key(rows.t, "forbidden").alias("s")).collect()
     assert [r.s for r in left] == ["{}", '{"a":{}}']
+
+
+def test_distance_at_a_band_edge_is_that_of_the_sql(spark):
+    """Places 10, 20 or 30 yards off, where hypot() and the root of the sum of squares lie on two sides of the edge."""
+    at = [(i / 10, j / 10) for i in range(600, 1201) for j in range(801)]
+    plain = {(x, y): math.sqrt((120 - x) * (120 - x) + (y - 40) * (y - 40)) for x, y in at}
+    edges = [(x, y) for (x, y), d in plain.items() if any((math.hypot(120 - x, y - 40) < e) != (d < e) for e in (10, 20, 30))]
+    assert edges
+    rows = spark.createDataFrame(edges, "x double, y double")
+    assert all(r.d == plain[r.x, r.y] for r in rows.select("x", "y", G.distance_to_goal(rows.x, rows.y).alias("d")).collect())
