@@ -515,3 +515,28 @@ def test_last_label_of_rows_that_tie_is_the_first_in_the_file(spark, tmp_path):
     columns = "l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string"
     spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.label for r in registry.QUERIES["dim_last_label_in_scope"](spark, str(tmp_path)).collect()} == {"AO"}
+
+
+def test_a_season_of_many_matches_comes_in_documents_of_bounded_size(spark):
+    from shotlake import registry  # noqa: F401
+    from shotlake.plans.normalization import match_documents
+
+    sizes = match_documents(spark, "/root/testdata/sf0.1").select(F.size(F.from_json("json", "array<string>")).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    assert sizes.most <= 1000 and sizes.n == 150_000  # whole seasons have more than 4,000 here
+
+
+def test_documents_take_little_disk_and_are_dealt_by_size(spark, sf_dir, monkeypatch):
+    from shotlake import registry  # noqa: F401
+    from shotlake.plans import normalization as N
+    from shotlake.sources import shared
+
+    monkeypatch.setattr(N, "_files", {})
+    for kind in ("events", "lineups"):
+        docs = N.documents(spark, sf_dir, kind)
+        text = docs.agg(F.sum(F.length("json"))).first()[0]
+        files = spark.read.format("binaryFile").load(next(p for (_, _, k), p in N._files.items() if k == kind))
+        assert files.agg(F.sum("length")).first()[0] * 4 < text
+    monkeypatch.setattr(shared, "_shares", {})
+    monkeypatch.setattr(shared, "SHARE", 1 << 12)
+    assert shared.shares(spark, f"{sf_dir}/lineitem.parquet") > 4
+    assert "hashpartitioning(l_orderkey" in N.event_documents(spark, sf_dir)._jdf.queryExecution().toString()
