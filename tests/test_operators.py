@@ -540,3 +540,24 @@ def test_documents_take_little_disk_and_are_dealt_by_size(spark, sf_dir, monkeyp
     monkeypatch.setattr(shared, "SHARE", 1 << 12)
     assert shared.shares(spark, f"{sf_dir}/lineitem.parquet") > 4
     assert "hashpartitioning(l_orderkey" in N.event_documents(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_shuffles_after_a_view_begin_with_shares_of_bounded_size(spark, sf_dir, monkeypatch):
+    from shotlake import registry
+    from shotlake.sources import shared
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(shared, "_shares", {})
+    monkeypatch.setattr(shared, "SHARE", 1 << 12)
+    plan = registry.QUERIES["staged_duplicate_keys"](spark, sf_dir)._jdf.queryExecution().toString()
+    n = int(spark.conf.get(name))
+    spark.conf.unset(name)
+    assert n > 4 and f", {n})" in plan.split("Physical Plan")[-1]
+
+
+def test_encoded_rows_are_joined_once(spark, sf_dir):
+    from shotlake import registry  # noqa: F401
+    from shotlake.plans.modelling import encoded_rows
+
+    files = encoded_rows(spark, sf_dir)[0].inputFiles()
+    assert files and all("/eligible-" in f for f in files)
