@@ -61,8 +61,9 @@ def fit_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """(rows with all feature columns scaled over the whole cohort, their names in order)."""
-    rows = feature_rows(spark, sf_dir)
+    """(rows with all feature columns scaled over the whole cohort, their names in order). Vocabulary, moments and fits
+    read the same rows, which are written once, so that no pass joins them again."""
+    rows = written(feature_rows(spark, sf_dir), "eligible")
     vocabulary = X.fit_vocabulary(rows, REFERENCE, LEAST).collect()
     moments = rows.agg(*[f(c).alias(f"{k}_{c}") for c in ("distance", "angle") for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = rows.withColumns({f"z_{c}": (F.col(c) - moments[f"m_{c}"]) / moments[f"s_{c}"] for c in ("distance", "angle")}).withColumns({c: F.coalesce(c, F.lit(False)).cast("int") for c in ("under_pressure", "first_time")})
