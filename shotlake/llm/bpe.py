@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters of a part that is encoded at once (and tokens decoded at once), and of the first window.
 LEAF, WINDOW = 1024, 48
 # Fixed value: the pattern of the vocabulary, for which cuts between a visible character and a blank are proved.
@@ -105,9 +107,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """Rows (id, *keep, ids array<int>, decoded binary): each text's tokens, and the bytes that they decode to."""
     if pattern != PATTERN:
         raise ValueError("texts can be cut for this pattern only: " + PATTERN)
+    small_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker may come from another job
         codec = Codec.of(ranks.value, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

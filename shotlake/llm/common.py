@@ -45,6 +45,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+#: Rows of a batch that goes to Python at once; with texts, Spark's own 10,000 take some hundred MB of an executor.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send Python no more rows at once than BATCH_ROWS: the setting is read when a job is planned."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -70,3 +70,16 @@ def test_odd_rows(odd, none, odd_rows):
 
 def test_query(spark, sf_dir, docs):
     assert queries.op5_byte_bpe(spark, sf_dir).count() == docs.count()
+
+
+def test_batches_of_texts_are_bounded(spark, docs):
+    """Batches as Spark makes them by itself, of 10,000 rows, take some hundred MB of an executor."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for given, left in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(setting, given)
+            bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN)
+            assert spark.conf.get(setting) == left
+    finally:
+        spark.conf.set(setting, before)
