@@ -23,14 +23,19 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(*held: DataFrame) -> None:
-    """Delete held tables that nothing will read again, and let Spark clean up shuffles that nothing refers to any more:
-    a long job would otherwise keep all of its steps on disk."""
+def delete(*held: DataFrame) -> None:
+    """Delete held tables that nothing will read again."""
     for table in held:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*held: DataFrame) -> None:
+    """Delete held tables, and let Spark clean up shuffles that nothing refers to any more: a long job would otherwise
+    keep all of its steps on disk."""
+    delete(*held)
     if held:
         held[0].sparkSession._jvm.System.gc()
 
@@ -61,14 +66,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Links, both ways, of which a task of components() takes its share.
+LINKS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: rows (node, label), label the least node reachable.
 
     Alternates large-star and small-star steps until nothing changes; each step moves neighbours to a node's least
     neighbour with one grouped minimum and one join, so no node's neighbours ever meet in one task. Minima are held, a
     row a node: few are broadcast, many meet the links in a join that Spark can split at a hub. Nodes without edges
-    are not returned. Every round is written to the shared folder.
+    are not returned. Every round is written to the shared folder, and its tables are deleted once the next one is there;
+    rounds of few links take few tasks and leave few files, whatever the session's number of partitions.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
 
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
@@ -76,15 +87,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = hold(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = digest(now)
     while mark[0]:
+        parts = max(cores, -(-2 * mark[0] // LINKS))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = hold(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
+        least = hold(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")).coalesce(parts), "least")
         large = both.filter("b > a").join(broadcast_if_small(least), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # every edge of large points from a larger node to a smaller one
-        low = hold(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "lowest")
+        low = hold(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n").coalesce(parts), "lowest")
         moved = large.join(broadcast_if_small(low), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = moved.filter("a != b").unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        now, before = hold(small.distinct(), "links"), mark
+        last, now, before = now, hold(small.distinct().coalesce(parts), "links"), mark
         mark = digest(now)
+        delete(last, least, low)
         if mark == before:
             break
     heads = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -255,8 +255,11 @@ def line_dedup_before(docs: DataFrame, groups_of: Callable[[DataFrame], DataFram
         follows = left.select("__ld_o", "__ld_now", "__ld_x").join(after, ["__ld_o", "__ld_now"], "left_semi").select(F.col("__ld_o").alias("fo"), F.col("__ld_x").alias("fh"))
         lost = hold(pairs.select("fo", "fh").distinct().join(follows, ["fo", "fh"], "left_semi").select(F.col("fo").alias("o"), F.col("fh").alias("h"), F.lit(True).alias("lost")), "lost-holders")
         if lost.isEmpty():
+            release(pairs, groups, lost)
             return done
-        groups = hold(groups.join(lost, ["o", "h"], "left").withColumn("leads", F.col("leads") & F.col("lost").isNull()).drop("lost"), "groups")
+        given, groups = groups, hold(groups.join(lost, ["o", "h"], "left").withColumn("leads", F.col("leads") & F.col("lost").isNull()).drop("lost"), "groups")
+        del left, after, follows
+        release(pairs, done, given, lost)
 
 
 def emptied(text_col: str = "text") -> Column:

@@ -256,19 +256,27 @@ def similar_texts(docs: DataFrame, node_col: str, row_col: str, text_col: str =
     texts = docs.select(F.col(node_col).alias("node"), F.coalesce(F.col(row_col), F.lit((1 << 63) - 1)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     # each text's first row, and how many rows agree in text and id with it
     first = hold(texts.groupBy("node", "row").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("row", "n")).alias("first")).select("node", "first.*"), "texts")
-    new = texts if known is None else texts.join(broadcast_if_small(hold(first.join(known, "node", "left_anti").select("node", "row"), "new-texts"), MANY), ["node", "row"])
+    steps = [first]
+    if known is None:
+        new = texts
+    else:
+        steps.append(hold(first.join(known, "node", "left_anti").select("node", "row"), "new-texts"))
+        new = texts.join(broadcast_if_small(steps[-1], MANY), ["node", "row"])
     signed = hold(new.select("node", "text").mapInArrow(sign, "node long, fp long, more long"), "signatures")
+    steps.append(signed)
     if known is not None:
         signed = signed.unionByName(known.join(first, "node", "left_semi"))
     nodes = hold(signed.dropDuplicates(["node"]), "nodes")
-    near = hold(components(near_links(nodes, radius, both_radius=both_radius)), "candidates")
+    steps.append(near_links(nodes, radius, both_radius=both_radius))
+    near = hold(components(steps[-1]), "candidates")
     chosen = hold(near.join(first, "node"), "chosen")
     few = texts.join(broadcast_if_small(chosen, MANY), ["node", "row"]).select("node", "label", "text", "n")
     if not chosen.filter("n > 1").isEmpty():  # rows that repeat id and text, the only texts that are shuffled
         few = few.filter("n = 1").unionByName(few.filter("n > 1").dropDuplicates(["node"]))
     sets = hold(few.select("node", "label", "text").mapInArrow(cut, "node long, label long, shingles array<long>"), "shingles")
     parts = sets.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / JOB_TEXTS), F.ceil(F.sum(F.size("shingles")) / JOB_SHINGLES)).alias("parts"))
-    mine = sets.join(hold(parts, "parts"), "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parts = hold(parts, "parts")
+    mine = sets.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     dealt = mine.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # one part goes with each of the others; alone it is needed only if it is the only one
     jobs = dealt.filter("parts = 1 or part <> with").groupBy("label", F.least("part", "with"), F.greatest("part", "with")).agg(F.collect_list(F.struct("node", "shingles")).alias("texts"))
@@ -279,9 +287,10 @@ def similar_texts(docs: DataFrame, node_col: str, row_col: str, text_col: str =
         links = hold(jobs.select("texts").mapInArrow(check, "a long, b long"), "similar")
     finally:
         spark.conf.set(batch, before)
-    del few, mine, dealt, jobs  # so that their shuffles can go
-    release(sets)
-    return components(links), nodes
+    labels = components(links)
+    del few, mine, dealt, jobs, new, signed  # so that their shuffles can go
+    release(sets, links, parts, chosen, near, *steps)
+    return labels, nodes
 
 
 class NearGroups:
@@ -296,7 +305,10 @@ class NearGroups:
         (h): the group of texts that links of enough similarity connect, and whether drop_near_texts keeps the document."""
         text = F.coalesce(F.col(self.text_col), F.lit(""))
         marked = docs.select(F.col(self.id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
-        links, self.known = similar_texts(marked, "h", "k", "text", known=self.known, **self.options)
+        known = self.known
+        links, self.known = similar_texts(marked, "h", "k", "text", known=known, **self.options)
+        if known is not None:  # its signatures are among the new ones, as far as their texts are
+            release(known)
         labels = hold(links, "labels").withColumnRenamed("node", "h")
         found = hold(marked.select("k", "h").distinct().join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("group")), "groups")
         ahead = _leaders(found, ["group"], "k", "h").select("k", "h", F.lit(True).alias("leads"))

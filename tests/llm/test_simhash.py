@@ -168,3 +168,26 @@ def test_recall_of_candidates_by_length(spark):
         kept = {r.doc_id for r in simhash.drop_near_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
         missed = sum(2 * k + 1 in kept for k in range(150) if rows[2 * k][1] != rows[2 * k + 1][1])
         assert missed <= 1, (n, missed)
+
+
+def test_rounds_of_few_links_leave_few_files(spark):
+    """A chain and a hub in a session of many partitions: of all rounds the last one's table stays, in a file a core at most."""
+    from pathlib import Path
+
+    from shotlake.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://")) / spark.sparkContext.applicationId
+    edges = [(k, k + 1) for k in range(500)] + [(1000, 1001 + k) for k in range(500)]
+    before = set(folder.glob("*")) if folder.exists() else set()
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == {k: 0 for k in range(501)} | {k: 1000 for k in range(1000, 1501)}
+    left = set(folder.glob("*")) - before
+    assert len(left) == 1 and len(list(left.pop().glob("part-*"))) <= spark.sparkContext.defaultParallelism
