@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import delete, shared_folder
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,15 +23,6 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(*held: DataFrame) -> None:
-    """Delete held tables that nothing will read again."""
-    for table in held:
-        spark = table.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(*held: DataFrame) -> None:
     """Delete held tables, and let Spark clean up shuffles that nothing refers to any more: a long job would otherwise
     keep all of its steps on disk."""

@@ -3,12 +3,13 @@
 Columns are binned once, and rows that agree in fold and all bins become one cell with its count and its ones, so that
 work follows the cells, not the rows. Every pass is one job for all fits: tasks bring the cells' scores up to date, add
 up gradients, second derivatives and counts by (fit, leaf, column, bin), Spark deals these sums out by leaf, and what
-comes back is the best split of each leaf that was asked for. The driver keeps the trees alone.
+comes back is the best split of each leaf that was asked for. The driver keeps the trees alone. A pass follows only the ways to
+the leaves that it was asked for, and adds up columns of two bins by the patterns that they make together.
 
 Trees grow best first: the leaf of largest gain is split next, until a tree has its leaves. As a leaf's best split does
 not depend on other leaves, a pass asks for the leaves below all splits that may still be made, so that a tree takes as
-many passes as it has levels. Scores of the cells are written every WRITTEN rounds (which cuts lineage); in between the
-newest trees are applied on the way.
+many passes as it has levels. Scores of the cells are written after every round, and those before it deleted, so that no
+pass applies a finished tree again.
 
 A leaf's value is -step * G / (H + PENALTY); a split must gain more than nothing, leave at least `least` rows and a second
 derivative of LEAST_CURVE on both sides; equal gains go to the smaller column, then bin, then the older leaf.
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import delete, written
 
-BINS, PENALTY, LEAST_CURVE, WRITTEN = 255, 1.0, 1e-3, 8
+BINS, PENALTY, LEAST_CURVE = 255, 1.0, 1e-3
+#: Cells that a task adds up at once, and columns of two bins that make a pattern.
+BLOCK, PATTERN = 1 << 15, 16
 
 
 @dataclass(frozen=True)
@@ -101,16 +104,24 @@ class Tree:
         return column, at, left, right, value
 
 
-def places(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The node of each row of bins in which its way through a tree ends."""
+def ways(columns: np.ndarray, tree: tuple[np.ndarray, ...], rows: np.ndarray, ends: list[int] | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, those of the rows that a tree leads to it) of each leaf in ends; columns has each column's bins in a line."""
     column, at, left, right, _ = tree
-    node, rows = np.zeros(len(x), int), np.arange(len(x))
-    while True:
-        inner = column[node] >= 0
-        if not inner.any():
-            return node
-        goes = x[rows, np.maximum(column[node], 0)] <= at[node]
-        node = np.where(inner, np.where(goes, left[node], right[node]), node)
+    need = np.zeros(len(column), bool)
+    need[ends] = True
+    for k in range(len(column) - 1, -1, -1):  # children come after their parents
+        need[k] |= column[k] >= 0 and (need[left[k]] or need[right[k]])
+    held = [(0, rows)] if need[0] else []
+    while held:
+        k, mine = held.pop()
+        if column[k] < 0:
+            yield k, mine
+            continue
+        low = columns[column[k]][mine] <= at[k]
+        if need[right[k]]:
+            held.append((int(right[k]), mine[~low]))
+        if need[left[k]]:
+            held.append((int(left[k]), mine[low]))
 
 
 def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
@@ -136,53 +147,87 @@ def cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], fold: st
     return binned.groupBy("fold", *names).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("ones"))
 
 
-def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.column_stack([batch.column(1 + i).to_numpy() for i in range(width)])
+@dataclass
+class _Block:
+    """Cells as a pass reads them: bins by column, and scores by fit."""
+
+    columns: np.ndarray
+    fold: np.ndarray
+    n: np.ndarray
+    ones: np.ndarray
+    margins: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, width: int, fits: int) -> _Block:
+        columns = np.stack([batch.column(1 + i).to_numpy() for i in range(width)])
+        rest = [batch.column(k).to_numpy() for k in (0, 1 + width, 2 + width)]
+        scores = batch.column(3 + width)
+        starts = np.frombuffer(scores.buffers()[1], np.int32)[scores.offset : scores.offset + len(scores) + 1]
+        margins = np.frombuffer(scores.buffers()[2], np.uint8)[starts[0] : starts[-1]].view(np.float64).reshape(-1, fits)
+        return _Block(columns, *rest, np.ascontiguousarray(margins.T))
+
+    @staticmethod
+    def joined(blocks: list[_Block]) -> _Block:
+        if len(blocks) == 1:
+            return blocks[0]
+        return _Block(*(np.concatenate([getattr(b, f) for b in blocks], axis=-1) for f in ("columns", "fold", "n", "ones", "margins")))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], width: int, fits: int) -> Iterator[_Block]:
+    held: list[_Block] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_Block.of(batch, width, fits))
+        if sum(len(b.n) for b in held) >= BLOCK:
+            yield _Block.joined(held)
+            held = []
+    if held:
+        yield _Block.joined(held)
 
 
 class _Pass:
-    """What a task needs for a pass: trees to apply for good, trees as far as grown, and the leaves asked for."""
+    """What a task needs for a pass: trees as far as grown, and the leaves asked for."""
 
-    def __init__(self, folds: list[int], done: list[list[tuple]], growing: list[tuple] | None, asked: list[list[int]] | None, sizes: list[int]):
-        self.folds, self.done, self.growing, self.asked, self.sizes = folds, done, growing, asked, sizes
+    def __init__(self, folds: list[int], growing: list[tuple], asked: list[list[int]], sizes: list[int]):
+        self.folds, self.growing, self.asked, self.sizes = folds, growing, asked, sizes
         self.starts = np.cumsum([0, *sizes])
 
-    def scores(self, x: np.ndarray, margins: np.ndarray) -> np.ndarray:
-        out = margins.copy()
-        for f, trees in enumerate(self.done):
-            for tree in trees:
-                out[:, f] += tree[4][places(x, tree)]
-        return out
-
-    def sums(self, x: np.ndarray, fold: np.ndarray, n: np.ndarray, ones: np.ndarray, margins: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(fit, node, sums by kind and bin of all columns)."""
-        binary = [j for j, s in enumerate(self.sizes) if s <= 2]
-        two = x[:, binary].astype(float)
+    def _patterns(self, columns: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(columns of two bins or one, each cell's pattern, bins by pattern and column)."""
+        few = [j for j, s in enumerate(self.sizes) if s <= 2]
+        for start in range(0, len(few), PATTERN):
+            these = few[start : start + PATTERN]
+            found, code = np.unique((1 << np.arange(len(these))) @ columns[these].astype(np.int64), return_inverse=True)
+            yield these, code, (found[:, None] >> np.arange(len(these)) & 1).astype(float)
+
+    def sums(self, block: _Block) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(fit, node, sums by kind and bin of all columns) of nodes that hold cells of the block."""
+        others = {k: np.flatnonzero(block.fold != k) for k in set(self.folds)}
+        patterns = list(self._patterns(block.columns))
         for f, asked in enumerate(self.asked):
-            if not asked:
+            parts = [(node, mine) for node, mine in ways(block.columns, self.growing[f], others[self.folds[f]], asked) if len(mine)] if asked else []
+            if not parts:
                 continue
-            mine = np.flatnonzero(fold != self.folds[f])
-            at = places(x[mine], self.growing[f])
-            of = np.full(len(self.growing[f][0]), -1)
-            of[asked] = np.arange(len(asked))
-            spot = of[at]
-            mine, spot = mine[spot >= 0], spot[spot >= 0]
-            p = 1 / (1 + np.exp(-margins[mine, f]))
-            kinds = np.column_stack([n[mine] * p - ones[mine], n[mine] * p * (1 - p), n[mine]])
-            out = np.zeros((len(asked), 3, self.starts[-1]))
+            mine = np.concatenate([rows for _, rows in parts])
+            spot = np.repeat(np.arange(len(parts)), [len(rows) for _, rows in parts])
+            n, p = block.n[mine], 1 / (1 + np.exp(-block.margins[f][mine]))
+            kinds = (n * p - block.ones[mine], n * p * (1 - p), n)
+            out = np.zeros((len(parts), 3, self.starts[-1]))
             for j, size in enumerate(self.sizes):
                 if size > 2:
-                    for s in range(3):
-                        out[:, s, self.starts[j] : self.starts[j + 1]] = np.bincount(spot * size + x[mine, j], kinds[:, s], len(asked) * size).reshape(-1, size)
-            for k in range(len(asked)):
-                here = spot == k
-                whole = kinds[here].sum(axis=0)
-                high = kinds[here].T @ two[mine[here]]
-                for i, j in enumerate(binary):
-                    out[k, :, self.starts[j]] = whole - high[:, i] if self.sizes[j] == 2 else whole
-                    if self.sizes[j] == 2:
-                        out[k, :, self.starts[j] + 1] = high[:, i]
-            yield from ((f, node, out[k]) for k, node in enumerate(asked))
+                    key = spot * size + block.columns[j][mine]
+                    for s, kind in enumerate(kinds):
+                        out[:, s, self.starts[j] : self.starts[j + 1]] = np.bincount(key, kind, len(parts) * size).reshape(-1, size)
+            for these, code, bins in patterns:
+                key = spot * len(bins) + code[mine]
+                for s, kind in enumerate(kinds):
+                    by = np.bincount(key, kind, len(parts) * len(bins)).reshape(-1, len(bins))
+                    whole, high = by.sum(axis=1), by @ bins
+                    for i, j in enumerate(these):
+                        out[:, s, self.starts[j]] = whole - high[:, i] if self.sizes[j] == 2 else whole
+                        if self.sizes[j] == 2:
+                            out[:, s, self.starts[j] + 1] = high[:, i]
+            yield from ((f, node, out[k]) for k, (node, _) in enumerate(parts))
 
 
 def best_split(sums: np.ndarray, sizes: list[int], least: int) -> tuple | None:
@@ -221,36 +266,37 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
         if not 0 < ones < n:
             raise ValueError(f"both labels must be among the rows of other folds than {k}")
         base.append(float(np.log(ones / (n - ones))))
-    state = start.withColumn("margins", F.array(*map(F.lit, base)))
-    schema = "fold int, " + ", ".join(f"{b} int" for b in names) + ", n double, ones double, margins array<double>"
-    done: list[list[tuple]] = [[] for _ in fits]
-
-    def read(batch: pa.RecordBatch) -> tuple:
-        x, margins = _bins_of(batch, width), batch.column(3 + width).values.to_numpy().reshape(-1, len(fits))
-        return x, batch.column(0).to_numpy(), batch.column(1 + width).to_numpy(), batch.column(2 + width).to_numpy(), margins
+    state = start.withColumn("margins", F.lit(bytearray(np.array(base).tobytes())))  # a double a fit
+    schema = "fold int, " + ", ".join(f"{b} int" for b in names) + ", n double, ones double, margins binary"
 
-    def settle() -> DataFrame:
-        """The cells with all finished trees applied, written."""
-        shared = spark.sparkContext.broadcast(_Pass([k for _, k in fits], done, None, None, sizes))
+    def settle(trees: list[tuple]) -> DataFrame:
+        """The cells with a round's trees applied, written."""
+        shared = spark.sparkContext.broadcast(trees)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, _, _, _, margins = read(batch)
-                scores = shared.value.scores(x, margins)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(np.arange(0, scores.size + 1, len(fits), dtype=np.int32), scores.ravel())], ["fold", *names, "n", "ones", "margins"])
+                if not batch.num_rows:
+                    continue
+                block = _Block.of(batch, width, len(fits))
+                rows = np.arange(len(block.n))
+                for f, tree in enumerate(shared.value):
+                    for node, mine in ways(block.columns, tree, rows, np.flatnonzero(tree[0] < 0)):
+                        block.margins[f][mine] += tree[4][node]
+                ends = pa.py_buffer((np.arange(len(rows) + 1) * 8 * len(fits)).astype(np.int32))
+                scores = pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(block.margins.T.tobytes())])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], ["fold", *names, "n", "ones", "margins"])
 
         return written(state.mapInArrow(apply, schema), "scores")
 
     def find(growing: list[tuple], asked: list[list[int]]) -> list:
         """(fit, node, sums of the node, best split or nulls) of all nodes asked for."""
-        shared = spark.sparkContext.broadcast(_Pass([k for _, k in fits], done, growing, asked, sizes))
+        shared = spark.sparkContext.broadcast(_Pass([k for _, k in fits], growing, asked, sizes))
         least = [point.least for point, _ in fits]
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                x, held, n, ones, margins = read(batch)
-                for f, node, found in shared.value.sums(x, held, n, ones, shared.value.scores(x, margins)):
+            for block in _in_blocks(batches, width, len(fits)):
+                for f, node, found in shared.value.sums(block):
                     total[f, node] = total[f, node] + found if (f, node) in total else found
             if total:  # a row a leaf; sums travel as bytes, which nothing on the way takes apart
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.int32()), pa.array([k for _, k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["fit", "node", "sums"])
@@ -273,7 +319,7 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
         sums = state.mapInArrow(add, "fit int, node int, sums binary").repartition("fit", "node")
         return sums.mapInArrow(choose, "fit int, node int, whole array<double>, gain double, col int, bin int, below array<double>").collect()  # a row a leaf asked for
 
-    for r in range(rounds):
+    for _ in range(rounds):
         trees = [Tree([Node((0.0, np.inf, np.inf))]) for _ in fits]
         while True:
             grown = [tree.grow(point) for tree, (point, _) in zip(trees, fits)]
@@ -288,14 +334,19 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
             for tree, need in zip(trees, asked):  # leaves without a row of their own fold are empty
                 for k in need:
                     tree.nodes[k].known = True
-        for f, (tree, (leaves, _), (point, _)) in enumerate(zip(trees, grown, fits)):
-            done[f].append(tree.arrays(leaves, point.step))
-        if (r + 1) % WRITTEN == 0 or r + 1 == rounds:
-            state = settle()
-            done = [[] for _ in fits]
+        before, state = state, settle([tree.arrays(leaves, point.step) for tree, (leaves, _), (point, _) in zip(trees, grown, fits)])
+        delete(before)
 
     which = F.array(*[F.struct(F.lit(p.step).alias("step"), F.lit(p.leaves).alias("leaves"), F.lit(p.least).alias("least"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (p, k) in enumerate(fits)])
-    own = state.select("fold", "n", "ones", "margins", F.explode(which).alias("at")).filter("at.k = fold")
+
+    def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = batch.column(3).cast(pa.binary())
+            out = np.frombuffer(b"".join(scores.to_pylist()), np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(fits), dtype=np.int32), out)], ["fold", "n", "ones", "margins"])
+
+    scored = state.select("fold", "n", "ones", "margins").mapInArrow(doubles, "fold int, n double, ones double, margins array<double>")
+    own = scored.withColumn("at", F.explode(which)).filter("at.k = fold")
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.element_at("margins", F.col("at.i") + 1)))
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("ones").alias("weight")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("ones")).alias("weight")))).alias("side")
     return own.withColumn("p", p).select("at.step", "at.leaves", "at.least", "fold", "p", sides).select("step", "leaves", "least", "fold", "side.y", "p", "side.weight").filter("weight > 0")

@@ -592,3 +592,14 @@ def test_lineups_meet_in_shares_of_the_tables(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(N, "shares", lambda *a: 9)
     assert "hashpartitioning(match_id" in (plan := N.scan_lineups(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()) and plan.count("9), REPARTITION_BY_NUM") == 2
+
+
+def test_boosting_deletes_the_scores_of_earlier_rounds(spark):
+    from pathlib import Path
+
+    folder = Path(D.shared_folder(spark).removeprefix("file://"))
+    rows = spark.createDataFrame([(k % 2, int(k % 3 == 0), float(k % 7)) for k in range(60)], "fold int, y int, a double")
+    tables = lambda: {p.name for kind in ("cells", "scores") for p in folder.glob(f"{kind}-*")}
+    before = tables()
+    scored = B.boosted_scores(rows, ["a"], [B.Point(0.1, 4, 2)], folds=2, rounds=10)
+    assert len(tables() - before) == 1 and scored.agg(F.sum("weight")).first()[0] == 60
