@@ -603,3 +603,13 @@ def test_boosting_deletes_the_scores_of_earlier_rounds(spark):
     before = tables()
     scored = B.boosted_scores(rows, ["a"], [B.Point(0.1, 4, 2)], folds=2, rounds=10)
     assert len(tables() - before) == 1 and scored.agg(F.sum("weight")).first()[0] == 60
+
+
+def test_checks_parse_each_document_once(spark):
+    """Also where rows with a fault are filtered out, and for all parts of a lineup."""
+    docs = spark.createDataFrame([(1, '[{"team_id":1,"lineup":[{"player_id":2,"player_name":"P","cards":[{"card_type":5}]}]},7]'), (2, "{"), (3, None)], "match_id long, json string").repartition(1)
+    checked = D.validate_lineups(docs)
+    for frame in (C.quarantine(docs, "lineups")[0], checked):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    found = sorted((r.match_id, r.part, -1 if r.position is None else r.position, tuple(r.errors)) for r in checked.collect())
+    assert found == [(1, "card", 0, ("card_type: text required",)), (1, "member", 0, ()), (1, "team", 0, ()), (1, "team", 1, ("not an object",)), (2, "document", -1, ("not JSON",)), (3, "document", -1, ("no document",))]
