@@ -39,10 +39,10 @@ def shares(spark: SparkSession, *paths: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _shares[at])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as written to the shared folder and read from there: for frames that several jobs read."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as written to the shared folder (with a writer's options) and read from there: for frames that several jobs read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

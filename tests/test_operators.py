@@ -9,7 +9,7 @@ from shotlake.operators import boosting as B
 from shotlake.operators import evaluation as E
 from shotlake.operators import features as X
 from shotlake.operators import merge as M
-from shotlake.operators import models, ranges
+from shotlake.operators import models, networks, ranges
 from shotlake.operators import quality as Q
 from shotlake.operators import retrieval as R
 from shotlake.operators import splits as P
@@ -613,3 +613,53 @@ def test_checks_parse_each_document_once(spark):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
     found = sorted((r.match_id, r.part, -1 if r.position is None else r.position, tuple(r.errors)) for r in checked.collect())
     assert found == [(1, "card", 0, ("card_type: text required",)), (1, "member", 0, ()), (1, "team", 0, ()), (1, "team", 1, ("not an object",)), (2, "document", -1, ("not JSON",)), (3, "document", -1, ("no document",))]
+
+
+def network_table(spark, n=640):
+    rng = np.random.default_rng(3)
+    u, v, flag = rng.normal(size=n).round(1), rng.normal(size=n).round(1), rng.integers(0, 2, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(u * v + flag - 0.5)))).astype(int)
+    rows = [(i, i % 5, int(b), float(p), int(f), float(q)) for i, (b, p, q, f) in enumerate(zip(y, u, v, flag))]
+    return spark.createDataFrame(rows, "row_id int, fold int, y int, u double, flag int, v double").coalesce(1)
+
+
+def test_networks_of_all_folds_equal_the_librarys_and_step_together(spark):
+    rows, columns = network_table(spark), ["u", "flag", "v"]  # 512 rows in one partition for a fit: MLlib's batches are all full
+
+    def scores_and_jobs(group, scores):
+        spark.sparkContext.setJobGroup(group, group)
+        found = {r.row_id: (r.y, r.fold, r.p) for r in scores().collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    known, one_by_one = scores_and_jobs("perceptrons", lambda: models.out_of_fold(models.assembled(rows, columns), lambda train: models.perceptron(3, rounds=20)))
+    found, together = scores_and_jobs("networks", lambda: networks.network_scores(rows, columns, ["u", "v"], rounds=20))
+    assert found.keys() == known.keys() and all(found[k] == pytest.approx(known[k], abs=1e-7) for k in known)
+    assert together < one_by_one / 2
+
+
+def test_network_sums_equal_plain_ones_at_any_weights(spark):
+    rows = network_table(spark)
+    blocks = [tuple(bytes(c) if isinstance(c, bytearray) else c for c in r) for r in networks.cell_blocks(rows, ["u", "v"], ["flag"]).collect()]
+    x = np.array([(r.u, r.v, r.flag) for r in rows.collect()])
+    y, fold = (np.array([r[c] for r in rows.collect()], float) for c in ("y", "fold"))
+    for scale in (1, 50, 3000):
+        w = np.random.default_rng(1).normal(size=8 * 4 + 18) * scale
+        first, shift, second, last = networks._layers(w, 3, 8)
+        mine, own = x[fold != 2], y[fold != 2]
+        with np.errstate(over="ignore"):
+            a = 1 / (1 + np.exp(-(mine @ first.T + shift)))
+            z = a @ second + last
+            left = 1 / (1 + np.exp(-z)) - own
+        inner = (left[:, None] * a * (1 - a)).T @ np.column_stack((mine, np.ones(len(mine)))) * second[:, None]
+        plain = [len(mine), (np.logaddexp(0, z) - own * z).sum(), *inner.T.ravel(), *np.stack((-(a.T @ left), a.T @ left), axis=1).ravel(), -left.sum(), left.sum()]
+        assert sum(networks._block_sums(b, [(2, w)], 2, 3, 8, 5) for b in blocks)[0] == pytest.approx(plain, rel=1e-9, abs=1e-9)
+
+
+def test_networks_refuse_what_cannot_be_fitted(spark):
+    schema = "row_id int, fold int, y int, u double, flag int"
+    for bad in ((1, 0, None, 1.0, 1), (1, 0, 2, 1.0, 1), (1, 0, 1, None, 1), (1, 0, 1, float("nan"), 1)):
+        with pytest.raises(Exception, match="not finite, or a label"):
+            networks.network_fits(spark.createDataFrame([bad, (2, 1, 0, 0.0, 0)], schema), ["u", "flag"], ["u"], rounds=1)
+    with pytest.raises(ValueError, match="no rows outside"):
+        networks.network_fits(spark.createDataFrame([(1, 0, 1, 1.0, 1), (2, 0, 0, 0.0, 0)], schema), ["u", "flag"], ["u"], rounds=1)
