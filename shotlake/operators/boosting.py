@@ -1,15 +1,17 @@
 """Histogram boosting of many fits at once: gradient boosted trees for a binary label, grown leaf by leaf.
 
-Columns are binned once, and rows that agree in fold and all bins become one cell with its count and its ones, so that
-work follows the cells, not the rows. Every pass is one job for all fits: tasks bring the cells' scores up to date, add
-up gradients, second derivatives and counts by (fit, leaf, column, bin), Spark deals these sums out by leaf, and what
-comes back is the best split of each leaf that was asked for. The driver keeps the trees alone. A pass follows only the ways to
-the leaves that it was asked for, and adds up columns of two bins by the patterns that they make together.
+Columns are binned once, and rows that agree in all bins become one cell with its count and its ones by fold, so that
+work follows the cells, which bins bound, not the rows. The fits are dealt into groups; a group is one barrier stage,
+whose tasks hold a share of the cells each, with the scores of the group's fits, and take all rounds together: they add
+up gradients, second derivatives and counts of the leaves asked for by bin, give these sums to each other,
+and all choose the same splits from them. So no round is a job of its own, nothing of a cell leaves its
+task before the end, and each fit goes on as soon as its own leaves are known. Groups run side by side where there
+are cores. The driver sees neither cells nor sums.
 
 Trees grow best first: the leaf of largest gain is split next, until a tree has its leaves. As a leaf's best split does
-not depend on other leaves, a pass asks for the leaves below all splits that may still be made, so that a tree takes as
-many passes as it has levels. Scores of the cells are written after every round, and those before it deleted, so that no
-pass applies a finished tree again.
+not depend on other leaves, sums are taken for the leaves below several splits at once that may still be made. Of two
+leaves below a split only the smaller one's cells are read, the other's sums are what remains of those above. Columns of
+two bins are added up by the patterns that they make together.
 
 A leaf's value is -step * G / (H + PENALTY); a split must gain more than nothing, leave at least `least` rows and a second
 derivative of LEAST_CURVE on both sides; equal gains go to the smaller column, then bin, then the older leaf.
@@ -17,19 +19,25 @@ derivative of LEAST_CURVE on both sides; equal gains go to the smaller column, t
 
 from __future__ import annotations
 
+import base64
+import os
+import time
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import delete, written
+from ..sources.shared import delete, delete_folder, local_folder, shared_folder, written
 
 BINS, PENALTY, LEAST_CURVE = 255, 1.0, 1e-3
-#: Cells that a task adds up at once, and columns of two bins that make a pattern.
-BLOCK, PATTERN = 1 << 15, 16
+#: Columns of two bins that make a pattern, cells of a task (more if there aren't as many cores), and rows of a batch of scores.
+PATTERN, SHARE, BATCH = 16, 400_000, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -71,7 +79,7 @@ class Tree:
             if unknown or self.nodes[best].children is None:
                 # what may still be split: ask for the leaves below, and for those that are not known themselves
                 asked = list(unknown)
-                for k in [k for k in able if self.nodes[k].known][:left]:
+                for k in [k for k in able if self.nodes[k].known][: (left + 1) // 2]:
                     asked += [c for c in self._children(k) if not self.nodes[c].known and self._splits(c, point)]
                 if asked:
                     return leaves, asked
@@ -93,36 +101,6 @@ class Tree:
             self.nodes += [Node(left), Node(tuple(a - b for a, b in zip(node.sums, left)))]
         return node.children
 
-    def arrays(self, leaves: list[int] | None = None, step: float = 0.0) -> tuple[np.ndarray, ...]:
-        """(column, bin, left, right, value) by node; with leaves, as a finished tree whose leaves have values."""
-        column, at, left, right, value = np.full(len(self.nodes), -1), np.zeros(len(self.nodes), int), np.zeros(len(self.nodes), int), np.zeros(len(self.nodes), int), np.zeros(len(self.nodes))
-        for k, node in enumerate(self.nodes):
-            if node.children is not None and (leaves is None or k not in leaves):
-                column[k], at[k], (left[k], right[k]) = node.split[1], node.split[2], node.children
-            if leaves is not None and k in leaves:
-                value[k] = -step * node.sums[0] / (node.sums[1] + PENALTY)
-        return column, at, left, right, value
-
-
-def ways(columns: np.ndarray, tree: tuple[np.ndarray, ...], rows: np.ndarray, ends: list[int] | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(node, those of the rows that a tree leads to it) of each leaf in ends; columns has each column's bins in a line."""
-    column, at, left, right, _ = tree
-    need = np.zeros(len(column), bool)
-    need[ends] = True
-    for k in range(len(column) - 1, -1, -1):  # children come after their parents
-        need[k] |= column[k] >= 0 and (need[left[k]] or need[right[k]])
-    held = [(0, rows)] if need[0] else []
-    while held:
-        k, mine = held.pop()
-        if column[k] < 0:
-            yield k, mine
-            continue
-        low = columns[column[k]][mine] <= at[k]
-        if need[right[k]]:
-            held.append((int(right[k]), mine[~low]))
-        if need[left[k]]:
-            held.append((int(left[k]), mine[low]))
-
 
 def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Of each column, ascending values: a value's bin is the number of edges below it. They are quantiles of the column
@@ -147,87 +125,158 @@ def cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], fold: st
     return binned.groupBy("fold", *names).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("ones"))
 
 
-@dataclass
-class _Block:
-    """Cells as a pass reads them: bins by column, and scores by fit."""
-
-    columns: np.ndarray
-    fold: np.ndarray
-    n: np.ndarray
-    ones: np.ndarray
-    margins: np.ndarray
-
-    @staticmethod
-    def of(batch: pa.RecordBatch, width: int, fits: int) -> _Block:
-        columns = np.stack([batch.column(1 + i).to_numpy() for i in range(width)])
-        rest = [batch.column(k).to_numpy() for k in (0, 1 + width, 2 + width)]
-        scores = batch.column(3 + width)
-        starts = np.frombuffer(scores.buffers()[1], np.int32)[scores.offset : scores.offset + len(scores) + 1]
-        margins = np.frombuffer(scores.buffers()[2], np.uint8)[starts[0] : starts[-1]].view(np.float64).reshape(-1, fits)
-        return _Block(columns, *rest, np.ascontiguousarray(margins.T))
+class _Cells:
+    """A task's share of the cells: wide columns' bins, patterns of the narrow ones, counts and ones by fold."""
 
-    @staticmethod
-    def joined(blocks: list[_Block]) -> _Block:
-        if len(blocks) == 1:
-            return blocks[0]
-        return _Block(*(np.concatenate([getattr(b, f) for b in blocks], axis=-1) for f in ("columns", "fold", "n", "ones", "margins")))
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch], width: int, fits: int) -> Iterator[_Block]:
-    held: list[_Block] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(_Block.of(batch, width, fits))
-        if sum(len(b.n) for b in held) >= BLOCK:
-            yield _Block.joined(held)
-            held = []
-    if held:
-        yield _Block.joined(held)
-
-
-class _Pass:
-    """What a task needs for a pass: trees as far as grown, and the leaves asked for."""
-
-    def __init__(self, folds: list[int], growing: list[tuple], asked: list[list[int]], sizes: list[int]):
-        self.folds, self.growing, self.asked, self.sizes = folds, growing, asked, sizes
-        self.starts = np.cumsum([0, *sizes])
-
-    def _patterns(self, columns: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """(columns of two bins or one, each cell's pattern, bins by pattern and column)."""
-        few = [j for j, s in enumerate(self.sizes) if s <= 2]
+    def __init__(self, batches: Iterator[pa.RecordBatch], sizes: list[int], folds: int):
+        held = [b for b in batches if b.num_rows]
+        column = lambda i, kind: np.concatenate([b.column(i).to_numpy() for b in held]).astype(kind) if held else np.zeros(0, kind)
+        self.sizes, self.starts = sizes, np.cumsum([0, *sizes])
+        self.bins = [column(j, np.int64 if s > 2 else np.uint8) for j, s in enumerate(sizes)]
+        self.n, self.ones = ([column(len(sizes) + kind * (folds + 1) + k, float) for k in range(folds + 1)] for kind in (0, 1))  # last: of all folds
+        few = [j for j, s in enumerate(sizes) if s <= 2]
+        self.patterns = []
         for start in range(0, len(few), PATTERN):
             these = few[start : start + PATTERN]
-            found, code = np.unique((1 << np.arange(len(these))) @ columns[these].astype(np.int64), return_inverse=True)
-            yield these, code, (found[:, None] >> np.arange(len(these)) & 1).astype(float)
-
-    def sums(self, block: _Block) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(fit, node, sums by kind and bin of all columns) of nodes that hold cells of the block."""
-        others = {k: np.flatnonzero(block.fold != k) for k in set(self.folds)}
-        patterns = list(self._patterns(block.columns))
-        for f, asked in enumerate(self.asked):
-            parts = [(node, mine) for node, mine in ways(block.columns, self.growing[f], others[self.folds[f]], asked) if len(mine)] if asked else []
-            if not parts:
-                continue
-            mine = np.concatenate([rows for _, rows in parts])
-            spot = np.repeat(np.arange(len(parts)), [len(rows) for _, rows in parts])
-            n, p = block.n[mine], 1 / (1 + np.exp(-block.margins[f][mine]))
-            kinds = (n * p - block.ones[mine], n * p * (1 - p), n)
-            out = np.zeros((len(parts), 3, self.starts[-1]))
-            for j, size in enumerate(self.sizes):
-                if size > 2:
-                    key = spot * size + block.columns[j][mine]
-                    for s, kind in enumerate(kinds):
-                        out[:, s, self.starts[j] : self.starts[j + 1]] = np.bincount(key, kind, len(parts) * size).reshape(-1, size)
-            for these, code, bins in patterns:
-                key = spot * len(bins) + code[mine]
+            found, code = np.unique((1 << np.arange(len(these))) @ np.stack([self.bins[j] for j in these]).astype(np.int64), return_inverse=True)
+            self.patterns.append((these, code, (found[:, None] >> np.arange(len(these)) & 1).astype(float)))
+
+    def sums(self, mine: np.ndarray | slice, kinds: list[np.ndarray]) -> np.ndarray:
+        """Sums by kind and bin of all columns over some of the cells."""
+        out = np.zeros((len(kinds), self.starts[-1]))
+        kinds = [kind[mine] for kind in kinds]
+        for j, size in enumerate(self.sizes):
+            if size > 2:
+                key = self.bins[j][mine]
                 for s, kind in enumerate(kinds):
-                    by = np.bincount(key, kind, len(parts) * len(bins)).reshape(-1, len(bins))
-                    whole, high = by.sum(axis=1), by @ bins
-                    for i, j in enumerate(these):
-                        out[:, s, self.starts[j]] = whole - high[:, i] if self.sizes[j] == 2 else whole
-                        if self.sizes[j] == 2:
-                            out[:, s, self.starts[j] + 1] = high[:, i]
-            yield from ((f, node, out[k]) for k, (node, _) in enumerate(parts))
+                    out[s, self.starts[j] : self.starts[j + 1]] = np.bincount(key, kind, size)
+        for these, code, bins in self.patterns:
+            key = code[mine]
+            for s, kind in enumerate(kinds):
+                by = np.bincount(key, kind, len(bins))
+                whole, high = by.sum(), by @ bins
+                for i, j in enumerate(these):
+                    out[s, self.starts[j]] = whole - high[i] if self.sizes[j] == 2 else whole
+                    if self.sizes[j] == 2:
+                        out[s, self.starts[j] + 1] = high[i]
+        return out
+
+
+class _Fit:
+    """A fit as a task grows it: scores of the task's cells, the tree of this round, which of the cells its nodes hold, and
+    the nodes' sums over all tasks."""
+
+    def __init__(self, cells: _Cells, point: Point, fold: int, base: float, rounds: int):
+        self.cells, self.point, self.fold, self.left = cells, point, fold, rounds
+        self.n, self.ones = cells.n[-1] - cells.n[fold], cells.ones[-1] - cells.ones[fold]
+        self.scores = np.full(len(self.n), base)
+        self.counts: np.ndarray | None = None  # of all rows by bin, as in every round
+        self._begin()
+
+    def _begin(self) -> None:
+        p = 1 / (1 + np.exp(-self.scores))
+        self.kinds = [self.n * p - self.ones, self.n * p * (1 - p), self.n]
+        self.tree = Tree([Node((0.0, np.inf, np.inf))])
+        self.held: dict[int, np.ndarray | slice] = {0: slice(None)}
+        self.parent: dict[int, int] = {}
+        self.totals: dict[int, np.ndarray] = {}
+
+    def ask(self) -> list[int]:
+        """Nodes whose sums the fit needs next, the smaller one of each pair, rounds that are done being finished first."""
+        while self.left:
+            leaves, asked = self.tree.grow(self.point)
+            for k, node in enumerate(self.tree.nodes):
+                for child in node.children or ():
+                    self.parent[child] = k
+            if asked:
+                pairs = sorted({self.parent.get(k, -1) for k in asked})
+                return [0 if k < 0 else min(self.tree.nodes[k].children, key=lambda c: (self.tree.nodes[c].sums[2], c)) for k in pairs]
+            for k in leaves:
+                node = self.tree.nodes[k]
+                self._add(k, -self.point.step * node.sums[0] / (node.sums[1] + PENALTY))
+            self.left -= 1
+            self._begin()
+        return []
+
+    def _of(self, k: int) -> np.ndarray | slice:
+        """The cells of a node that is not divided yet."""
+        if k not in self.held:
+            above = self.parent[k]
+            _, column, at, _ = self.tree.nodes[above].split
+            mine, (low, high) = self._of(above), self.tree.nodes[above].children
+            goes = self.cells.bins[column][mine] <= at
+            self.held[low], self.held[high] = (np.flatnonzero(goes), np.flatnonzero(~goes)) if isinstance(mine, slice) else (mine[goes], mine[~goes])
+            del self.held[above]
+        return self.held[k]
+
+    def _add(self, k: int, value: float) -> None:
+        children = self.tree.nodes[k].children
+        if children and k not in self.held and self.parent.get(k, -1) not in self.held:  # divided for a split that was not made
+            for c in children:
+                self._add(c, value)
+        else:
+            self.scores[self._of(k)] += value
+
+    def sums(self, k: int) -> np.ndarray:
+        """A node's sums over the task's cells."""
+        mine = self._of(k)
+        if k:
+            return self.cells.sums(mine, self.kinds)
+        if self.counts is None:
+            self.counts = self.cells.sums(mine, self.kinds[2:])
+        return np.concatenate((self.cells.sums(mine, self.kinds[:2]), self.counts))
+
+    def tell(self, k: int, found: np.ndarray) -> None:
+        """A node's sums over all tasks, and with them its pair's."""
+        nodes, sizes = self.tree.nodes, self.cells.sizes
+        if k == 0:
+            nodes[0].sums = tuple(float(v) for v in found[:, : sizes[0]].sum(axis=1))
+            both = [(0, found)]
+        else:
+            low, high = nodes[self.parent[k]].children
+            both = [(k, found), (high if k == low else low, self.totals.pop(self.parent[k]) - found)]
+        for c, sums in both:
+            node = nodes[c]
+            able = k == 0 or node.sums[2] >= 2 * self.point.least and node.sums[1] >= 2 * LEAST_CURVE
+            node.known, node.split = True, best_split(sums, sizes, self.point.least) if able else None
+            if node.split is not None:
+                self.totals[c] = sums
+
+
+class _Exchange:
+    """Sums over all tasks of a barrier stage, added up in the same order by each. Where the shared folder is a path of the
+    executors' own file system each task leaves its sums there, in a file that appears whole and goes once all have read
+    it; elsewhere they go through allGather, which takes about a second each time as Spark looks for answers once a second."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.turn, self.task = folder, 0, BarrierTaskContext.get()
+        self.attempts = self.task.allGather(str(self.task.taskAttemptId()))  # another try of the stage has other ones
+
+    def _name(self, turn: int, rank: int) -> str:
+        return f"{self.folder}/{self.attempts[rank]}-{turn}"
+
+    def __call__(self, sums: np.ndarray) -> np.ndarray:
+        if self.folder is None:
+            told = [base64.b64decode(t) for t in self.task.allGather(base64.b64encode(sums.tobytes()).decode())]
+        else:
+            mine = self._name(self.turn, self.task.partitionId())
+            with open(mine + ".part", "wb") as f:
+                f.write(sums.tobytes())
+            os.rename(mine + ".part", mine)
+            told = [self._read(self._name(self.turn, rank)) for rank in range(len(self.attempts))]
+            if self.turn:  # who left sums for this turn has read those before
+                os.remove(self._name(self.turn - 1, self.task.partitionId()))
+            self.turn += 1
+        return np.sum([np.frombuffer(t) for t in told], axis=0).reshape(sums.shape)
+
+    @staticmethod
+    def _read(name: str) -> bytes:
+        while True:  # Spark ends the other tasks of the stage if one fails
+            try:
+                with open(name, "rb") as f:
+                    return f.read()
+            except FileNotFoundError:
+                time.sleep(0.001)
 
 
 def best_split(sums: np.ndarray, sizes: list[int], least: int) -> tuple | None:
@@ -256,97 +305,54 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
     fits = [(point, k) for point in points for k in range(folds)]
     edges = bin_edges(rows, columns)
     sizes = [len(e) + 1 for e in edges]
-    width, spark = len(columns), rows.sparkSession
-    names = [f"b{i}" for i in range(width)]
-    start = written(cells(rows, columns, edges, fold, label), "cells")
-    counts = {r.fold: (r.n, r.ones) for r in start.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()}  # a row a fold
+    spark = rows.sparkSession
+    names = [f"b{i}" for i in range(len(columns))]
+    of_fold = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}")
+    by_fold = [x for c in ("n", "ones") for x in (*[of_fold(c, k) for k in range(folds)], F.sum(c).alias(f"{c}_all"))]
+    start = written(cells(rows, columns, edges, fold, label).groupBy(*names).agg(*by_fold), "cells")
+    counted = [c for c in start.columns if c not in names]
+    whole = start.agg(F.count("*").alias("cells"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in counted]).first()
     base = []
     for _, k in fits:
-        n, ones = (sum(c[i] for f, c in counts.items() if f != k) for i in (0, 1))
+        n, ones = (whole[f"{c}_all"] - whole[f"{c}{k}"] for c in ("n", "ones"))
         if not 0 < ones < n:
             raise ValueError(f"both labels must be among the rows of other folds than {k}")
         base.append(float(np.log(ones / (n - ones))))
-    state = start.withColumn("margins", F.lit(bytearray(np.array(base).tobytes())))  # a double a fit
-    schema = "fold int, " + ", ".join(f"{b} int" for b in names) + ", n double, ones double, margins binary"
-
-    def settle(trees: list[tuple]) -> DataFrame:
-        """The cells with a round's trees applied, written."""
-        shared = spark.sparkContext.broadcast(trees)
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                block = _Block.of(batch, width, len(fits))
-                rows = np.arange(len(block.n))
-                for f, tree in enumerate(shared.value):
-                    for node, mine in ways(block.columns, tree, rows, np.flatnonzero(tree[0] < 0)):
-                        block.margins[f][mine] += tree[4][node]
-                ends = pa.py_buffer((np.arange(len(rows) + 1) * 8 * len(fits)).astype(np.int32))
-                scores = pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(block.margins.T.tobytes())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], ["fold", *names, "n", "ones", "margins"])
-
-        return written(state.mapInArrow(apply, schema), "scores")
-
-    def find(growing: list[tuple], asked: list[list[int]]) -> list:
-        """(fit, node, sums of the node, best split or nulls) of all nodes asked for."""
-        shared = spark.sparkContext.broadcast(_Pass([k for _, k in fits], growing, asked, sizes))
-        least = [point.least for point, _ in fits]
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for block in _in_blocks(batches, width, len(fits)):
-                for f, node, found in shared.value.sums(block):
-                    total[f, node] = total[f, node] + found if (f, node) in total else found
-            if total:  # a row a leaf; sums travel as bytes, which nothing on the way takes apart
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.int32()), pa.array([k for _, k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["fit", "node", "sums"])
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                for f, node, found in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = np.frombuffer(found).reshape(3, -1)
-                    total[f, node] = total[f, node] + found if (f, node) in total else found
-            rows = []
-            for (f, node), found in total.items():
-                split = best_split(found, sizes, least[f])
-                whole = [float(v) for v in found[:, : sizes[0]].sum(axis=1)]
-                rows.append({"fit": f, "node": node, "whole": whole, "gain": split and split[0], "col": split and split[1], "bin": split and split[2], "below": split and list(split[3])})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=answer)
-
-        answer = pa.schema([("fit", pa.int32()), ("node", pa.int32()), ("whole", pa.list_(pa.float64())), ("gain", pa.float64()), ("col", pa.int32()), ("bin", pa.int32()), ("below", pa.list_(pa.float64()))])
-        sums = state.mapInArrow(add, "fit int, node int, sums binary").repartition("fit", "node")
-        return sums.mapInArrow(choose, "fit int, node int, whole array<double>, gain double, col int, bin int, below array<double>").collect()  # a row a leaf asked for
-
-    for _ in range(rounds):
-        trees = [Tree([Node((0.0, np.inf, np.inf))]) for _ in fits]
-        while True:
-            grown = [tree.grow(point) for tree, (point, _) in zip(trees, fits)]
-            asked = [need for _, need in grown]
-            if not any(asked):
-                break
-            for row in find([tree.arrays() for tree in trees], asked):
-                node = trees[row.fit].nodes[row.node]
-                node.known, node.split = True, None if row.gain is None else (row.gain, row.col, row.bin, tuple(row.below))
-                if row.node == 0:
-                    node.sums = tuple(row.whole)
-            for tree, need in zip(trees, asked):  # leaves without a row of their own fold are empty
-                for k in need:
-                    tree.nodes[k].known = True
-        before, state = state, settle([tree.arrays(leaves, point.step) for tree, (leaves, _), (point, _) in zip(trees, grown, fits)])
-        delete(before)
-
-    which = F.array(*[F.struct(F.lit(p.step).alias("step"), F.lit(p.leaves).alias("leaves"), F.lit(p.least).alias("least"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (p, k) in enumerate(fits)])
-
-    def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = batch.column(3).cast(pa.binary())
-            out = np.frombuffer(b"".join(scores.to_pylist()), np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(fits), dtype=np.int32), out)], ["fold", "n", "ones", "margins"])
-
-    scored = state.select("fold", "n", "ones", "margins").mapInArrow(doubles, "fold int, n double, ones double, margins array<double>")
-    own = scored.withColumn("at", F.explode(which)).filter("at.k = fold")
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.element_at("margins", F.col("at.i") + 1)))
+    cores = spark.sparkContext.defaultParallelism
+    parts = min(cores, max(2, -(-whole.cells // SHARE)))
+    # fits of many leaves and of few are dealt out alike
+    order = sorted(range(len(fits)), key=lambda f: -fits[f][0].leaves)
+    groups = [order[g :: max(cores // parts, 1)] for g in range(min(max(cores // parts, 1), len(fits)))]
+    path, told_at = (f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("scores", "told"))
+    local = local_folder(spark, told_at)
+
+    def run(group: list[int]) -> None:
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Cells(batches, sizes, folds)
+            growing, over_all = [_Fit(held, *fits[f], base[f], rounds) for f in group], _Exchange(local)
+            while any(asked := [fit.ask() for fit in growing]):
+                # every task asks for the same nodes, as all know the same sums
+                told = iter(over_all(np.stack([fit.sums(k) for fit, need in zip(growing, asked) for k in need])))
+                for fit, need in zip(growing, asked):
+                    for k in need:
+                        fit.tell(k, next(told))
+            for f, fit in zip(group, growing):
+                own = np.flatnonzero(held.n[fit.fold])
+                for some in np.split(own, range(BATCH, len(own), BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), f, np.int32)), *(pa.array(x[some]) for x in (held.n[fit.fold], held.ones[fit.fold], fit.scores))], ["fit", "n", "ones", "score"])
+
+        scored = start.repartition(parts).mapInArrow(train, "fit int, n double, ones double, score double", barrier=True)
+        scored.write.parquet(f"{path}/group={group[0]}")
+
+    try:
+        with ThreadPoolExecutor(len(groups)) as pool:
+            list(pool.map(inheritable_thread_target(spark)(run), groups))
+    finally:
+        delete_folder(spark, told_at)
+    delete(start)
+
+    scored = spark.read.schema("fit int, n double, ones double, score double").parquet(path)
+    which = F.array(*[F.struct(F.lit(p.step).alias("step"), F.lit(p.leaves).alias("leaves"), F.lit(p.least).alias("least"), F.lit(k).alias("fold")) for p, k in fits])
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("ones").alias("weight")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("ones")).alias("weight")))).alias("side")
-    return own.withColumn("p", p).select("at.step", "at.leaves", "at.least", "fold", "p", sides).select("step", "leaves", "least", "fold", "side.y", "p", "side.weight").filter("weight > 0")
+    return scored.select(F.element_at(which, F.col("fit") + 1).alias("at"), p.alias("p"), sides).select("at.*", "side.y", "p", "side.weight").filter("weight > 0")

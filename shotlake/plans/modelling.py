@@ -161,16 +161,12 @@ def boosting_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.grid_best(scores, ["step", "leaves", "least"], places=12).select(F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "step", "leaves", "least")
 
 
-#: Rounds of the registered boosting query; the operator's own default is 200 (see the README for times).
-BOOSTING_ROUNDS = 20
-
-
 @query()
 def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees for all twelve points of the grid over all five folds, grown together: the point of least mean fold
     log loss (then Brier, then the parameters in order)."""
     rows, columns = _scaled(spark, sf_dir)
-    return M.grid_best(B.boosted_scores(rows, columns, rounds=BOOSTING_ROUNDS), ["step", "leaves", "least"], 12, F.col("weight"))
+    return M.grid_best(B.boosted_scores(rows, columns), ["step", "leaves", "least"], 12, F.col("weight"))
 
 
 @query()

@@ -49,7 +49,21 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
 def delete(*held: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for table in held:
-        spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(table.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def local_folder(spark: SparkSession, folder: str) -> str | None:
+    """A folder, made, as tasks' own code can open it; None if it isn't a path of the machines' own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = files.makeQualified(path).toUri()
+    if uri.getScheme() != "file":
+        return None
+    files.mkdirs(path)
+    return uri.getPath()
