@@ -11,7 +11,7 @@ are cores. The driver sees neither cells nor sums.
 Trees grow best first: the leaf of largest gain is split next, until a tree has its leaves. As a leaf's best split does
 not depend on other leaves, sums are taken for the leaves below several splits at once that may still be made. Of two
 leaves below a split only the smaller one's cells are read, the other's sums are what remains of those above. Columns of
-two bins are added up by the patterns that they make together.
+few bins are added up by the patterns that they make together.
 
 A leaf's value is -step * G / (H + PENALTY); a split must gain more than nothing, leave at least `least` rows and a second
 derivative of LEAST_CURVE on both sides; equal gains go to the smaller column, then bin, then the older leaf.
@@ -26,6 +26,7 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import delete, delete_folder, local_folder, shared_folder, written
 
 BINS, PENALTY, LEAST_CURVE = 255, 1.0, 1e-3
-#: Columns of two bins that make a pattern, cells of a task (more if there aren't as many cores), and rows of a batch of scores.
-PATTERN, SHARE, BATCH = 16, 400_000, 1 << 16
+#: Bins of a narrow column at most (two bits' worth: a flag has three, the last one empty), and narrow columns of a pattern.
+NARROW, PATTERN = 4, 16
+#: Cells of a task (more if there aren't as many cores), and rows of a batch of scores.
+SHARE, BATCH = 400_000, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -132,33 +135,29 @@ class _Cells:
         held = [b for b in batches if b.num_rows]
         column = lambda i, kind: np.concatenate([b.column(i).to_numpy() for b in held]).astype(kind) if held else np.zeros(0, kind)
         self.sizes, self.starts = sizes, np.cumsum([0, *sizes])
-        self.bins = [column(j, np.int64 if s > 2 else np.uint8) for j, s in enumerate(sizes)]
+        self.bins = [column(j, np.uint8 if s <= 256 else np.int32) for j, s in enumerate(sizes)]
+        self.keys = {j: self.bins[j].astype(np.int64) for j, s in enumerate(sizes) if s > NARROW}  # as bincount reads them
         self.n, self.ones = ([column(len(sizes) + kind * (folds + 1) + k, float) for k in range(folds + 1)] for kind in (0, 1))  # last: of all folds
-        few = [j for j, s in enumerate(sizes) if s <= 2]
+        few = [j for j, s in enumerate(sizes) if s <= NARROW]
         self.patterns = []
         for start in range(0, len(few), PATTERN):
             these = few[start : start + PATTERN]
-            found, code = np.unique((1 << np.arange(len(these))) @ np.stack([self.bins[j] for j in these]).astype(np.int64), return_inverse=True)
-            self.patterns.append((these, code, (found[:, None] >> np.arange(len(these)) & 1).astype(float)))
+            found, code = np.unique(sum(self.bins[j].astype(np.int64) << 2 * i for i, j in enumerate(these)), return_inverse=True)
+            of = np.concatenate([(found[:, None] >> 2 * i & 3) == np.arange(sizes[j]) for i, j in enumerate(these)], axis=1)
+            self.patterns.append((np.concatenate([np.arange(self.starts[j], self.starts[j + 1]) for j in these]), code, of.astype(float)))
 
     def sums(self, mine: np.ndarray | slice, kinds: list[np.ndarray]) -> np.ndarray:
         """Sums by kind and bin of all columns over some of the cells."""
         out = np.zeros((len(kinds), self.starts[-1]))
         kinds = [kind[mine] for kind in kinds]
-        for j, size in enumerate(self.sizes):
-            if size > 2:
-                key = self.bins[j][mine]
-                for s, kind in enumerate(kinds):
-                    out[s, self.starts[j] : self.starts[j + 1]] = np.bincount(key, kind, size)
-        for these, code, bins in self.patterns:
+        for j, keys in self.keys.items():
+            key = keys[mine]
+            for s, kind in enumerate(kinds):
+                out[s, self.starts[j] : self.starts[j + 1]] = np.bincount(key, kind, self.sizes[j])
+        for spots, code, of in self.patterns:
             key = code[mine]
             for s, kind in enumerate(kinds):
-                by = np.bincount(key, kind, len(bins))
-                whole, high = by.sum(), by @ bins
-                for i, j in enumerate(these):
-                    out[s, self.starts[j]] = whole - high[i] if self.sizes[j] == 2 else whole
-                    if self.sizes[j] == 2:
-                        out[s, self.starts[j] + 1] = high[i]
+                out[s, spots] = np.bincount(key, kind, len(of)) @ of
         return out
 
 
@@ -205,7 +204,7 @@ class _Fit:
             _, column, at, _ = self.tree.nodes[above].split
             mine, (low, high) = self._of(above), self.tree.nodes[above].children
             goes = self.cells.bins[column][mine] <= at
-            self.held[low], self.held[high] = (np.flatnonzero(goes), np.flatnonzero(~goes)) if isinstance(mine, slice) else (mine[goes], mine[~goes])
+            self.held[low], self.held[high] = (np.flatnonzero(goes), np.flatnonzero(~goes)) if isinstance(mine, slice) else (mine.compress(goes), mine.compress(~goes))
             del self.held[above]
         return self.held[k]
 
@@ -279,12 +278,17 @@ class _Exchange:
                 time.sleep(0.001)
 
 
+@cache
+def _layout(sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(where each column's bins begin, column of each bin)."""
+    return np.cumsum([0, *sizes]), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def best_split(sums: np.ndarray, sizes: list[int], least: int) -> tuple | None:
     """(gain, column, bin, left sums) of the best split of a leaf with these sums by bin, or None."""
-    starts = np.cumsum([0, *sizes])
+    starts, column = _layout(tuple(sizes))
     g, h, n = sums[:, : sizes[0]].sum(axis=1)
     left = np.cumsum(sums, axis=1)
-    column = np.repeat(np.arange(len(sizes)), sizes)
     before = np.concatenate((np.zeros((3, 1)), left[:, starts[1:-1] - 1]), axis=1)
     left = left - before[:, column]
     gl, hl, nl = left
@@ -319,7 +323,7 @@ def boosted_scores(rows: DataFrame, columns: list[str], points: list[Point] | No
             raise ValueError(f"both labels must be among the rows of other folds than {k}")
         base.append(float(np.log(ones / (n - ones))))
     cores = spark.sparkContext.defaultParallelism
-    parts = min(cores, max(2, -(-whole.cells // SHARE)))
+    parts = next((k for k in range(max(2, -(-whole.cells // SHARE)), cores) if cores % k == 0), cores)  # so that no core is left over
     # fits of many leaves and of few are dealt out alike
     order = sorted(range(len(fits)), key=lambda f: -fits[f][0].leaves)
     groups = [order[g :: max(cores // parts, 1)] for g in range(min(max(cores // parts, 1), len(fits)))]

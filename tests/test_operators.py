@@ -608,6 +608,42 @@ def test_lineups_meet_in_shares_of_the_tables(spark, sf_dir, monkeypatch):
     assert "hashpartitioning(match_id" in (plan := N.scan_lineups(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()) and plan.count("9), REPARTITION_BY_NUM") == 2
 
 
+def test_boosting_takes_all_rounds_and_no_job_a_round(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from shotlake import registry
+
+    asked = {}
+
+    def seen(rows, columns, *args, **named):
+        asked.update(inspect.signature(boosted).bind(rows, columns, *args, **named).arguments)
+        return boosted(rows, columns, [B.Point(0.1, 4, 2)], rounds=1)
+
+    boosted = B.boosted_scores
+    monkeypatch.setattr(B, "boosted_scores", seen)
+    registry.QUERIES["gbt_fit"](spark, sf_dir)
+    assert set(asked) == {"rows", "columns"} and inspect.signature(boosted).parameters["rounds"].default == 200
+
+    rows = spark.createDataFrame([(k % 3, int(k % 5 == 0), float(k % 7)) for k in range(90)], "fold int, y int, a double")
+
+    def jobs(rounds):
+        group = f"boosting-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosted(rows, ["a"], [B.Point(0.1, 4, 2)], folds=3, rounds=rounds)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2) == jobs(12)
+
+
+def test_boosting_without_a_path_of_the_machines_gives_the_same_scores(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 2, int(k % 3 == 0), float(k % 7)) for k in range(60)], "fold int, y int, a double").repartition(2)
+    scores = lambda: sorted(tuple(r) for r in B.boosted_scores(rows, ["a"], [B.Point(0.1, 3, 2)], folds=2, rounds=2).collect())
+    known = scores()
+    monkeypatch.setattr(B, "local_folder", lambda spark, folder: None)
+    assert scores() == known and len(known) > 4
+
+
 def test_boosting_deletes_the_scores_of_earlier_rounds(spark):
     from pathlib import Path
 
