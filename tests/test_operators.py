@@ -713,3 +713,11 @@ def test_networks_refuse_what_cannot_be_fitted(spark):
             networks.network_fits(spark.createDataFrame([bad, (2, 1, 0, 0.0, 0)], schema), ["u", "flag"], ["u"], rounds=1)
     with pytest.raises(ValueError, match="no rows outside"):
         networks.network_fits(spark.createDataFrame([(1, 0, 1, 1.0, 1), (2, 0, 0, 0.0, 0)], schema), ["u", "flag"], ["u"], rounds=1)
+
+
+def test_grains_share_one_parsing_of_events_and_one_of_lineups(spark, sf_dir):
+    from shotlake import registry  # noqa: F401
+    from shotlake.plans.grains import GRAINS, grains
+
+    plans = {k: df._jdf.queryExecution().optimizedPlan().toString() for k, df in grains(spark, sf_dir).items()}
+    assert [k for k in GRAINS if "from_json" in plans[k]] == ["competitions", "seasons", "competition_seasons", "teams", "matches", "match_teams"]
